@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqspark.types import DATETIME_TYPES, FLOAT_TYPES
+from dqspark.types import DATETIME_TYPES, FLOAT_TYPES, SEVERITIES
 
 # Severity cut points, highest first.
 SEVERITY_CUTS = ((0.85, "critical"), (0.65, "high"), (0.40, "medium"))
@@ -49,12 +49,14 @@ def severity(score: Column) -> Column:
 
 
 def severity_rank(label: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(s) for s in ("low", "medium", "high", "critical")]), label)
+    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), label)
 
 
 def severity_label(rank: Column) -> Column:
-    labels = F.array(*[F.lit(s) for s in ("low", "medium", "high", "critical")])
-    return F.coalesce(F.element_at(labels, F.when(rank > 0, rank.cast("int"))), F.lit("low"))
+    label = F.lit("low")
+    for i, name in enumerate(SEVERITIES):
+        label = F.when(rank == i + 1, name).otherwise(label)
+    return label
 
 
 def is_identifier(name: Column) -> Column:

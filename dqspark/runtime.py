@@ -21,6 +21,7 @@ def session(app: str = "dqspark", cores: str = "*", shuffle_partitions: int = 8)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
