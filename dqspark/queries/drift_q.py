@@ -270,8 +270,8 @@ def seasonal_states(spark, sf):
 @query(
     "choose_baseline_profiles",
     f"""WITH {HOURLY_SQL}
-        SELECT p.run_id, h."column", round(median(h.mean), 3) AS mean, round(median(h.null_ratio), 4) AS null_ratio,
-               round(median(h.stddev), 3) AS stddev
+        SELECT p.run_id, h."column", round(2 * median(h.mean), 6) AS twice_mean, round(median(h.null_ratio), 4) AS null_ratio,
+               round(2 * median(h."max"), 6) AS twice_max
         FROM pairs p JOIN st USING (run_id) JOIN hp h ON h.run_id = p.base_run
         WHERE p.k <= 12 AND st.base_runs >= 3 GROUP BY 1, 2""",
 )
@@ -279,7 +279,11 @@ def seasonal_profiles(spark, sf):
     runs = materialize(hourly_runs(spark, sf))
     _, base = B.choose_baseline(runs, materialize(hourly_profiles(spark, sf)), runs, seasonal=True)
     return base.select(
-        "run_id", "column", F.round("mean", 3).alias("mean"), F.round("null_ratio", 4).alias("null_ratio"), F.round("stddev", 3).alias("stddev")
+        "run_id",
+        "column",
+        F.round(2 * F.col("mean"), 6).alias("twice_mean"),
+        F.round("null_ratio", 4).alias("null_ratio"),
+        F.round(2 * F.col("max"), 6).alias("twice_max"),
     )
 
 

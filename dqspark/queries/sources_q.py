@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dqspark.queries.base import ALL_SQL, MONTH_CONTRACT, month_profiles, month_signals, query, table, with_sql
+from dqspark.queries.base import MONTH_CONTRACT, month_profiles, month_signals, query, table, with_sql
 from dqspark.runtime import scratch_path
 from dqspark.sources.lineage_events import EVENT, parse_manifests, read_openlineage
 from dqspark.sources.tables import (
@@ -233,5 +233,3 @@ def event_rejects_q(spark, sf):
     rejects = read_openlineage(run_events(spark, sf))[4]
     return rejects.groupBy(F.col("job.namespace").alias("namespace")).agg(F.count(F.lit(1)).alias("rejected"))
 
-
-assert ALL_SQL
