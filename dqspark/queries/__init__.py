@@ -1,6 +1,18 @@
 """Named queries over the given tables with their SQL twins."""
 
-from dqspark.queries import change_q, contract_q, drift_q, lineage_q, profile_q, sources_q
+from dqspark.queries import change_q, contract_q, drift_q, lineage_q, ops_q, profile_q, rca_q, sources_q, stream_q
 from dqspark.queries.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "change_q", "contract_q", "drift_q", "lineage_q", "profile_q", "sources_q"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "change_q",
+    "contract_q",
+    "drift_q",
+    "lineage_q",
+    "ops_q",
+    "profile_q",
+    "rca_q",
+    "sources_q",
+    "stream_q",
+]
