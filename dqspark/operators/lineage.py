@@ -7,8 +7,6 @@ broadcast is left to the runtime sizes (adaptive execution).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +36,13 @@ def _directed(edges: DataFrame, reverse: bool) -> DataFrame:
     )
 
 
-def _walk(edges: DataFrame, starts: DataFrame, max_hops: int | None, paths: bool = True) -> DataFrame:
+def _walk(
+    edges: DataFrame, starts: DataFrame, max_hops: int | None, paths: bool = True, enough: int | None = None
+) -> DataFrame:
     """(start, node, node_type, hop, via, path) with edges as (_from, _to, _type, edge_type).
 
-    First visit wins; among visits of the same hop the smallest path wins.
+    First visit wins; among visits of the same hop the smallest path wins. A start that has `enough` nodes
+    after a whole hop is not walked further: everything beyond would be farther away.
     """
     edges = materialize(edges.dropDuplicates(["_from", "_to", "edge_type"]))
     start = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
@@ -77,6 +78,9 @@ def _walk(edges: DataFrame, starts: DataFrame, max_hops: int | None, paths: bool
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        if enough is not None:
+            done = visited.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > enough).select("start")
+            frontier = frontier.join(done, "start", "left_anti")
     return visited.filter("hop > 0")
 
 
@@ -110,7 +114,7 @@ def reachable_columns(
 ) -> DataFrame:
     """(start_asset, start_column, hop, asset, column) by breadth-first walk; the nearest `limit` per start."""
     begin = starts.select(F.struct(F.col("asset").alias("asset"), F.lower("column").alias("column")).alias("start"))
-    found = _walk(_column_edges(column_edges, reverse), begin, None).select(
+    found = _walk(_column_edges(column_edges, reverse), begin, None, paths=False, enough=limit).select(
         F.col("start.asset").alias("start_asset"),
         F.col("start.column").alias("start_column"),
         "hop",
@@ -241,13 +245,20 @@ def change_candidates(events: DataFrame, scope: DataFrame, runs: DataFrame, k: i
         .filter(F.lower("status").isin("error", "fail", "abort"))
         .select("event_id", "created_at", "asset", F.lit("run_failed").alias("change"), "status")
     )
-    joined = (
+    # Only the newest k changes of an asset can be among the newest k of any run, so each asset is cut to k
+    # lines before it meets the runs; a busy asset with many runs never multiplies.
+    order = [F.col("created_at").desc(), "event_id", "change"]
+    per_asset = Window.partitionBy("asset").orderBy(*order)
+    newest = (
         definitions.unionByName(failures)
-        .join(scope, "asset")
-        .join(runs.select("run_id", "since"), "run_id")
-        .filter(F.col("created_at") >= F.col("since"))
+        .withColumn("_rank", F.row_number().over(per_asset))
+        .filter(F.col("_rank") <= k)
+        .drop("_rank")
     )
-    window = Window.partitionBy("run_id").orderBy(F.col("created_at").desc(), "event_id", "change", "asset")
+    joined = (
+        newest.join(scope, "asset").join(runs.select("run_id", "since"), "run_id").filter(F.col("created_at") >= F.col("since"))
+    )
+    window = Window.partitionBy("run_id").orderBy(*order, "asset")
     return (
         joined.withColumn("rank", F.row_number().over(window))
         .filter(F.col("rank") <= k)
@@ -426,16 +437,3 @@ def run_lookup(runs: DataFrame, edges: DataFrame, signals: DataFrame) -> tuple[D
         .select("dataset", "r.*")
     )
     return latest, latest.select("dataset", "run_id").join(signals, "run_id").orderBy("dataset", F.col("score").desc(), "seq")
-
-
-def node_types(edges: DataFrame) -> DataFrame:
-    """(node, node_type) of all ends."""
-    return (
-        edges.select(F.col("src").alias("node"), F.col("src_type").alias("node_type"))
-        .unionByName(edges.select(F.col("dst").alias("node"), F.col("dst_type").alias("node_type")))
-        .distinct()
-    )
-
-
-def as_starts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*columns).distinct()

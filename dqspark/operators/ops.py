@@ -15,6 +15,7 @@ MAX_HISTORY_RUNS = 200
 STALL_GRACE_MINUTES = 10
 BACKLOG_MINUTES = 15
 WORKER_TTL_SECONDS = 90
+TIMELINE_EVENTS = 500
 
 
 def _minutes(later: Column, earlier: Column) -> Column:
@@ -229,17 +230,20 @@ def list_datasets(profiles: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def timeline(events: DataFrame, scope: DataFrame) -> DataFrame:
-    """Events of a run's source or touching one of its assets.
+def timeline(events: DataFrame, scope: DataFrame, limit: int = TIMELINE_EVENTS) -> DataFrame:
+    """The newest events of a run's source or touching one of its assets, at most `limit` per run.
 
     `events(event_id, source_id, created_at, kind, assets array<string>)`, `scope(run_id, source_id, asset)`
-    with one row per neighbouring asset.
+    with one row per neighbouring asset. Each asset and each source is cut to its newest `limit` events before
+    the join, which loses nothing and keeps busy ones from multiplying with their runs.
     """
-    touched = (
-        events.withColumn("asset", F.explode("assets")).join(scope.select("run_id", "asset").distinct(), "asset").select("run_id", "event_id", "created_at", "kind")
-    )
-    own = events.join(scope.select("run_id", "source_id").distinct(), "source_id").select("run_id", "event_id", "created_at", "kind")
-    return touched.unionByName(own).distinct()
+    order = [F.col("created_at").desc(), F.col("event_id").asc()]
+    shown = ["run_id", "event_id", "created_at", "kind"]
+    by_asset = newest_per(events.withColumn("asset", F.explode(F.array_distinct("assets"))), ["asset"], limit, order)
+    touched = by_asset.join(scope.select("run_id", "asset").distinct(), "asset").select(*shown)
+    by_source = newest_per(events, ["source_id"], limit, order)
+    own = by_source.join(scope.select("run_id", "source_id").distinct(), "source_id").select(*shown)
+    return newest_per(touched.unionByName(own).distinct(), ["run_id"], limit, order).drop("_rank")
 
 
 def detection_metrics(cases: DataFrame, signals: DataFrame, found: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ TOP_TYPE = "array<struct<value:string,count:bigint>>"
 ACCURACY = 10_000
 BRACKET = 10 / ACCURACY
 WHOLE_RANGE_ROWS = 5_000
+LONG_TEXT = 64
 
 
 def _columns(df: DataFrame, runs: Sequence[str], columns: Sequence[str] | None):
@@ -93,22 +94,26 @@ def _wide_stats(
     return grouped.select(*runs, F.inline(F.array(*entries)))
 
 
-def value_counts(df: DataFrame, runs: Sequence[str], columns) -> DataFrame:
+def value_counts(df: DataFrame, runs: Sequence[str], columns, only_counts: bool = False) -> DataFrame:
     """(run, ordinal, value, freq) over the given (ordinal, name, type) columns, nulls left out.
 
     Integers, floats and everything else keep their own typed key, so long keys stay exact and no number
-    is turned into text before the shuffle.
+    is turned into text before the shuffle. With `only_counts` the values themselves are not needed, and long
+    texts travel as their sha256.
     """
     entries = []
     for i, name, data_type in columns:
         kind = contract_type(data_type)
         source = q(name)
+        text = source.cast("string") if kind not in ("integer", "float") else F.lit(None).cast("string")
+        if only_counts and kind == "string":
+            text = F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
         entries.append(
             F.struct(
                 F.lit(i).alias("ordinal"),
                 (source if kind == "integer" else F.lit(None)).cast("bigint").alias("lval"),
                 (source if kind == "float" else F.lit(None)).cast("double").alias("dval"),
-                (source if kind not in ("integer", "float") else F.lit(None)).cast("string").alias("sval"),
+                text.alias("sval"),
             )
         )
     return (
@@ -124,9 +129,8 @@ def _text() -> Column:
 
 
 def _distinct(counts: DataFrame, keys: list[str]) -> DataFrame:
-    return counts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("distinct"), F.sum("freq").alias("counted")
-    )
+    # Reading freq keeps the value counts identical to those of the other parts, so their exchange is reused.
+    return counts.groupBy(*keys).agg(F.count_if(F.col("freq") > 0).alias("distinct"))
 
 
 def _top(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -191,11 +195,12 @@ def _quantiles(
         *keys, "non_null", wanted.alias("wanted")
     )
     number = F.coalesce(F.col("dval"), F.col("lval").cast("double"))
+    # Null-safe conditions add no filter below the value counts, which keeps their exchange reusable.
+    numbers = counts.select(*keys, "freq", number.alias("v"))
     folded = (
-        counts.select(*keys, "freq", number.alias("v"))
-        .join(broadcast_if_small(brackets), keys)
+        _null_safe_join(numbers, broadcast_if_small(brackets), keys, "inner")
         .select(*keys, "freq", "v", "non_null", F.inline("wanted"))
-        .filter(F.col("v") <= F.col("hi"))
+        .filter(F.coalesce(F.col("v") <= F.col("hi"), F.lit(False)))
         .groupBy(*keys, "p", "non_null", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
         .agg(F.sum("freq").alias("freq"))
     )
@@ -240,7 +245,7 @@ def raw_profile(
     described = _columns(df, runs, columns)
     df = nan_to_null(df.select(*[q(c) for c in [*runs, *[name for _, name, _ in described]]]))
     numeric = [c for c in described if kind_of(c[2]) == "numeric"]
-    textual = [c for c in described if kind_of(c[2]) in ("categorical", "datetime")]
+    times = [c for c in described if kind_of(c[2]) == "datetime"]
     categorical = [c for c in described if kind_of(c[2]) == "categorical"]
     quantiles = exact and "quantiles" in parts and bool(numeric)
 
@@ -250,16 +255,18 @@ def raw_profile(
     keys = [*runs, "ordinal"]
     pieces: list[DataFrame] = []
     if exact:
-        counted = [value_counts(df, runs, group) for group in (numeric, textual) if group]
+        needs_values = "hash" in parts or "top" in parts
+        # One value count per kind: the kinds read disjoint columns, so nothing is read twice.
+        kinds = {"n": numeric, "c": categorical, "t": times}
+        counted = {k: value_counts(df, runs, group, not needs_values) for k, group in kinds.items() if group}
         if "distinct" in parts and counted:
-            pieces.append(_union([_distinct(c, keys) for c in counted]))
+            pieces.append(_union([_distinct(c, keys) for c in counted.values()]))
         if "hash" in parts and counted:
-            pieces.append(_union([_hash(c, keys, HASH_VALUES) for c in counted]))
+            pieces.append(_union([_hash(c, keys, HASH_VALUES) for c in counted.values()]))
         if "top" in parts and categorical:
-            same = textual == categorical
-            pieces.append(_top(counted[-1] if same else value_counts(df, runs, categorical), keys, top_k))
+            pieces.append(_top(counted["c"], keys, top_k))
         if quantiles:
-            pieces.append(_quantiles(counted[0], stats, runs))
+            pieces.append(_quantiles(counted["n"], stats, runs))
     for piece in pieces:
         result = _attach(result, piece, keys)
     have = set(result.columns)
@@ -326,16 +333,18 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return result
 
 
-def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on null-safe run keys (segments keep nulls as a group)."""
-    renamed = right
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"_r_{key}")
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi join on keys that may be null (segments keep nulls as a group)."""
+    renamed = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
     condition = None
     for key in keys:
         one = q(key).eqNullSafe(q(f"_r_{key}"))
         condition = one if condition is None else condition & one
-    return left.join(renamed, condition, "left").drop(*[f"_r_{key}" for key in keys])
+    return left.join(renamed, condition, how).drop(*[f"_r_{key}" for key in keys])
+
+
+def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    return _null_safe_join(left, right, keys, "left")
 
 
 def profile_by_run(df: DataFrame, run_col: str, **options) -> DataFrame:

@@ -212,8 +212,9 @@ def datasets(spark, sf):
 @query(
     "timeline",
     """WITH e AS (SELECT o_orderkey AS event_id, o_custkey AS source_id, o_orderdate AS created_at, o_orderstatus AS kind FROM orders)
-       SELECT 'run/' || c_custkey AS run_id, event_id, created_at, kind FROM customer JOIN e ON e.source_id = c_custkey
-       UNION SELECT 'run/' || c_custkey, event_id, created_at, kind FROM customer JOIN e ON e.source_id = c_custkey + 1""",
+       , t AS (SELECT 'run/' || c_custkey AS run_id, event_id, created_at, kind FROM customer JOIN e ON e.source_id = c_custkey
+       UNION SELECT 'run/' || c_custkey, event_id, created_at, kind FROM customer JOIN e ON e.source_id = c_custkey + 1)
+       SELECT run_id, event_id, created_at, kind FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC, event_id) AS k FROM t) WHERE k <= 500""",
 )
 def timeline(spark, sf):
     events = table(spark, sf, "orders").select(

@@ -102,9 +102,11 @@ def run_quarantine(
     flagged = flag_rows(stream, contract)
 
     def split(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # two sinks, one read of the source
         good = batch.filter(F.size("failed_rules") == 0).drop("failed_rules")
         good.write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
         batch.filter(F.size("failed_rules") > 0).write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
+        batch.unpersist()
 
     writer = flagged.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
