@@ -36,18 +36,24 @@ def fault_signals(
 ) -> DataFrame:
     """Signals of every faulted copy of the table, run_id = fault id; the clean table is the baseline.
 
-    The copies have different schemas, so each is one branch; all branches run in one job.
+    Copies that keep the schema are runs of one table and are checked and profiled together; a fault that
+    changes the schema is a branch of its own.
     """
     if base_profiles is None:
         base_profiles = materialize(profile_table(df, parts=("distinct",)))
-    merged = None
+    groups: dict[tuple, list[tuple[str, DataFrame]]] = {}
     for fault in faults:
         broken = apply_fault(df, fault, columns)
-        signals = detect(broken, contract, base_profiles, as_of)
-        part = signals.withColumn("run_id", F.lit(fault)).withColumn(
-            "signal_id", F.concat(F.lit(f"{fault}:"), F.col("seq").cast("string"))
-        )
-        merged = part if merged is None else merged.unionByName(part)
+        groups.setdefault(tuple(broken.dtypes), []).append((fault, broken))
+    merged = None
+    for members in groups.values():
+        rows = None
+        for fault, broken in members:
+            tagged = broken.withColumn("run_id", F.lit(fault))
+            rows = tagged if rows is None else rows.unionByName(tagged)
+        runs = F.explode(F.array(*[F.lit(fault) for fault, _ in members]))
+        signals = detect(rows, contract, base_profiles.withColumn("run_id", runs), as_of, runs=["run_id"])
+        merged = signals if merged is None else merged.unionByName(signals)
     return merged
 
 

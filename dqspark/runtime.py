@@ -22,6 +22,8 @@ def session(app: str = "dqspark", cores: str = "*", shuffle_partitions: int = 8)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Without it every column expression records its Python call site, which dominates plan building.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
