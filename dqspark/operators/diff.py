@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dqspark.functions.columns import nan_to_null, q
 from dqspark.operators.contract import check_contract
+from dqspark.runtime import materialize
 from dqspark.types import contract_type, kind_of
 
 DIFF_SAMPLES = 5
@@ -64,14 +65,51 @@ def diff_rows(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataF
     return left.join(right, list(keys), "full_outer").withColumn("changed_columns", changed)
 
 
+def different_keys(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that are on one side only or whose rows differ, found by joining keys and 128-bit fingerprints
+    instead of whole rows. Worth it when wide versions are mostly equal: only these keys need their values."""
+    shared = _shared(before, after, keys)
+    retyped = [c for c in shared if before.schema[c].dataType != after.schema[c].dataType]
+
+    def marked(df: DataFrame, name: str) -> DataFrame:
+        values = [q(c).cast("string") if c in retyped else q(c) for c in shared]
+        # Two hash chains with different starts; null positions are part of the input.
+        nulls = [q(c).isNull() for c in shared]
+        chains = F.struct(F.xxhash64(F.lit(1), *values, *nulls), F.xxhash64(F.lit(2), *nulls, *values))
+        return nan_to_null(df).select(*keys, chains.alias(name))
+
+    joined = marked(before, "fb").join(marked(after, "fa"), list(keys), "full_outer")
+    return joined.filter(~F.col("fb").eqNullSafe(F.col("fa"))).select(*keys)
+
+
+def narrow_to_changes(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both versions cut to the keys of `different_keys`; every report but the totals is the same on them."""
+    touched = materialize(different_keys(before, after, keys))
+    return tuple(side.join(touched, list(keys), "left_semi") for side in (before, after))
+
+
 def data_diff(
-    before: DataFrame, after: DataFrame, keys: Sequence[str], max_change_ratio: float = 0.0, check_keys: bool = True
+    before: DataFrame,
+    after: DataFrame,
+    keys: Sequence[str],
+    max_change_ratio: float = 0.0,
+    check_keys: bool = True,
+    fingerprint: bool = False,
 ) -> DataFrame:
-    """One row: added, removed and changed rows, changed cells, ratio over all keys, schema change, verdict."""
+    """One row: added, removed and changed rows, changed cells, ratio over all keys, schema change, verdict.
+
+    `fingerprint` compares hashes first and values only where they differ (see `different_keys`).
+    """
     if not 0 <= max_change_ratio <= 1:
         raise ValueError("max_change_ratio lies between 0 and 1")
     if check_keys:
         _check_keys(before, after, keys)
+    equal_keys = 0
+    schema_changed = _schema_changed(before, after)
+    if fingerprint:
+        all_before = before.count()
+        before, after = narrow_to_changes(before, after, keys)
+        equal_keys = all_before - before.count()
     rows = diff_rows(before, after, keys)
     cells = F.size("changed_columns")
     counted = rows.agg(
@@ -79,11 +117,10 @@ def data_diff(
         F.count_if(F.col("a").isNull()).alias("removed_rows"),
         F.count_if(cells > 0).alias("changed_rows"),
         F.coalesce(F.sum(cells.cast("bigint")), F.lit(0)).alias("changed_cells"),
-        F.count(F.lit(1)).alias("all_keys"),
+        (F.count(F.lit(1)) + F.lit(equal_keys)).alias("all_keys"),
     )
     changes = F.col("changed_rows") + F.col("added_rows") + F.col("removed_rows")
     ratio = changes / F.greatest(F.col("all_keys"), F.lit(1))
-    schema_changed = _schema_changed(before, after)
     return counted.select(
         "added_rows",
         "removed_rows",

@@ -72,12 +72,14 @@ def _snap(hashed: DataFrame, near: float, k: int) -> int:
 
 def fault_duplicate(df: DataFrame, fraction: float = 1.0, key: str | None = None, seed: int = 42) -> DataFrame:
     """all rows, or the hash share `fraction` of them by key, are loaded twice."""
-    if fraction >= 1.0:
-        return df.unionAll(df)
-    if key is None:
-        raise ValueError("a key is needed to pick a share of the rows")
-    share = row_order(q(key), seed) < int(fraction * 16**13)
-    return df.unionAll(df.filter(share))
+    copies = F.array(F.lit(1), F.lit(2))
+    if fraction < 1.0:
+        if key is None:
+            raise ValueError("a key is needed to pick a share of the rows")
+        share = row_order(q(key), seed) < int(fraction * 16**13)
+        copies = F.when(share, copies).otherwise(F.array(F.lit(1)))
+    # Rows repeat in place, so the table is read once.
+    return df.select("*", F.explode(copies).alias("_copy")).drop("_copy")
 
 
 def fault_scale(df: DataFrame, column: str, factor: float = 100.0, where: Column | None = None) -> DataFrame:

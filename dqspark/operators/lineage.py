@@ -44,7 +44,7 @@ def _walk(
     First visit wins; among visits of the same hop the smallest path wins. A start that has `enough` nodes
     after a whole hop is not walked further: everything beyond would be farther away.
     """
-    edges = materialize(edges.dropDuplicates(["_from", "_to", "edge_type"]))
+    edges = materialize(edges.groupBy("_from", "_to", "edge_type").agg(F.min("_type").alias("_type")))
     start = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
     visited = start.select(
         "start",

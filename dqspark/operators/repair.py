@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from dqspark.functions.columns import q
 from dqspark.operators.contract import check_contract
-from dqspark.operators.diff import key_problems
 from dqspark.operators.profile import profile_table
 from dqspark.types import kind_of
 
@@ -50,14 +49,20 @@ def repair_deduplicate(df: DataFrame, keys: Sequence[str], max_changed_rows: int
     """Drop exact copies; refused when one key still has different rows or nothing changes."""
     if not keys or any(k not in df.columns for k in keys):
         raise ValueError("existing key columns are needed")
-    exact = df.dropDuplicates()
-    repeated = exact.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    if repeated.limit(1).count():
+    # One pass: copies fold first, then every key must have a single variant.
+    variants = df.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    facts = (
+        variants.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("variants"), F.sum("_copies").alias("rows"))
+        .agg(F.max("variants").alias("variants"), F.sum(F.col("rows") - 1).alias("affected"))
+        .first()
+    )
+    if (facts["variants"] or 0) > 1:
         raise ValueError("one key has different rows; dropping one of them would be a guess")
-    affected = df.count() - exact.count()
+    affected = facts["affected"] or 0
     if not 0 < affected <= max_changed_rows:
         raise ValueError(f"{affected} rows affected, allowed are 1 to {max_changed_rows}")
-    return exact
+    return df.dropDuplicates()
 
 
 def validate_repair(
@@ -136,12 +141,3 @@ def repair_profiles(before: DataFrame, after: DataFrame, **options) -> DataFrame
         .unionByName(profile_table(after, **options).withColumn("side", F.lit("after")))
     )
 
-
-__all__ = [
-    "batch_mask",
-    "key_problems",
-    "repair_deduplicate",
-    "repair_profiles",
-    "repair_scale",
-    "validate_repair",
-]

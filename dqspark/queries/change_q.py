@@ -12,7 +12,7 @@ from dqspark.operators.contract import builtin_contracts, check_contract
 from dqspark.operators.rca import hypotheses, rank_hypotheses
 from dqspark.operators.suggest import suggest_contract
 from dqspark.plans.fault_matrix import EXPECTED, expected_cases, fault_matrix, fault_signals
-from dqspark.queries.base import query, table
+from dqspark.queries.base import ORACLES, query, table
 from dqspark.runtime import materialize
 
 # ------------------------------------------------------------------ drafts
@@ -119,6 +119,11 @@ def data_diff(spark, sf):
     return X.data_diff(table(spark, sf, "orders"), edited_orders(spark, sf), ["o_orderkey"], 0.1)
 
 
+@query("data_diff_fingerprint", ORACLES["data_diff"])
+def data_diff_fingerprint(spark, sf):
+    return X.data_diff(table(spark, sf, "orders"), edited_orders(spark, sf), ["o_orderkey"], 0.1, fingerprint=True)
+
+
 @query(
     "diff_by_column",
     f"""WITH {EDIT_SQL} SELECT 'o_totalprice' AS "column", sum(p_changed)::BIGINT AS changed_cells FROM j

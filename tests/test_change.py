@@ -149,3 +149,14 @@ def test_suggestion_fits_its_sample_and_catches_scale(spark):
     assert {r["type"] for r in short["rules"]} == {"not_null"}
     with pytest.raises(ValueError):
         suggest_contract(df.filter("false"))
+
+
+def test_fingerprint_diff_equals_full_diff(spark, versions):
+    before, after = versions
+    more = spark.range(100, 400).select(F.col("id").cast("int"), F.lit(1.0).alias("amount"), F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("when"), F.lit("x").alias("tag"))
+    # A null and a value that change places, and a not-a-number against a null, must be told apart or not.
+    swap = spark.createDataFrame([(900, None, None, "q"), (901, float("nan"), None, "q")], before.schema)
+    swapped = spark.createDataFrame([(900, None, datetime(2024, 1, 1), None), (901, None, None, "q")], before.schema)
+    left, right = before.unionByName(more).unionByName(swap), after.unionByName(more).unionByName(swapped)
+    assert X.data_diff(left, right, ["id"], fingerprint=True).first() == X.data_diff(left, right, ["id"]).first()
+    assert {r["id"] for r in X.different_keys(left, right, ["id"]).collect()} == {1, 2, 4, 5, 900}
