@@ -94,6 +94,11 @@ def violation_score(rule_type: Column, facts: Column) -> Column:
     return F.least(F.lit(1.0), scored)
 
 
+def rounded_score(score: Column) -> Column:
+    """Stored score with four digits; the first rounding removes floating-point noise around a tie."""
+    return F.round(F.round(score, 10), 4)
+
+
 def nice(value: Column, up: bool) -> Column:
     """Round away to two significant digits."""
     step = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))) - 1)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.functions.columns import evidence, is_identifier, severity
+from dqspark.functions.columns import evidence, is_identifier, rounded_score, severity
 from dqspark.operators.contract import check_contract
 from dqspark.operators.scoring import number_signals, score_violations
 from dqspark.types import SIGNAL_STRUCT
@@ -150,7 +150,7 @@ def finish(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
         "type",
         "column",
         severity(F.col("score")).alias("severity"),
-        F.round("score", 4).alias("score"),
+        rounded_score(F.col("score")).alias("score"),
         "source",
         "evidence",
         *rest,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqspark.functions.columns import severity, severity_label, severity_rank, violation_score
+from dqspark.functions.columns import rounded_score, severity, severity_label, severity_rank, violation_score
 from dqspark.types import SIGNAL_FIELDS
 
 # Weights of the contract and magnitude terms, renormalised over their sum.
@@ -25,7 +25,7 @@ def score_violations(violations: DataFrame) -> DataFrame:
         F.col("rule_type").alias("type"),
         "column",
         severity(score).alias("severity"),
-        F.round(score, 4).alias("score"),
+        rounded_score(score).alias("score"),
         F.lit("contract").alias("source"),
         "evidence",
     )
@@ -68,7 +68,7 @@ def incident_risk(signals: DataFrame, runs: Sequence[str] = ("run_id",), all_run
     result = risk.select(
         *runs,
         F.coalesce(F.col("signal_count"), F.lit(0)).alias("signal_count"),
-        F.when(has, F.round(value, 4)).otherwise(F.lit(0.0)).alias("risk"),
+        F.when(has, rounded_score(value)).otherwise(F.lit(0.0)).alias("risk"),
     )
     return result.withColumn("severity", F.when(F.col("signal_count") > 0, severity(F.col("risk"))).otherwise("low"))
 

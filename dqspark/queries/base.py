@@ -276,7 +276,7 @@ all_signals AS (
   UNION ALL SELECT run_id, ord, type, "column", raw, 'baseline', NULL FROM volume),
 sig AS (
   SELECT run_id, seq, run_id || ':' || seq AS signal_id, type, "column", {SEVERITY_SQL.format('raw')} AS severity,
-    round(raw, 4) AS score, source, lag
+    round(raw::DECIMAL(28,10), 4)::DOUBLE AS score, source, lag
   FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ord, type, "column") - 1 AS seq FROM all_signals))
 """
 

@@ -251,7 +251,7 @@ RISK_SQL = f"""
 risk AS (
   SELECT run_id, count(s.run_id) AS signal_count,
     CASE WHEN count(s.run_id) = 0 THEN 0.0 ELSE
-      round(least(1.0, CASE WHEN bool_or(source = 'contract') THEN 0.35 / 0.60 ELSE 0 END + 0.25 / 0.60 * max(score)), 4) END AS risk
+      round(least(1.0, CASE WHEN bool_or(source = 'contract') THEN 0.35 / 0.60 ELSE 0 END + 0.25 / 0.60 * max(score))::DECIMAL(28,10), 4)::DOUBLE END AS risk
   FROM (SELECT DISTINCT run_id FROM faulted) r LEFT JOIN sig s USING (run_id) GROUP BY run_id)
 """
 

@@ -48,7 +48,7 @@ for _name, _test in (
     query(
         _name,
         with_sql(
-            f"""SELECT run_id, type, "column", {SEVERITY_SQL.format('raw')} AS severity, round(raw, 4)::DOUBLE AS score
+            f"""SELECT run_id, type, "column", {SEVERITY_SQL.format('raw')} AS severity, round(raw::DECIMAL(28,10), 4)::DOUBLE::DOUBLE AS score
                 FROM drift WHERE test = '{_test}'"""
         ),
     )(lambda spark, sf, t=_test: _drift(spark, sf, (t,)))
@@ -57,8 +57,8 @@ for _name, _test in (
 @query(
     "drift_volume",
     with_sql(
-        f"""SELECT run_id, b_row_count AS baseline_row_count, row_count AS current_row_count, round(rel, 4) AS relative_change,
-            {SEVERITY_SQL.format('raw')} AS severity, round(raw, 4) AS score FROM volume"""
+        f"""SELECT run_id, b_row_count AS baseline_row_count, row_count AS current_row_count, round(rel::DECIMAL(28,10), 4)::DOUBLE AS relative_change,
+            {SEVERITY_SQL.format('raw')} AS severity, round(raw::DECIMAL(28,10), 4)::DOUBLE AS score FROM volume"""
     ),
 )
 def volume(spark, sf):
@@ -79,7 +79,7 @@ def volume(spark, sf):
     "detect",
     with_sql(
         f"""SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ord, type, "column") - 1 AS seq, type, "column",
-             {SEVERITY_SQL.format('raw')} AS severity, round(raw, 4) AS score, source FROM (
+             {SEVERITY_SQL.format('raw')} AS severity, round(raw::DECIMAL(28,10), 4)::DOUBLE AS score, source FROM (
              SELECT run_id, ord, rule_type AS type, "column", raw, 'contract' AS source FROM rule_v
              UNION ALL SELECT run_id, ord, type, "column", raw, 'baseline' FROM drift
              UNION ALL SELECT run_id, ord, type, "column", raw, 'baseline' FROM volume)"""
@@ -134,7 +134,7 @@ seg_drift AS (
     "drift_segments",
     with_sql(
         f"""SELECT run_id, segment, type, "column", CASE WHEN type = 'segment_missing' THEN 'high' ELSE {SEVERITY_SQL.format('raw')} END AS severity,
-            round(raw, 4)::DOUBLE AS score FROM seg_drift""",
+            round(raw::DECIMAL(28,10), 4)::DOUBLE::DOUBLE AS score FROM seg_drift""",
         SEGMENT_SQL,
     ),
 )
@@ -204,7 +204,7 @@ newest AS (SELECT job_id, max(month) AS month FROM clean GROUP BY job_id)
     "latest_clean_baseline",
     with_sql(
         """SELECT n.job_id, c.run_id, c.row_count AS baseline_row_count, 'o_totalprice' AS "column",
-             (SELECT round(avg(o_totalprice), 3) FROM faulted f WHERE f.o_orderpriority = n.job_id AND f.run_id = n.month) AS mean
+             (SELECT round(round(avg(o_totalprice), 6)::DECIMAL(28,6), 3)::DOUBLE FROM faulted f WHERE f.o_orderpriority = n.job_id AND f.run_id = n.month) AS mean
            FROM newest n JOIN clean c ON c.job_id = n.job_id AND c.month = n.month""",
         PRIORITY_SQL,
     ),
@@ -327,8 +327,8 @@ history AS (
 @query(
     "history_anomalies",
     with_sql(
-        f"""SELECT h.run_id, h.type, h."column", h.n AS history_runs, round(h.center, 3) AS typical, {SEVERITY_SQL.format('h.raw')} AS severity,
-             round(h.raw, 4)::DOUBLE AS score
+        f"""SELECT h.run_id, h.type, h."column", h.n AS history_runs, round(round(h.center::DECIMAL(28,10), 6), 3)::DOUBLE AS typical, {SEVERITY_SQL.format('h.raw')} AS severity,
+             round(h.raw::DECIMAL(28,10), 4)::DOUBLE::DOUBLE AS score
            FROM history h LEFT JOIN (SELECT DISTINCT run_id, type, "column" FROM sig) s
              ON s.run_id = h.run_id AND s.type = h.type AND s."column" IS NOT DISTINCT FROM h."column" WHERE s.run_id IS NULL""",
         RUNS_SQL + "," + HISTORY_SQL,
@@ -365,8 +365,8 @@ stale AS (SELECT *, least(1.0, 0.5 + least(lag / threshold - 1, 1.0) * 0.4) AS r
 @query(
     "learned_staleness",
     with_sql(
-        f"""SELECT run_id, "column", round(lag, 1) AS lag_minutes, round(typical, 1) AS typical_lag_minutes, round(threshold, 1) AS threshold_minutes,
-             {SEVERITY_SQL.format('raw')} AS severity, round(raw, 4)::DOUBLE AS score FROM stale""",
+        f"""SELECT run_id, "column", round(lag::DECIMAL(28,6), 1)::DOUBLE AS lag_minutes, round(typical::DECIMAL(28,6), 1)::DOUBLE AS typical_lag_minutes, round(threshold::DECIMAL(28,6), 1)::DOUBLE AS threshold_minutes,
+             {SEVERITY_SQL.format('raw')} AS severity, round(raw::DECIMAL(28,10), 4)::DOUBLE::DOUBLE AS score FROM stale""",
         ",".join([RUNS_SQL, HISTORY_SQL, STALE_SQL]),
     ),
 )
@@ -412,8 +412,8 @@ flag AS (SELECT count(*) AS n, count(*) FILTER (WHERE cur > t.q) AS hits FROM di
 
 @query(
     "multivariate_mahalanobis",
-    f"""WITH {JOINT_SQL} SELECT 'multivariate_drift' AS type, n AS "rows", hits AS flagged_rows, round(hits / n, 4) AS outlier_rate,
-        round(least(1.0, 0.5 + round(hits / n, 4)), 4) AS score FROM flag""",
+    f"""WITH {JOINT_SQL} SELECT 'multivariate_drift' AS type, n AS "rows", hits AS flagged_rows, round((hits / n)::DECIMAL(28,10), 4)::DOUBLE AS outlier_rate,
+        round(least(1.0, 0.5 + round((hits / n)::DECIMAL(28,10), 4)), 4)::DOUBLE AS score FROM flag""",
 )
 def mahalanobis(spark, sf):
     found = multivariate_mahalanobis(fees(spark, sf, False), fees(spark, sf, True), columns=["price", "fee"])
@@ -539,7 +539,7 @@ found AS (
 @query(
     "analyze_table",
     ANALYZE_SQL
-    + f""" SELECT run_id, type, "column", {SEVERITY_SQL.format('raw')} AS severity, round(raw, 4)::DOUBLE AS score, source FROM found""",
+    + f""" SELECT run_id, type, "column", {SEVERITY_SQL.format('raw')} AS severity, round(raw::DECIMAL(28,10), 4)::DOUBLE::DOUBLE AS score, source FROM found""",
 )
 def analyze(spark, sf):
     """Every monthly run analysed in one job: contract, drift against its own baseline, volume, history, staleness."""

@@ -16,7 +16,7 @@ from dqspark.runtime import materialize
     "metric_history",
     with_sql(
         """SELECT r.run_id, r.run_ts, r.total_rows AS "rows", (SELECT count(*) FROM sig s WHERE s.run_id = r.run_id) AS signals, r.quality, p."column", p.null_ratio,
-             round(p.mean, 3) AS mean FROM (SELECT * FROM runs ORDER BY run_ts DESC LIMIT 60) r JOIN p USING (run_id)
+             round(p.mean::DECIMAL(28,6), 3)::DOUBLE AS mean FROM (SELECT * FROM runs ORDER BY run_ts DESC LIMIT 60) r JOIN p USING (run_id)
            WHERE r.config_hash = (SELECT config_hash FROM runs ORDER BY run_ts DESC LIMIT 1)""",
         RUNS_SQL,
     ),

@@ -42,7 +42,7 @@ def profile(spark, sf):
 
 @query(
     "profile_numeric_stats",
-    f"""SELECT "column", round(mean, 3) AS mean, round(stddev, 3) AS stddev, "min", "max"
+    f"""SELECT "column", round(mean::DECIMAL(28,6), 3)::DOUBLE AS mean, round(stddev::DECIMAL(28,6), 3)::DOUBLE AS stddev, "min", "max"
         FROM ({profile_sql("lineitem", LINES, "")}) WHERE kind = 'numeric'""",
 )
 def numeric_stats(spark, sf):
@@ -122,7 +122,7 @@ SEGMENTED = [("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_totalprice
 @query(
     "profile_segments",
     f"""WITH s AS (SELECT *, '["' || o_orderpriority || '", "' || o_orderstatus || '"]' AS segment FROM orders)
-        SELECT segment, "column", row_count, null_ratio, distinct_ratio, round(mean, 3) AS mean
+        SELECT segment, "column", row_count, null_ratio, distinct_ratio, round(mean::DECIMAL(28,6), 3)::DOUBLE AS mean
         FROM ({profile_sql("s", SEGMENTED, "segment")})""",
 )
 def segments(spark, sf):
@@ -135,7 +135,7 @@ def segments(spark, sf):
     f"""WITH m AS (SELECT *, strftime(o_orderdate, '%Y-%m') AS run_id FROM orders),
         q AS (SELECT run_id, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.95) AS p95,
               quantile_cont(o_totalprice, 0.99) AS p99 FROM m GROUP BY run_id)
-        SELECT run_id, "column", row_count, null_ratio, distinct_ratio, round(mean, 3) AS mean, round(stddev, 3) AS stddev,
+        SELECT run_id, "column", row_count, null_ratio, distinct_ratio, round(mean::DECIMAL(28,6), 3)::DOUBLE AS mean, round(stddev::DECIMAL(28,6), 3)::DOUBLE AS stddev,
                CASE WHEN "column" = 'o_totalprice' THEN round(p50, 4) END AS price_p50,
                CASE WHEN "column" = 'o_totalprice' THEN round(p95, 4) END AS price_p95,
                CASE WHEN "column" = 'o_totalprice' THEN round(p99, 4) END AS price_p99

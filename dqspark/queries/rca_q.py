@@ -84,11 +84,11 @@ def month_hypotheses(spark, sf):
 
 def _shown(found, *extra):
     return found.select(
-        "run_id", "rule_id", "column", F.round("confidence", 5).alias("confidence"), F.array_join("evidence_ids", ",").alias("evidence"), *extra
+        "run_id", "rule_id", "column", F.round("confidence", 6).alias("confidence"), F.array_join("evidence_ids", ",").alias("evidence"), *extra
     )
 
 
-_COLUMNS = 'run_id, rule_id, "column", round(conf, 5) AS confidence, evidence'
+_COLUMNS = 'run_id, rule_id, "column", round(conf, 6) AS confidence, evidence'
 
 _FROM_MONTHS = [
     "schema_drop",
@@ -120,7 +120,7 @@ def every_hypothesis(spark, sf):
     with_sql(
         f"SELECT {_COLUMNS} FROM hyp WHERE rule_id = 'stale_data'",
         ",".join([RUNS_SQL, HISTORY_SQL, STALE_SQL])
-        + ", late AS (SELECT run_id, 0 AS seq, run_id || ':0' AS signal_id, 'staleness' AS type, \"column\", round(raw, 4) AS score FROM stale),"
+        + ", late AS (SELECT run_id, 0 AS seq, run_id || ':0' AS signal_id, 'staleness' AS type, \"column\", round(raw::DECIMAL(28,10), 4)::DOUBLE AS score FROM stale),"
         + hypothesis_sql("late", dropped=False),
     ),
 )
@@ -132,7 +132,7 @@ def stale(spark, sf):
 @query(
     "hypothesis_joint_distribution_shift",
     f"""WITH {JOINT_SQL}, one AS (SELECT 'lines' AS run_id, 0 AS seq, 'lines:0' AS signal_id, 'multivariate_drift' AS type, NULL::VARCHAR AS "column",
-          round(least(1.0, 0.5 + round(hits / n, 4)), 4) AS score FROM flag),
+          round(least(1.0, 0.5 + round((hits / n)::DECIMAL(28,10), 4)), 4)::DOUBLE AS score FROM flag),
         {hypothesis_sql("one", dropped=False)} SELECT {_COLUMNS} FROM hyp""",
 )
 def joint(spark, sf):
@@ -157,7 +157,7 @@ REPORT_SQL = """
 rep AS (SELECT s.run_id, CASE max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high'
           WHEN 2 THEN 'medium' ELSE 'low' END AS severity, count(*) AS signal_count,
           (SELECT any_value(rule_id) FROM ranked r WHERE r.run_id = s.run_id AND "rank" = 1 AND round(conf, 6) >= 0.4) AS top_rule,
-          coalesce((SELECT any_value(round(conf, 5)) FROM ranked r WHERE r.run_id = s.run_id AND "rank" = 1 AND round(conf, 6) >= 0.4), 0.0)::DOUBLE AS top_confidence,
+          coalesce((SELECT any_value(round(conf, 6)) FROM ranked r WHERE r.run_id = s.run_id AND "rank" = 1 AND round(conf, 6) >= 0.4), 0.0)::DOUBLE AS top_confidence,
           (SELECT count(*) FROM ranked r WHERE r.run_id = s.run_id AND "rank" <= 3 AND round(conf, 6) >= 0.4) AS causes,
           (SELECT count(*) FROM ranked r WHERE r.run_id = s.run_id AND NOT ("rank" <= 3 AND round(conf, 6) >= 0.4)) AS uncertainties
         FROM sig s GROUP BY s.run_id)
@@ -167,7 +167,7 @@ rep AS (SELECT s.run_id, CASE max(CASE severity WHEN 'critical' THEN 4 WHEN 'hig
 @query("incident_reports", with_sql("SELECT * FROM rep", hypothesis_sql() + "," + REPORT_SQL))
 def incident_reports(spark, sf):
     signals, found = month_hypotheses(spark, sf)
-    return A.reports(signals, found).drop("top_column").withColumn("top_confidence", F.round("top_confidence", 5))
+    return A.reports(signals, found).drop("top_column").withColumn("top_confidence", F.round("top_confidence", 6))
 
 
 _DRAFTS = ", ".join(

@@ -108,7 +108,7 @@ def append(spark, sf):
 
 @query(
     "save_profiles",
-    with_sql('SELECT run_id, "column", row_count, null_ratio, round(mean, 3) AS mean FROM p'),
+    with_sql('SELECT run_id, "column", row_count, null_ratio, round(mean::DECIMAL(28,6), 3)::DOUBLE AS mean FROM p'),
 )
 def profiles_saved(spark, sf):
     path = scratch_path(spark, "profiles")

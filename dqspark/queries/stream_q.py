@@ -38,7 +38,7 @@ _CLOSED = "WHERE ts::DATE + 1 <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 @query(
     "stream_profile",
     f"""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, 'value' AS "column", count(*) AS row_count, round(1 - count("value") / count(*), 6) AS null_ratio,
-          round(avg("value"), 4) AS mean, round(stddev_pop("value"), 4) AS stddev, min("value" + 0.0) AS "min", max("value") AS "max"
+          round(round(avg("value"), 6)::DECIMAL(28,6), 4)::DOUBLE AS mean, round(round(stddev_pop("value"), 6)::DECIMAL(28,6), 4)::DOUBLE AS stddev, min("value" + 0.0) AS "min", max("value") AS "max"
         FROM events {_CLOSED} GROUP BY 1""",
 )
 def windows(spark, sf):
