@@ -14,6 +14,7 @@ from dqspark.functions.columns import number
 from dqspark.runtime import materialize
 
 MAX_HOPS = 6
+COMPACT_HOPS = 8
 COLUMN_RESULTS = 200
 COLUMN_SIGNALS = 20
 CHANGE_ROWS = 20
@@ -78,6 +79,8 @@ def _walk(
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        if hop % COMPACT_HOPS == 0:
+            visited = materialize(visited)  # deep graphs would otherwise grow one union branch per hop
         if enough is not None:
             done = visited.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > enough).select("start")
             frontier = frontier.join(done, "start", "left_anti")
