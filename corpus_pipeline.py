@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import documents, store
+from dqspark.llm.common import documents, small_side, store
 from dqspark.llm.decontaminate import phrase_matches
+from dqspark.llm.jaccard_join import jaccard_components
+from dqspark.llm.language_id import UNKNOWN, identify
 from dqspark.llm.line_dedup import line_dedup as dedup_lines
+from dqspark.llm.packing import pack_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Calibrated probability under which a prediction counts as none. Short clean texts reach it; only noise does not.
+MIN_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or of no language with a probability of MIN_SCORE, go."""
+    judged = identify(docs.select(*COLUMNS))
+    return judged.filter((F.col("_lid.lang_pred") != UNKNOWN) & (F.col("_lid.score") >= MIN_SCORE)).select(*COLUMNS)
+
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shared long lines stay in one document; the texts of the others lose them, and n_chars follows."""
@@ -22,15 +34,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a similarity of 0.8 on five-word shingles the smallest id stays; null ids all stay."""
+    found = jaccard_components(docs.select("doc_id", "text"))
+    gone = store(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
+    ids = small_side(gone)
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
     matched = phrase_matches(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return matched.filter(F.coalesce(F.size("_dc_hits"), F.lit(0)) <= 0).select(*COLUMNS)
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, packed into sequences of 2048."""
+    return pack_documents(docs.select("doc_id", "text"))
+
+
 STAGES = [
+    ("language_id", language_id),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
 # Language identification is a trained model, which SQL cannot express; the stages are tested against brute force.

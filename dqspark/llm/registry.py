@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
-from dqspark.llm import chat, decontaminate, exact_dedup, line_dedup
+from dqspark.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    packing,
+    token_files,
+    url_filter,
+    warc,
+)
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op2_language_id": language_id.op2_language_id,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_token_files": token_files.op4_token_files,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_warc": warc.op9_warc,
+    "op10_packing": packing.op10_packing,
 }
 
+# The others cannot be said in SQL; tests hold them against brute force, the library's ids or held-out accuracy.
 ORACLES = {
+    "op1_url_filter": url_filter.SQL,
     "op3_chat_format": chat.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op9_warc": warc.SQL,
 }
