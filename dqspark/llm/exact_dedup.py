@@ -45,15 +45,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         "doc_id", F.md5("body").alias("hash"), F.sha2("body", 256).alias("digest"), "rank"
     )
     place = F.expr(f"best - cast(best div {_SHIFT} as decimal(10,0)) * {_SHIFT}")
-    first = F.row_number().over(Window.partitionBy("hash", "digest", "rank").orderBy("doc_id"))
+    # Repeats of one row are numbered before the join, which then is free to split the rows of a large group.
+    numbered = keys.withColumn("copy", F.row_number().over(Window.partitionBy("hash", "digest", "rank").orderBy("doc_id")))
     return (
-        keys.join(groups, ["hash", "digest"])
-        .withColumn("copy", F.when(F.col("rank") == F.col("best"), first).otherwise(F.lit(0)))
+        numbered.join(groups, ["hash", "digest"])
         .select(
             "doc_id",
             F.when(place > 0, (F.expr(_TOP) - place).cast("bigint")).alias("keep_id"),
             "group_size",
-            (F.col("copy") == 1).alias("kept"),
+            ((F.col("rank") == F.col("best")) & (F.col("copy") == 1)).alias("kept"),
             F.col("digest").alias("text_sha256"),
         )
     )

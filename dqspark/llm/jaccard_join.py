@@ -306,6 +306,9 @@ def tree_search(queries: DataFrame, members: DataFrame, similar: tuple[int, int]
     Pairs within one `part` are known to be connected and left out. A star of any size is cut into tiles of about TILE
     members and TILE queries; every pair of tiles is a task of its own.
     """
+    # Both sides may come from one frame; new names for the same columns keep them apart.
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("star", "place", "n", "vector", "part")])
+    queries, members = fresh(queries), fresh(members)
     tiles = lambda df, name: df.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(name))
     counts = tiles(queries, "qt").join(tiles(members, "mt"), "star")
     own = lambda n: F.pmod(F.xxhash64("place"), F.col(n)).cast("int")

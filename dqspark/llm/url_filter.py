@@ -172,9 +172,9 @@ def op1_url_filter(spark, sf_dir):
 
 SQL = r"""
 WITH u AS (
-  SELECT page_id, position('://' IN coalesce(url, '')) AS at, coalesce(url, '') AS url FROM pages
+  SELECT page_id, position('://' IN coalesce(url, '')) AS place, coalesce(url, '') AS url FROM pages
 ), s AS (
-  SELECT page_id, CASE WHEN at > 0 THEN substring(url, at + 3) ELSE '' END AS rest FROM u
+  SELECT page_id, CASE WHEN place > 0 THEN substring(url, place + 3) ELSE '' END AS rest FROM u
 ), p AS (
   SELECT page_id,
          translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
