@@ -69,23 +69,47 @@ def anchor_terms(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) ->
     return use.groupBy("term").agg(F.collect_list("use").alias("uses"))
 
 
-def candidate_places(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) -> tuple[DataFrame, DataFrame]:
-    """The stored index, and (doc_id, text_hash, window_id, start) where all anchor lists meet at one start."""
+def candidate_places(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) -> DataFrame:
+    """(doc_id, text_hash, window_id, start) where the posting lists of all anchors of a window meet at one start.
+
+    The stored index holds the postings of anchor terms. The rarest term of each window proposes places; the next rarer
+    ones are looked up at their offset from each place, so the longer lists are never repeated per window.
+    """
     uses = store(anchor_terms(docs, windows, anchors), "anchors")
+    ranks = uses.select("term", F.aggregate("uses", F.lit(0), lambda bits, u: bits.bitwiseOR(u["bit"])).alias("ranks"))
     postings = store(
-        _terms_in(docs, small_side(uses.select("term"))).select("term", "doc_id", "text_hash", "pos"), "postings"
+        _terms_in(docs, small_side(ranks)).select("term", "doc_id", "text_hash", "pos", "ranks"), "postings"
     )
+    use = store(uses.select("term", F.explode("uses").alias("use")).select("term", "use.*"), "uses")
     places = (
-        postings.join(small_side(uses), "term")
-        .select("doc_id", "text_hash", "pos", F.explode("uses").alias("use"))
-        .select("doc_id", "text_hash", "use.window_id", (F.col("pos") - F.col("use.offset")).alias("start"), "use.bit", "use.all_bits")
+        postings.filter(F.col("ranks").bitwiseAND(1) > 0)
+        .join(small_side(use.filter("bit = 1")), "term")
+        .select("doc_id", "text_hash", "window_id", "all_bits", (F.col("pos") - F.col("offset")).alias("start"))
         .filter("start >= 0")
-        .groupBy("doc_id", "text_hash", "window_id", "start", "all_bits")
-        .agg(F.bit_or("bit").alias("bits"))
-        .filter("bits = all_bits")
-        .select("doc_id", "text_hash", "window_id", "start")
     )
-    return postings, places
+    for nth in range(1, anchors):
+        bit = 1 << nth
+        step = use.filter(F.col("bit") == bit).select("window_id", F.col("term").alias("next"), F.col("offset").alias("ahead"))
+        more = F.col("all_bits").bitwiseAND(bit) > 0
+        index = postings.filter(F.col("ranks").bitwiseAND(bit) > 0).select(
+            F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("term").alias("w"), F.col("pos").alias("p")
+        )
+        looked_up = (
+            places.filter(more)
+            .join(small_side(step), "window_id")
+            .withColumn("there", F.col("start") + F.col("ahead"))
+            .join(
+                index,
+                F.col("doc_id").eqNullSafe(F.col("d"))
+                & (F.col("text_hash") == F.col("t"))
+                & (F.col("next") == F.col("w"))
+                & (F.col("there") == F.col("p")),
+                "left_semi",
+            )
+            .select(*places.columns)
+        )
+        places = store(looked_up.union(places.filter(~more)), f"places-{nth}")
+    return places.select("doc_id", "text_hash", "window_id", "start").distinct()
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
@@ -96,7 +120,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW,
     Only the benchmark, a stated query set, is broadcast, and only under a checked size; otherwise joins shuffle by term.
     """
     windows = store(windows_of(benchmark, length), "windows")
-    _, places = candidate_places(docs, windows, anchors)
+    places = candidate_places(docs, windows, anchors)
     found = store(
         places.join(small_side(windows), "window_id")
         .groupBy("doc_id", "text_hash")
