@@ -62,14 +62,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         .withColumn("nth", F.row_number().over(per_doc))
         .filter("nth = 1")
     )
-    shared = (
+    # Stored, so that the join may split the lines of a frequent hash, or broadcast a list proven small.
+    shared = store(
         firsts.groupBy("key")
         .agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper"))
         .filter(F.col("docs") >= min_docs)
-        .select("key", "keeper")
+        .select("key", "keeper"),
+        "shared-lines",
     )
     return (
-        refs.join(shared, "key")
+        refs.join(small_side(shared), "key")
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "text_hash", "n_lines")
         .agg(F.sort_array(F.collect_set("pos")).alias("drops"))
