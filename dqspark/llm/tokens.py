@@ -10,6 +10,7 @@ import numpy as np
 
 # A full memo is emptied; this bounds memory and does not change ids.
 MEMO_WORDS = 400_000
+GROUP_WORDS = 50
 
 # ASCII signs that end a word of letters or digits; an apostrophe may start a contraction instead.
 TAILS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -51,10 +52,33 @@ class Encoder:
         self.lower = "Lowercase" in str(config.get("normalizer"))
         self.special = tuple({t["content"][:2] for t in config["added_tokens"]})
         self.memo: dict[bytes, bytes] = {}
+        suffix = config["model"].get("end_of_word_suffix") or "\0"
+        vocabulary = config["model"]["vocab"]
+        self.ends = np.zeros(1 + max(vocabulary.values(), default=0), bool) if isinstance(vocabulary, dict) else np.zeros(0, bool)
+        for token, i in vocabulary.items() if isinstance(vocabulary, dict) else ():
+            self.ends[i] = token.endswith(suffix)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words. Words of letters alone are one piece each, which ends at its one word-end token, so many of
+        them go to the library as one text."""
+        out: list[bytes] = [b""] * len(words)
+        letters = [i for i, w in enumerate(words) if w.lower().isalpha()]
+        others = [i for i, w in enumerate(words) if not w.lower().isalpha()]
+        groups = [letters[i : i + GROUP_WORDS] for i in range(0, len(letters), GROUP_WORDS)]
+        for group, packed in zip(groups, self._plain([" ".join(words[i] for i in g) for g in groups])):
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[np.frombuffer(packed, "<u4")]) + 1)).tolist()]
+            if len(cuts) != len(group) + 1:
+                others += group
+                continue
+            for i, a, b in zip(group, cuts, cuts[1:]):
+                out[i] = packed[a:b]
+        for i, packed in zip(others, self._plain([words[i] for i in others])):
+            out[i] = packed
+        return out
+
     def _learn(self, words: list[list[bytes]]) -> None:
         memo = self.memo
         new = set().union(*words).difference(memo)
@@ -68,7 +92,7 @@ class Encoder:
                 split[w] = (stem, w[len(stem) :])
         needed = {p for w in new for p in split.get(w, (w,))}.difference(memo)
         order = list(needed)
-        memo.update(zip(order, self._plain([w.decode() for w in order])))
+        memo.update(zip(order, self._words([w.decode() for w in order])))
         for w, (stem, tail) in split.items():
             memo[w] = memo[stem] + memo[tail]
 
