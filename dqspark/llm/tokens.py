@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 # A full memo is emptied; this bounds memory and does not change ids.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 GROUP_WORDS = 50
 
 # ASCII signs that end a word of letters or digits; an apostrophe may start a contraction instead.
@@ -38,6 +38,22 @@ def word_wise(config: dict) -> bool:
     )
 
 
+def _latin1(text: str) -> bool:
+    """Such texts have no combining marks and lower-case sign by sign, so lower-casing ahead changes no id."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _ends_plain(stem: bytes) -> bool:
+    """Whether a letter or ASCII digit ends it; what follows from TAILS is then a piece of its own."""
+    if stem[-1:].isascii():
+        return stem[-1:].isalnum()
+    return stem.decode()[-1].isalpha()
+
+
 class Encoder:
     """encode(texts) gives the ids of each text as packed little-endian unsigned 32-bit integers."""
 
@@ -88,7 +104,7 @@ class Encoder:
         split = {}
         for w in new:
             stem = w.rstrip(TAILS)
-            if len(stem) < len(w) and stem[-1:].isalnum():
+            if len(stem) < len(w) and _ends_plain(stem):
                 split[w] = (stem, w[len(stem) :])
         needed = {p for w in new for p in split.get(w, (w,))}.difference(memo)
         order = list(needed)
@@ -105,10 +121,7 @@ class Encoder:
         for i, ids in zip(plain, self._plain([texts[i] for i in plain])):
             out[i] = ids
         rest = sorted(set(range(len(texts))).difference(plain))
-        # Lower-casing ahead is safe only without combining marks, hence for ASCII.
-        words = [
-            (texts[i].encode().lower() if self.lower and texts[i].isascii() else texts[i].encode()).split() for i in rest
-        ]
+        words = [(texts[i].lower() if self.lower and _latin1(texts[i]) else texts[i]).encode().split() for i in rest]
         self._learn(words)
         get = self.memo.__getitem__
         for i, ws in zip(rest, words):
