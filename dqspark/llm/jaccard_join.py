@@ -146,17 +146,23 @@ class Geometry:
 
 
 def coordinates(n: int) -> int:
-    """Groups of a count vector: about eight shingles each, a power of two so that vectors fold onto shorter ones."""
-    return 1 << min(12, max(4, (max(n, 1) // 8).bit_length()))
+    """Groups of a count vector: about two shingles each, a power of two so that vectors fold onto shorter ones."""
+    return 1 << min(12, max(4, (max(n, 1) // 2).bit_length()))
 
 
 def count_vector(v: np.ndarray) -> np.ndarray:
+    """In the narrowest type that holds the counts; its width follows from the number of bytes."""
     size = coordinates(len(v))
-    return np.bincount((mix(v ^ _MIX1) >> _U(64 - size.bit_length() + 1)).astype(np.int64), minlength=size).astype(np.int32)
+    counts = np.bincount((mix(v ^ _MIX1) >> _U(64 - size.bit_length() + 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.min_scalar_type(int(counts.max())).newbyteorder("<"))
+
+
+def read_vector(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{len(packed) // coordinates(n)}").astype(np.int32)
 
 
 def fold(vector: np.ndarray, size: int) -> np.ndarray:
-    return vector.reshape(size, -1).sum(axis=1)
+    return vector.reshape(size, -1).sum(axis=1, dtype=np.int32)
 
 
 # ------------------------------------------------------------------------------------------------ sketches of all documents
@@ -186,6 +192,8 @@ def _set_key(v: np.ndarray) -> bytes:
 def sketch(docs: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
     """Per document: set size and key, count vector, and the tree nodes (addresses) where it stands for its batch.
 
+    `node` is the document's name in the tree: its id, which makes the first document of a group of copies their hub.
+
     Within a batch only the first set at an address is sent on; the others name it in `near`. So a node that a third of
     all documents share reaches the shuffle once per batch. Sets seen before in the batch send nothing.
     """
@@ -200,8 +208,8 @@ def sketch(docs: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
             for begin, raws in _chunks(batch.column("text").to_pylist()):
                 for i, v in enumerate(shingle_sets(raws, k), begin):
                     key = _set_key(v)
-                    node = int.from_bytes(key[:8], "little", signed=True)
-                    rows.append((ids[i], len(v), key, node, count_vector(v).astype("<i4").tobytes() if len(v) else b"", place))
+                    node = -1 - place if ids[i] is None else ids[i]
+                    rows.append((ids[i], len(v), key, node, count_vector(v).tobytes() if len(v) else b"", place))
                     place += 1
                     if len(v) and key not in seen:
                         seen.add(key)
@@ -319,7 +327,7 @@ def tree_search(queries: DataFrame, members: DataFrame, similar: tuple[int, int]
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         geometry = Geometry(similar)
-        vectors = lambda t: [np.frombuffer(x, "<i4") for x in t.column("vector").to_pylist()]
+        vectors = lambda t: [read_vector(x, n) for x, n in zip(t.column("vector").to_pylist(), t.column("n").to_pylist())]
         a, b = [], []
         if left.num_rows and right.num_rows:
             tree = Tree(right.column("n").to_numpy(), vectors(right), geometry)
@@ -392,13 +400,22 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, in
     """
     sketches = store(sketch(docs, k, similar), "sketches")
     distinct = store(
-        sketches.filter("n > 0").groupBy("set_key", "node", "n", "vector").agg(F.min("place").alias("place"), F.min("doc_id").alias("low")),
+        sketches.filter("n > 0").groupBy("set_key", "n", "vector").agg(F.min("place").alias("place"), F.min("doc_id").alias("low")),
         "distinct-sets",
     )
-    pairs = stars(sketches)
-    point = distinct.select("node", "place", "n", "vector")
-    hubs = distinct.select(F.col("node").alias("hub"), F.col("place").alias("star"))
-    members = store(pairs.join(hubs, "hub").join(point, "node").select("star", "place", "n", "vector"), "members")
+    names = store(
+        sketches.filter("n > 0").select("node", "set_key").join(distinct.select("set_key", "place"), "set_key").select("node", "place").distinct(),
+        "names",
+    )
+    meets = (
+        stars(sketches)
+        .join(names.select(F.col("node").alias("hub"), F.col("place").alias("star")), "hub")
+        .join(names, "node")
+        .filter("star <> place")
+        .select("star", "place")
+        .distinct()
+    )
+    members = store(meets.join(distinct.select("place", "n", "vector"), "place").select("star", "place", "n", "vector"), "members")
     centres = distinct.join(members.select(F.col("star").alias("place")).distinct(), "place").select(
         F.col("place").alias("star"), "place", "n", "vector", F.lit(-1).cast("bigint").alias("part")
     )

@@ -105,6 +105,18 @@ def test_tree_returns_all_that_the_bound_allows():
         assert set(true) <= set(tree.search(int(n[i]), vectors[i]))
 
 
+def test_vectors_keep_large_counts():
+    from dqspark.llm.jaccard_join import coordinates, read_vector
+
+    for n in (1, 5, 300, 70_000):
+        v = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        vector = count_vector(v)
+        assert vector.sum() == n and len(vector) == coordinates(n)
+        assert (read_vector(vector.tobytes(), n) == vector).all()
+    wide = np.array([70_000] + [0] * 15, "<u4")
+    assert (read_vector(wide.tobytes(), 3) == wide).all()
+
+
 def test_shingle_hashes_agree_with_words():
     texts = ["a b c d e", "A  B\tC\nD\x0bE", "b c d e", "a b c", "", "é É a b c d", "x" * 70_000 + " y z w"]
     sets = shingle_sets([t.encode() for t in texts], 4)
