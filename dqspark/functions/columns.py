@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from decimal import Decimal, InvalidOperation
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,57 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _trimmed(text: Column) -> Column:
+    """Decimal text without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def comparable_text(value: Column, data_type: T.DataType) -> Column:
+    """Text in which equal values are equal whatever their type: 1, 1.0 and DECIMAL 1.00 are `1`, -0.0 is `0`, a date and
+    its midnight are one. NaN must be null already. Doubles of more than 18 decimal places or 38 digits keep their own notation."""
+    text = value.cast("string")
+    if isinstance(data_type, T.DecimalType):
+        return _trimmed(text) if data_type.scale > 0 else text
+    if isinstance(data_type, FLOAT_TYPES):
+        number = text.cast("double")  # a float32 counts as the number it shows
+        plain, whole = text.try_cast("decimal(38,18)"), text.try_cast("decimal(38,0)")
+        return (
+            F.when((F.abs(number) < 2.0**63) & (number == F.floor(number)), F.floor(number).cast("string"))
+            .when(plain.cast("double") == number, _trimmed(plain.cast("string")))
+            .when((F.abs(number) >= 2.0**63) & (whole.cast("double") == number), whole.cast("string"))
+            .otherwise(text)
+        )
+    if isinstance(data_type, DATETIME_TYPES):
+        return F.regexp_replace(value.cast("timestamp_ntz").cast("string"), " 00:00:00$", "")
+    return text
+
+
+def comparable_literal(value, kind: str | None) -> str:
+    """A listed value in the form that comparable_text gives to a column of that contract type."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if kind in ("integer", "float"):
+        try:
+            exact = Decimal(str(value))
+        except InvalidOperation:
+            return str(value)
+        if not exact.is_finite():
+            return str(value)
+        text = format(exact, "f")
+        text = text.rstrip("0").rstrip(".") if "." in text else text
+        return "0" if text in ("-0", "") else text
+    if kind == "datetime":
+        if isinstance(value, str):
+            try:
+                value = datetime.fromisoformat(value)
+            except ValueError:
+                return value
+        if isinstance(value, datetime):
+            text = value.strftime("%Y-%m-%d %H:%M:%S") + (f".{value.microsecond:06d}".rstrip("0") if value.microsecond else "")
+            return text.removesuffix(" 00:00:00")
+    return str(value)
+
+
 def severity(score: Column) -> Column:
     result = F.lit("low")
     for cut, label in reversed(SEVERITY_CUTS):
@@ -65,6 +119,11 @@ def is_identifier(name: Column) -> Column:
     return lowered.endswith("_id") | (lowered == "id")
 
 
+def is_identifier_name(name: str) -> bool:
+    """The same rule for a name known to the driver."""
+    return name.lower().endswith("_id") or name.lower() == "id"
+
+
 def evidence(**items: Column | str | int | float | None) -> Column:
     """MAP<STRING,STRING>; entries whose value is null are left out."""
     pairs = []

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dqspark.functions.columns import q
 from dqspark.operators.profile import exact_quantiles
+from dqspark.runtime import materialize
 
 
 def fault_drop_column(df: DataFrame, column: str) -> DataFrame:
@@ -23,9 +23,16 @@ def fault_recode(df: DataFrame, column: str) -> DataFrame:
     Codes come from a distributed sort with per-partition offsets, so the number of categories is not bound
     by one task; the join on the category is broadcast by the optimizer when the code list is small.
     """
-    ordered = df.select(q(column).alias("_value")).distinct().filter("_value is not null").orderBy("_value")
-    schema = T.StructType([ordered.schema["_value"], T.StructField("_code", T.LongType())])
-    codes = df.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1])), schema)
+    values = df.select(q(column).alias("_value")).distinct().filter("_value is not null")
+    # Stored with its place, so that both uses below see the same partitions.
+    placed = materialize(
+        values.repartitionByRange("_value").withColumn("_part", F.spark_partition_id())
+    )
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_value"))
+    codes = placed.join(offsets, "_part").select("_value", (F.col("_before") + rank - 1).cast("bigint").alias("_code"))
     joined = df.join(codes, q(column) == F.col("_value"), "left")
     return joined.select(*[F.col("_code").alias(c) if c == column else q(c) for c in df.columns])
 

@@ -15,9 +15,6 @@ from dqspark.runtime import materialize
 
 MAX_HOPS = 6
 COMPACT_HOPS = 8
-COLUMN_RESULTS = 200
-COLUMN_SIGNALS = 20
-CHANGE_ROWS = 20
 SIMILAR = 5
 
 # Points of the business impact.
@@ -113,9 +110,9 @@ def _column_edges(column_edges: DataFrame, reverse: bool) -> DataFrame:
 
 
 def reachable_columns(
-    column_edges: DataFrame, starts: DataFrame, reverse: bool = False, limit: int | None = COLUMN_RESULTS
+    column_edges: DataFrame, starts: DataFrame, reverse: bool = False, limit: int | None = None
 ) -> DataFrame:
-    """(start_asset, start_column, hop, asset, column) by breadth-first walk; the nearest `limit` per start."""
+    """(start_asset, start_column, hop, asset, column) by breadth-first walk; only the nearest `limit` per start if given."""
     begin = starts.select(F.struct(F.col("asset").alias("asset"), F.lower("column").alias("column")).alias("start"))
     found = _walk(_column_edges(column_edges, reverse), begin, None, paths=False, enough=limit).select(
         F.col("start.asset").alias("start_asset"),
@@ -130,9 +127,11 @@ def reachable_columns(
     return found.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def column_impact(column_edges: DataFrame, signals: DataFrame, limit: int = COLUMN_RESULTS) -> DataFrame:
-    """(run_id, asset, column, upstream, downstream) for the signalled columns of each run, at most twenty per
-    run in signal order, only those with any dependency. `signals` carries run_id, asset, column, seq."""
+def column_impact(
+    column_edges: DataFrame, signals: DataFrame, limit: int | None = None, max_columns: int | None = None
+) -> DataFrame:
+    """(run_id, asset, column, upstream, downstream) for the signalled columns of each run that have any dependency;
+    only the first `max_columns` in signal order if given. `signals` carries run_id, asset, column, seq."""
     wanted = (
         signals.filter("column is not null")
         .groupBy("run_id", "asset", F.lower("column").alias("column"))
@@ -152,12 +151,10 @@ def column_impact(column_edges: DataFrame, signals: DataFrame, limit: int = COLU
         )
     joined = wanted.join(parts[0], ["asset", "column"], "left").join(parts[1], ["asset", "column"], "left")
     found = joined.filter("upstream is not null or downstream is not null")
-    window = Window.partitionBy("run_id").orderBy("seq", "column")
-    return (
-        found.withColumn("_rank", F.row_number().over(window))
-        .filter(F.col("_rank") <= COLUMN_SIGNALS)
-        .select("run_id", "asset", "column", "upstream", "downstream")
-    )
+    if max_columns is not None:
+        window = Window.partitionBy("run_id").orderBy("seq", "column")
+        found = found.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= max_columns)
+    return found.select("run_id", "asset", "column", "upstream", "downstream")
 
 
 def affected_assets(signals: DataFrame, edges: DataFrame, names: DataFrame | None = None, max_hops: int = MAX_HOPS) -> DataFrame:
@@ -232,8 +229,8 @@ def changed_assets(old_nodes: DataFrame, new_nodes: DataFrame, mode: str = "repl
     return result if mode == "replace" else result.filter("change <> 'removed'")
 
 
-def change_candidates(events: DataFrame, scope: DataFrame, runs: DataFrame, k: int = CHANGE_ROWS) -> DataFrame:
-    """Lineage events since the last good run that touch a run's asset or its upstream, newest k per run.
+def change_candidates(events: DataFrame, scope: DataFrame, runs: DataFrame, k: int | None = None) -> DataFrame:
+    """Lineage events since the last good run that touch a run's asset or its upstream, ranked per run; the newest k if given.
 
     `events(event_id, kind, created_at, namespace, initial, changed_assets, runs array<struct<asset,status>>)`,
     `scope(run_id, asset, relation)`, `runs(run_id, since)`.
@@ -248,24 +245,20 @@ def change_candidates(events: DataFrame, scope: DataFrame, runs: DataFrame, k: i
         .filter(F.lower("status").isin("error", "fail", "abort"))
         .select("event_id", "created_at", "asset", F.lit("run_failed").alias("change"), "status")
     )
-    # Only the newest k changes of an asset can be among the newest k of any run, so each asset is cut to k
+    # With k, only the newest k changes of an asset can be among the newest k of any run, so each asset is cut to k
     # lines before it meets the runs; a busy asset with many runs never multiplies.
     order = [F.col("created_at").desc(), "event_id", "change"]
     per_asset = Window.partitionBy("asset").orderBy(*order)
-    newest = (
-        definitions.unionByName(failures)
-        .withColumn("_rank", F.row_number().over(per_asset))
-        .filter(F.col("_rank") <= k)
-        .drop("_rank")
-    )
+    newest = definitions.unionByName(failures)
+    if k is not None:
+        newest = newest.withColumn("_rank", F.row_number().over(per_asset)).filter(F.col("_rank") <= k).drop("_rank")
     joined = (
         newest.join(scope, "asset").join(runs.select("run_id", "since"), "run_id").filter(F.col("created_at") >= F.col("since"))
     )
     window = Window.partitionBy("run_id").orderBy(*order, "asset")
-    return (
-        joined.withColumn("rank", F.row_number().over(window))
-        .filter(F.col("rank") <= k)
-        .select("run_id", "rank", "event_id", "created_at", "asset", "relation", "change", "status")
+    ranked = joined.withColumn("rank", F.row_number().over(window))
+    return (ranked if k is None else ranked.filter(F.col("rank") <= k)).select(
+        "run_id", "rank", "event_id", "created_at", "asset", "relation", "change", "status"
     )
 
 

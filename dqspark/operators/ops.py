@@ -9,30 +9,29 @@ from pyspark.sql import functions as F
 
 from dqspark.functions.columns import as_instant, digest, severity_label, severity_rank
 
-# Limits of the operations reports.
-HISTORY_RUNS = 60
-MAX_HISTORY_RUNS = 200
+# Grace periods of the operations reports.
 STALL_GRACE_MINUTES = 10
 BACKLOG_MINUTES = 15
 WORKER_TTL_SECONDS = 90
-TIMELINE_EVENTS = 500
 
 
 def _minutes(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(6e7)
 
 
-def newest_per(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[Column]) -> DataFrame:
-    """n newest rows per key; the rank filter is applied in every task before the shuffle."""
+def newest_per(df: DataFrame, keys: Sequence[str], n: int | None, order: Sequence[Column]) -> DataFrame:
+    """n newest rows per key, all without n; the rank filter is applied in every task before the shuffle."""
+    if n is None:
+        return df.withColumn("_rank", F.lit(0))
+    if n < 1:
+        raise ValueError("a limit is at least 1")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n)
 
 
-def metric_history(runs: DataFrame, profiles: DataFrame, signals: DataFrame | None = None, limit: int = HISTORY_RUNS) -> DataFrame:
-    """(source_id, run_id, run_ts, rows, signals, quality, column, null_ratio, mean): the newest `limit` runs of
-    each source that share the newest run's configuration."""
-    if not 1 <= limit <= MAX_HISTORY_RUNS:
-        raise ValueError(f"limit lies between 1 and {MAX_HISTORY_RUNS}")
+def metric_history(runs: DataFrame, profiles: DataFrame, signals: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(source_id, run_id, run_ts, rows, signals, quality, column, null_ratio, mean): runs of each source
+    that share the newest run's configuration, out of its newest `limit` runs if given."""
     newest = runs.groupBy("source_id").agg(F.max_by("config_hash", F.struct("run_ts", "run_id")).alias("newest_config"))
     recent = newest_per(runs, ["source_id"], limit, [F.col("run_ts").desc(), F.col("run_id").desc()])
     kept = recent.join(newest, "source_id").filter(F.col("config_hash").eqNullSafe(F.col("newest_config")))
@@ -46,8 +45,8 @@ def metric_history(runs: DataFrame, profiles: DataFrame, signals: DataFrame | No
     )
 
 
-def history_columns(history: DataFrame, limit: int = 12) -> DataFrame:
-    """The first `limit` column names per source that carry a mean."""
+def history_columns(history: DataFrame, limit: int | None = None) -> DataFrame:
+    """Column names per source that carry a mean; the first `limit` by name if given."""
     names = history.filter("mean is not null").select("source_id", "column").distinct()
     return newest_per(names, ["source_id"], limit, [F.col("column").asc()]).drop("_rank")
 
@@ -196,19 +195,19 @@ def outcome_metrics(runs: DataFrame, signals: DataFrame, feedback: DataFrame, re
     return merged.agg(*[value(n).cast("bigint").alias(n) for n in whole], F.round(value("median_scan_seconds"), 6).alias("median_scan_seconds"))
 
 
-def list_incidents(reports: DataFrame, runs: DataFrame, triage: DataFrame, severity: str | None = None, limit: int = 50) -> DataFrame:
-    """Newest incidents with their triage state; filters reach the report table before the joins."""
+def list_incidents(reports: DataFrame, runs: DataFrame, triage: DataFrame, severity: str | None = None, limit: int | None = None) -> DataFrame:
+    """Incidents with their triage state, the newest `limit` if given; filters reach the report table before the joins."""
     chosen = reports if severity is None else reports.filter(F.col("severity") == severity)
     joined = chosen.join(runs.select("run_id", "source_id", "run_ts"), "run_id").join(
         triage.select("run_id", F.col("status").alias("triage")), "run_id", "left"
     )
-    return joined.orderBy(F.col("run_ts").desc(), "run_id").limit(limit)
+    return joined if limit is None else joined.orderBy(F.col("run_ts").desc(), "run_id").limit(limit)
 
 
-def list_observations(runs: DataFrame, signals: DataFrame, source_id: str | None = None, limit: int = 50) -> DataFrame:
-    """Newest runs with their signal counts; the limit is applied before the signals are joined."""
+def list_observations(runs: DataFrame, signals: DataFrame, source_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Runs with their signal counts, the newest `limit` if given, which is applied before the signals are joined."""
     chosen = runs if source_id is None else runs.filter(F.col("source_id") == source_id)
-    newest = chosen.orderBy(F.col("run_ts").desc(), "run_id").limit(limit)
+    newest = chosen if limit is None else chosen.orderBy(F.col("run_ts").desc(), "run_id").limit(limit)
     counts = signals.join(newest.select("run_id"), "run_id", "left_semi").groupBy("run_id").agg(F.count(F.lit(1)).alias("signals"))
     return newest.join(counts, "run_id", "left").withColumn("signals", F.coalesce("signals", F.lit(0)))
 
@@ -230,11 +229,11 @@ def list_datasets(profiles: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def timeline(events: DataFrame, scope: DataFrame, limit: int = TIMELINE_EVENTS) -> DataFrame:
-    """The newest events of a run's source or touching one of its assets, at most `limit` per run.
+def timeline(events: DataFrame, scope: DataFrame, limit: int | None = None) -> DataFrame:
+    """Events of a run's source or touching one of its assets, the newest `limit` per run if given.
 
     `events(event_id, source_id, created_at, kind, assets array<string>)`, `scope(run_id, source_id, asset)`
-    with one row per neighbouring asset. Each asset and each source is cut to its newest `limit` events before
+    with one row per neighbouring asset. With a limit each asset and each source is cut to its newest events before
     the join, which loses nothing and keeps busy ones from multiplying with their runs.
     """
     order = [F.col("created_at").desc(), F.col("event_id").asc()]

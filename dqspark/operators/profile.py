@@ -1,8 +1,8 @@
 """Column profiles: one wide aggregate for moments, one value-count shuffle per kind for everything exact.
 
-The wide aggregate combines on the map side. Distinct counts, top values, the value hash and exact
-quantiles all read the same pre-aggregated (run, column, value) counts, so a value that fills a third
-of the table is one row after the first combine and no task ever holds a whole column.
+The wide aggregate combines on the map side. Distinct counts, top values and the value hash read the same
+pre-aggregated (run, column, value) counts, so a value that fills a third of the table is one row after the
+first combine. Exact quantiles are selected by rank (see quantiles.py) and shuffle only what lies near them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.columns import nan_to_null, q
-from dqspark.runtime import broadcast_if_small, materialize
+from dqspark.operators.quantiles import bracket_sketch, select_quantiles
+from dqspark.runtime import materialize
 from dqspark.types import contract_type, kind_of
 
 PARTS = ("distinct", "quantiles", "top", "hash")
@@ -22,10 +23,8 @@ TOP_VALUES = 5
 HASH_VALUES = 200
 TOP_TYPE = "array<struct<value:string,count:bigint>>"
 
-# Rank bracket of the exact quantiles: the sketch error is 1/accuracy, the bracket is ten times wider.
-ACCURACY = 10_000
-BRACKET = 10 / ACCURACY
-WHOLE_RANGE_ROWS = 5_000
+#: Error of the sketch quantiles and distinct counts of `exact=False`: 1 / ACCURACY of the rank, 5 % of the count.
+ACCURACY = 1_000
 LONG_TEXT = 64
 
 
@@ -35,11 +34,6 @@ def _columns(df: DataFrame, runs: Sequence[str], columns: Sequence[str] | None):
     return [(i, name, fields[name].dataType) for i, name in enumerate(names)]
 
 
-def _brackets(column: Column, probabilities: Sequence[float]) -> Column:
-    around = [x for p in probabilities for x in (max(0.0, p - BRACKET), min(1.0, p + BRACKET))]
-    return F.percentile_approx(column, around, ACCURACY)
-
-
 def _wide_stats(
     df: DataFrame, runs: Sequence[str], columns, brackets: Sequence[float] = (), approximate: bool = False
 ) -> DataFrame:
@@ -57,7 +51,7 @@ def _wide_stats(
                 mean=F.avg(number), sd=F.stddev_pop(number), mn=F.min(number), mx=F.max(number)
             )
             if brackets:
-                wanted["br"] = _brackets(number, brackets)
+                wanted["br"] = bracket_sketch(number, brackets)
             if approximate:
                 wanted["qs"] = F.percentile_approx(number, list(QUANTILES), ACCURACY)
         if kind == "datetime":
@@ -167,55 +161,10 @@ def _hash(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
     )
 
 
-def _quantiles(
-    counts: DataFrame, stats: DataFrame, runs: list[str], probabilities: Sequence[float] = QUANTILES
-) -> DataFrame:
-    """Exact linear-interpolated quantiles q0, q1, … without sorting a column in one place.
-
-    A sketch brackets each rank; every value below a bracket folds into one partial sum and only the
-    bracket itself (about 20/accuracy of the rows) is ordered.
-    """
-    keys = [*runs, "ordinal"]
-    whole = F.col("non_null") <= WHOLE_RANGE_ROWS
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("p"),
-                F.when(whole | F.lit(p - BRACKET <= 0), F.col("min"))
-                .otherwise(F.col("brackets")[2 * j])
-                .alias("lo"),
-                F.when(whole | F.lit(p + BRACKET >= 1), F.col("max"))
-                .otherwise(F.col("brackets")[2 * j + 1])
-                .alias("hi"),
-            )
-            for j, p in enumerate(probabilities)
-        ]
-    )
-    brackets = stats.filter("kind = 'numeric' and non_null > 0").select(
-        *keys, "non_null", wanted.alias("wanted")
-    )
-    number = F.coalesce(F.col("dval"), F.col("lval").cast("double"))
-    # Null-safe conditions add no filter below the value counts, which keeps their exchange reusable.
-    numbers = counts.select(*keys, "freq", number.alias("v"))
-    folded = (
-        _null_safe_join(numbers, broadcast_if_small(brackets), keys, "inner")
-        .select(*keys, "freq", "v", "non_null", F.inline("wanted"))
-        .filter(F.coalesce(F.col("v") <= F.col("hi"), F.lit(False)))
-        .groupBy(*keys, "p", "non_null", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
-        .agg(F.sum("freq").alias("freq"))
-    )
-    window = Window.partitionBy(*keys, "p").orderBy(F.col("v").asc_nulls_first())
-    rank = F.col("p") * (F.col("non_null") - 1)
-    ranked = folded.withColumn("upto", F.sum("freq").over(window)).withColumn("rank", rank)
-    picked = ranked.groupBy(*keys, "p").agg(
-        F.min(F.when(F.col("upto") > F.floor("rank"), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("v"))).alias("b"),
-        F.max(F.col("rank") - F.floor("rank")).alias("part"),
-    )
-    value = F.col("a") + F.coalesce(F.col("b") - F.col("a"), F.lit(0.0)) * F.col("part")
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("p") == p, value)).alias(f"q{j}") for j, p in enumerate(probabilities)]
-    )
+def number_rows(df: DataFrame, runs: Sequence[str], columns) -> DataFrame:
+    """(runs…, ordinal, v) of the numeric columns, nulls left out."""
+    entries = [F.struct(F.lit(i).alias("ordinal"), q(name).cast("double").alias("v")) for i, name, _ in columns]
+    return df.select(*[q(r) for r in runs], F.inline(F.array(*entries))).filter("v is not null")
 
 
 def exact_quantiles(
@@ -226,7 +175,7 @@ def exact_quantiles(
     described = _columns(df, runs, columns)
     df = nan_to_null(df.select(*[q(c) for c in [*runs, *columns]]))
     stats = materialize(_wide_stats(df, runs, described, brackets=probabilities))
-    found = _quantiles(value_counts(df, runs, described), stats, runs, probabilities)
+    found = select_quantiles(number_rows(df, runs, described), stats, runs, probabilities)
     return _attach(stats.select(*runs, "column", "ordinal", "non_null"), found, [*runs, "ordinal"]).drop("ordinal")
 
 
@@ -266,7 +215,7 @@ def raw_profile(
         if "top" in parts and categorical:
             pieces.append(_top(counted["c"], keys, top_k))
         if quantiles:
-            pieces.append(_quantiles(counted["n"], stats, runs))
+            pieces.append(select_quantiles(number_rows(df, runs, numeric), stats, runs, QUANTILES))
     for piece in pieces:
         result = _attach(result, piece, keys)
     have = set(result.columns)
@@ -356,17 +305,21 @@ def profile_segments(
     df: DataFrame,
     columns: Sequence[str],
     runs: Sequence[str] = (),
-    max_segments: int = 100,
+    max_segments: int | None = None,
     **options,
 ) -> DataFrame:
-    """Profile of every value combination of at most two columns; nulls form their own group."""
+    """Profile of every value combination of at most two columns; nulls form their own group.
+
+    With `max_segments` a run with more combinations is refused before it is profiled.
+    """
     columns = list(columns)
     if not 1 <= len(columns) <= 2 or any(c not in df.columns for c in columns):
         raise ValueError("one or two existing segment columns are needed")
-    groups = df.select(*runs, *columns).distinct().groupBy(*runs).count()
-    widest = groups.agg(F.max("count")).first()[0] or 0
-    if widest > max_segments:
-        raise ValueError(f"{widest} segments exceed the limit of {max_segments}; choose coarser columns")
+    if max_segments is not None:
+        groups = df.select(*runs, *columns).distinct().groupBy(*runs).count()
+        widest = groups.agg(F.max("count")).first()[0] or 0
+        if widest > max_segments:
+            raise ValueError(f"{widest} segments exceed the limit of {max_segments}; choose coarser columns")
     labelled = df.withColumn("segment", segment_label(columns)).drop(*columns)
     return profile_table(labelled, runs=[*runs, "segment"], **options)
 

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from dqspark.functions.columns import q
 from dqspark.operators.contract import check_contract
 from dqspark.operators.profile import profile_table
-from dqspark.types import kind_of
+from dqspark.types import FLOAT_TYPES, kind_of
 
-# The factors a scale repair may use and the default row limit.
+# The factors a scale repair may use.
 SCALE_FACTORS = (0.01, 0.1, 10, 100)
-MAX_CHANGED_ROWS = 1_000
 
 
 def batch_mask(where: Mapping) -> Column:
@@ -28,9 +27,13 @@ def batch_mask(where: Mapping) -> Column:
 
 
 def repair_scale(
-    df: DataFrame, column: str, factor: float, where: Mapping, max_changed_rows: int = MAX_CHANGED_ROWS
+    df: DataFrame, column: str, factor: float, where: Mapping, max_changed_rows: int
 ) -> DataFrame:
-    """Multiply one numeric column of one batch; refused when it would touch no row or too many."""
+    """Multiply one numeric column of one batch; refused when it would touch no row or more than the caller allows.
+
+    Only the batch is computed; all other values and the column's type stay as they are. An integer or decimal column is
+    refused when a product does not fit its type exactly.
+    """
     if column not in df.columns or kind_of(df.schema[column].dataType) != "numeric":
         raise ValueError("a numeric target column is needed")
     if factor not in SCALE_FACTORS:
@@ -38,14 +41,24 @@ def repair_scale(
     if any(c not in df.columns for c in where):
         raise ValueError("the filter names unknown columns")
     mask = batch_mask(where)
-    affected = df.filter(mask).count()
+    kind, value = df.schema[column].dataType, q(column)
+    if isinstance(kind, FLOAT_TYPES):
+        scaled, inexact = value.cast("double") * float(factor), F.lit(False)
+    else:
+        # Divisions by 10 or 100 in place of products keep decimals exact.
+        wide = value.cast("decimal(38,6)")
+        exact = wide * F.lit(int(factor)).cast("decimal(4,0)") if factor > 1 else wide / F.lit(round(1 / factor)).cast("decimal(4,0)")
+        scaled = exact.try_cast(kind)
+        inexact = value.isNotNull() & ~F.coalesce(scaled.cast("decimal(38,6)") == exact, F.lit(False))
+    affected, broken = df.filter(mask).agg(F.count(F.lit(1)), F.count_if(inexact)).first()
+    if broken:
+        raise ValueError(f"{broken} products do not fit {kind.simpleString()} exactly")
     if not 0 < affected <= max_changed_rows:
         raise ValueError(f"{affected} rows affected, allowed are 1 to {max_changed_rows}")
-    number = q(column).cast("double")
-    return df.withColumn(column, F.when(mask, number * factor).otherwise(number))
+    return df.withColumn(column, F.when(mask, scaled.cast(kind)).otherwise(value))
 
 
-def repair_deduplicate(df: DataFrame, keys: Sequence[str], max_changed_rows: int = MAX_CHANGED_ROWS) -> DataFrame:
+def repair_deduplicate(df: DataFrame, keys: Sequence[str], max_changed_rows: int) -> DataFrame:
     """Drop exact copies; refused when one key still has different rows or nothing changes."""
     if not keys or any(k not in df.columns for k in keys):
         raise ValueError("existing key columns are needed")
@@ -69,10 +82,10 @@ def validate_repair(
     before: DataFrame,
     after: DataFrame,
     contract: Mapping,
+    max_changed_rows: int,
     as_of=None,
     where: Mapping | None = None,
     references=None,
-    max_changed_rows: int = MAX_CHANGED_ROWS,
 ) -> DataFrame:
     """One row: was the contract broken before, is it clean after, are all rows outside the batch unchanged.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ class Options:
 
     seasonal: bool = False
     segment_by: Sequence[str] = ()
+    max_segments: int | None = None
     adaptive: bool = True
     learned_freshness: Sequence[str] = ()
     sensitive_columns: Sequence[str] = ()
@@ -40,6 +42,16 @@ class History:
     segments: DataFrame | None = None
 
 
+class Analysis(NamedTuple):
+    """Tables of an analysis; `segments` (the segment profiles) is None unless segments were asked for. Stored profiles and
+    segments of accepted runs are the History of the next one."""
+
+    profiles: DataFrame
+    signals: DataFrame
+    runs: DataFrame
+    segments: DataFrame | None
+
+
 def _known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in columns if c in df.columns])
 
@@ -54,8 +66,8 @@ def analyze_table(
     config_hash: str = "default",
     options: Options | None = None,
     reference: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profiles, signals, run) of one batch against the accepted history of its source.
+) -> Analysis:
+    """Profiles, signals, run and segment profiles of one batch against the accepted history of its source.
 
     `reference` is the stored data of the newest accepted run for the joint test.
     """
@@ -65,6 +77,7 @@ def analyze_table(
         F.lit(run_id).alias("run_id"),
         F.lit(as_of).cast("timestamp_ntz").alias("run_ts"),
         F.lit(config_hash).alias("config_hash"),
+        F.lit("candidate").alias("quality"),  # no run is its own history
         "total_rows",
     )
     return _analyze(stamped, contract, runs, history, F.lit(as_of), options or Options(), reference)
@@ -76,7 +89,7 @@ def analyze_runs(
     runs: DataFrame,
     options: Options | None = None,
     as_of=None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+) -> Analysis:
     """The same for every run inside a table that carries a `run_id` column, in one job.
 
     `runs(source_id, run_id, run_ts, quality, config_hash, total_rows)`. The `quality` labels decide which
@@ -107,10 +120,15 @@ def _analyze(df, contract, runs, history, as_of, options: Options, reference):
     found.append(drift.empty_dataset(counts, keys))
     ready = states.filter("state = 'ready'")
     found.append(drift.drift_volume(ready.select("run_id", "row_count"), counts, keys))
+    segments = None
     if options.segment_by:
-        current = materialize(
-            profile_segments(df.select("run_id", *options.segment_by, *[q(c) for c in plain]), options.segment_by, keys, parts=("distinct",))
+        current = profile_segments(
+            df.select("run_id", *options.segment_by, *[q(c) for c in plain]), options.segment_by, keys, options.max_segments, parts=("distinct",)
         )
+        if set(options.segment_by) & set(options.sensitive_columns):
+            # Labels would show raw values; digests compare just as well from run to run.
+            current = current.withColumn("segment", F.concat(F.lit("sha256:"), F.sha2("segment", 256)))
+        segments = current = materialize(current)
         past_segments = current if history is None else history.segments
         if past_segments is not None:
             pairs = ready.select("run_id", F.col("newest_base").alias("base_run"))
@@ -147,12 +165,13 @@ def _analyze(df, contract, runs, history, as_of, options: Options, reference):
     signals = number_signals(signals, keys)
     if options.sensitive_columns:
         profiles = mask_sensitive(profiles, options.sensitive_columns)
+        segments = segments and mask_sensitive(segments, options.sensitive_columns)
         signals = mask_sensitive(signals, options.sensitive_columns)
     signals = materialize(signals)
     summary = runs.join(incident_risk(signals, keys, runs), keys).join(
         states.select("run_id", "state", F.col("newest_base").alias("baseline_run")), keys, "left"
     )
-    return profiles, signals, summary
+    return Analysis(profiles, signals, summary, segments)
 
 
 def _like(df: DataFrame, wanted: DataFrame) -> DataFrame:

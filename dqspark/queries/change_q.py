@@ -219,12 +219,12 @@ def validate(spark, sf):
     def scaled(status):
         where = {"o_orderstatus": status}
         fixed = R.repair_scale(broken, "o_totalprice", 0.01, where, every)
-        return R.validate_repair(broken, fixed, PRICE_RULE, where=where, max_changed_rows=every)
+        return R.validate_repair(broken, fixed, PRICE_RULE, every, where=where)
 
     cases = {
         "scale": scaled("P"),
         "wrong batch": scaled("O"),
-        "deduplicate": R.validate_repair(doubled, R.repair_deduplicate(doubled, ["o_orderkey"], every), KEY_RULE, max_changed_rows=every),
+        "deduplicate": R.validate_repair(doubled, R.repair_deduplicate(doubled, ["o_orderkey"], every), KEY_RULE, every),
     }
     parts = [found.select(F.lit(name).alias("repair"), "*") for name, found in cases.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

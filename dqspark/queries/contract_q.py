@@ -106,13 +106,46 @@ def freshness(spark, sf):
 @query(
     "rule_allowed_values",
     with_sql(
-        """SELECT run_id, to_json(list(DISTINCT o_orderstatus))::VARCHAR AS unexpected_values, count(*) AS violation_count
+        """SELECT run_id, to_json(list(DISTINCT o_orderstatus))::VARCHAR AS sample, count(*) AS violation_count
            FROM faulted WHERE o_orderstatus NOT IN ('F', 'O', 'P') GROUP BY run_id"""
     ),
 )
 def allowed(spark, sf):
     found = C.rule_allowed_values(faulted_orders(spark, sf), "o_orderstatus", ["F", "O", "P"], runs=["run_id"])
-    return found.select("run_id", F.element_at("evidence", "unexpected_values").alias("unexpected_values"), fact("violation_count", "bigint"))
+    return found.select("run_id", F.element_at("evidence", "sample").alias("sample"), fact("violation_count", "bigint"))
+
+
+QUANTITIES = [1, 2.0, "3", 4, 5, 50]
+DISCOUNTS = ["0.0", "0.01", "0.020"]
+DATES = ["1995-03-02", "1996-01-01 00:00:00"]
+
+
+@query(
+    "bad_values",
+    """SELECT 'l_quantity' AS "column", l_quantity::BIGINT::VARCHAR AS value, count(*) AS freq FROM lineitem WHERE l_quantity NOT IN (1, 2, 3, 4, 5, 50) GROUP BY 2
+       UNION ALL SELECT 'l_discount', rtrim(rtrim(l_discount::DECIMAL(4,2)::VARCHAR, '0'), '.'), count(*) FROM lineitem WHERE l_discount NOT IN (0, 0.01, 0.02) GROUP BY 2
+       UNION ALL SELECT 'l_shipdate', strftime(l_shipdate, CASE WHEN l_shipdate = date_trunc('day', l_shipdate) THEN '%Y-%m-%d' ELSE '%Y-%m-%d %H:%M:%S' END), count(*)
+         FROM lineitem WHERE l_shipdate NOT IN (TIMESTAMP '1995-03-02', TIMESTAMP '1996-01-01') GROUP BY 2""",
+)
+def all_bad_values(spark, sf):
+    """Every value outside a list, of a double column against integers, a double against decimal text, dates as text."""
+    rules = {
+        0: {"type": "allowed_values", "column": "l_quantity", "values": QUANTITIES},
+        1: {"type": "allowed_values", "column": "l_discount", "values": DISCOUNTS},
+        2: {"type": "allowed_values", "column": "l_shipdate", "values": DATES},
+    }
+    names = F.create_map(*[F.lit(x) for i, r in rules.items() for x in (i, r["column"])])
+    return C.bad_values(table(spark, sf, "lineitem"), rules, []).select(names[F.col("rule")].alias("column"), "value", "freq")
+
+
+@query(
+    "rule_referential_typed",
+    """SELECT count(*) AS orphan_count FROM lineitem WHERE l_discount::DECIMAL(8,4) NOT IN (SELECT l_tax::DECIMAL(8,4) FROM lineitem)""",
+)
+def typed_reference(spark, sf):
+    """A double column against a table that holds the same numbers as DECIMAL."""
+    known = table(spark, sf, "lineitem").select(F.col("l_tax").cast("decimal(8,4)").alias("k"))
+    return C.rule_referential(table(spark, sf, "lineitem"), "l_discount", known).select(fact("orphan_count", "bigint"))
 
 
 @query(

@@ -32,26 +32,66 @@ from dqspark.runtime import materialize
 # ------------------------------------------------------------------ drift against the month before
 
 
-def _drift(spark, sf, tests):
-    profiles = materialize(month_profiles(spark, sf))
-    base = with_previous(profiles, month_runs(spark, sf))
-    found = D.drift_columns(base, profiles, ["run_id"], tests=tests)
+def drifting_orders(spark, sf):
+    """Monthly orders in which each kind of drift returns every year: missing prices in February, prices in other units in
+    May, somewhat higher ones in September, few customers in November."""
+    month = F.month("o_orderdate")
+    price = (
+        F.when((month == 2) & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit(None))
+        .when(month == 5, F.col("o_totalprice") * 100)
+        .when(month == 9, F.col("o_totalprice") * 1.5)
+        .otherwise(F.col("o_totalprice"))
+    )
+    customer = F.when(month == 11, F.col("o_custkey") % 5).otherwise(F.col("o_custkey"))
+    orders = table(spark, sf, "orders")
+    return orders.select(F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), price.alias("o_totalprice"), customer.alias("o_custkey"))
+
+
+_DRIFT_CHAIN = f"""
+WITH f AS MATERIALIZED (
+  SELECT strftime(o_orderdate, '%Y-%m') AS run_id,
+    CASE WHEN month(o_orderdate) = 2 AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN NULL
+         WHEN month(o_orderdate) = 5 THEN o_totalprice * 100 WHEN month(o_orderdate) = 9 THEN o_totalprice * 1.5 ELSE o_totalprice END AS o_totalprice,
+    CASE WHEN month(o_orderdate) = 11 THEN o_custkey % 5 ELSE o_custkey END AS o_custkey
+  FROM orders),
+p AS MATERIALIZED ({profile_sql('f', [("o_totalprice", "numeric"), ("o_custkey", "numeric")])}),
+months AS MATERIALIZED (SELECT run_id, lag(run_id) OVER (ORDER BY run_id) AS base_run FROM (SELECT DISTINCT run_id FROM f)),
+pair AS MATERIALIZED (
+  SELECT c.run_id, c."column", c.mean, b.mean AS b_mean, c.row_count AS n, b.row_count AS b_n, c.null_ratio - b.null_ratio AS gap,
+    c.distinct_ratio AS dr, b.distinct_ratio AS b_dr, (c.mean - b.mean) / CASE WHEN b.stddev > 1e-9 THEN b.stddev END AS z,
+    c.row_count * (1 - c.null_ratio) AS n_c, b.row_count * (1 - b.null_ratio) AS n_b,
+    abs(c.mean - b.mean) / greatest(abs(b.mean), b.stddev, 1e-9) AS shift,
+    sqrt(b.stddev * b.stddev / nullif(b.row_count * (1 - b.null_ratio), 0) + c.stddev * c.stddev / nullif(c.row_count * (1 - c.null_ratio), 0)) AS se
+  FROM p c JOIN months m USING (run_id) JOIN p b ON b.run_id = m.base_run AND b."column" = c."column")
+"""
+_DRIFT_TESTS = {
+    "completeness": ("completeness", "least(1.0, 0.5 + gap)", "gap > 0.05"),
+    "mean_z": ("distribution", "least(1.0, (abs(z) - 3.0) / 3.0 + 0.5)", "abs(z) >= 3"),
+    "mean_se": (
+        "distribution",
+        "least(1.0, 0.45 + shift * 0.5)",
+        "NOT coalesce(abs(z) >= 3, false) AND n_b >= 30 AND n_c >= 30 AND shift >= 0.10 AND abs(CASE WHEN se > 1e-12 THEN (mean - b_mean) / se ELSE 1e6 END) >= 6",
+    ),
+    "cardinality": (
+        "cardinality_drift",
+        "least(1.0, 0.4 + abs((dr - b_dr) / b_dr) * 0.4)",
+        "b_dr * b_n > 3 AND dr * n > 3 AND b_dr > 1e-9 AND abs((dr - b_dr) / b_dr) >= 0.5",
+    ),
+}
+
+
+def _drift(spark, sf, test):
+    profiles = materialize(profile_table(drifting_orders(spark, sf), ["run_id"], parts=("distinct",)))
+    found = D.drift_columns(with_previous(profiles, month_runs(spark, sf)), profiles, ["run_id"], tests=(test,))
     return found.select("run_id", "type", "column", "severity", "score")
 
 
-for _name, _test in (
-    ("drift_completeness", "completeness"),
-    ("drift_mean_z", "mean_z"),
-    ("drift_mean_se", "mean_se"),
-    ("drift_cardinality", "cardinality"),
-):
+for _test, (_type, _score, _where) in _DRIFT_TESTS.items():
     query(
-        _name,
-        with_sql(
-            f"""SELECT run_id, type, "column", {SEVERITY_SQL.format('raw')} AS severity, round(raw::DECIMAL(28,10), 4)::DOUBLE::DOUBLE AS score
-                FROM drift WHERE test = '{_test}'"""
-        ),
-    )(lambda spark, sf, t=_test: _drift(spark, sf, (t,)))
+        f"drift_{_test}",
+        f"""{_DRIFT_CHAIN} SELECT run_id, '{_type}' AS type, "column", {SEVERITY_SQL.format('raw')} AS severity, round(raw::DECIMAL(28,10), 4)::DOUBLE AS score
+            FROM (SELECT *, {_score} AS raw FROM pair WHERE {_where})""",
+    )(lambda spark, sf, t=_test: _drift(spark, sf, t))
 
 
 @query(
@@ -426,9 +466,14 @@ def mahalanobis(spark, sf):
     )
 
 
-@query("multivariate_iforest")
+@query(
+    "multivariate_iforest",
+    """SELECT 'multivariate_drift' AS type, count(*) FILTER (WHERE l_tax >= 0.08) AS planted_rows, true AS planted_are_flagged
+       FROM lineitem HAVING avg((l_tax >= 0.08)::INT) >= 0.03""",
+)
 def iforest(spark, sf):
-    """A tenth of the lines (the most taxed ones) sit in a corner the reference never visits."""
+    """The most taxed lines sit in a corner the reference never visits: the forest must flag as many rows as these and at
+    most a twentieth of all rows more, and the signal must fire."""
     clean = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_tax")
     odd = F.col("l_tax") >= 0.08
     now = clean.select(
@@ -436,8 +481,11 @@ def iforest(spark, sf):
         F.when(odd, 200_000.0).otherwise(F.col("l_extendedprice")).alias("l_extendedprice"),
         "l_tax",
     )
-    found = multivariate_iforest(clean, now)
-    return found.select("type", "severity", "score", F.element_at("evidence", "flagged_rows").alias("flagged_rows"))
+    rows, planted = clean.agg(F.count(F.lit(1)), F.count_if(odd)).first()
+    flagged = F.element_at("evidence", "flagged_rows").cast("bigint")
+    return multivariate_iforest(clean, now).select(
+        "type", F.lit(planted).cast("bigint").alias("planted_rows"), flagged.between(planted, planted + rows // 20).alias("planted_are_flagged")
+    )
 
 
 # ------------------------------------------------------------------ schema history and acceptance
@@ -546,17 +594,43 @@ def analyze(spark, sf):
     rows = faulted_orders(spark, sf).select("run_id", "o_custkey", "o_totalprice", "o_orderdate")
     contract = {"rules": [{"type": "range", "column": "o_totalprice", "min": 0, "max": 1_000_000}]}
     options = Options(learned_freshness=["o_orderdate"], parts=("distinct",))
-    _, signals, _ = analyze_runs(rows, contract, month_source_runs(spark, sf), options, as_of=month_end())
+    signals = analyze_runs(rows, contract, month_source_runs(spark, sf), options, as_of=month_end()).signals
     return signals.select("run_id", "type", "column", "severity", "score", "source")
 
 
-@query("analyze_table_summary")
+@query(
+    "analyze_table_summary",
+    ANALYZE_SQL
+    + f""", scored AS (SELECT run_id, source, round(raw::DECIMAL(28,10), 4)::DOUBLE AS score FROM found),
+    judged AS (SELECT r.run_id, count(s.run_id) AS signal_count,
+      CASE WHEN count(s.run_id) = 0 THEN 0.0 ELSE
+        round(least(1.0, CASE WHEN bool_or(s.source = 'contract') THEN 0.35 / 0.60 ELSE 0 END + 0.25 / 0.60 * max(s.score))::DECIMAL(28,10), 4)::DOUBLE END AS risk
+      FROM runs r LEFT JOIN scored s USING (run_id) GROUP BY r.run_id)
+    SELECT j.run_id, signal_count, risk::DOUBLE AS risk, CASE WHEN signal_count > 0 THEN {SEVERITY_SQL.format('risk')} ELSE 'low' END AS severity,
+      CASE WHEN base_run IS NULL THEN 'cold_start' ELSE 'ready' END AS state, base_run AS baseline_run
+    FROM judged j LEFT JOIN prev USING (run_id)""",
+)
 def analyze_summary(spark, sf):
-    """Run rows of the segmented analysis with risk, severity and baseline state."""
-    rows = faulted_orders(spark, sf).select("run_id", "o_orderpriority", "o_custkey", "o_totalprice", "o_orderdate")
+    """Run rows of the analysis with risk, severity and baseline state."""
+    rows = faulted_orders(spark, sf).select("run_id", "o_custkey", "o_totalprice", "o_orderdate")
     contract = {"rules": [{"type": "range", "column": "o_totalprice", "min": 0, "max": 1_000_000}]}
-    options = Options(segment_by=["o_orderpriority"], learned_freshness=["o_orderdate"], parts=("distinct",), sensitive_columns=["o_custkey"])
-    _, _, summary = analyze_runs(rows, contract, month_source_runs(spark, sf), options, as_of=month_end())
+    options = Options(learned_freshness=["o_orderdate"], parts=("distinct",), sensitive_columns=["o_custkey"])
+    summary = analyze_runs(rows, contract, month_source_runs(spark, sf), options, as_of=month_end()).runs
     return summary.select("run_id", "signal_count", "risk", "severity", "state", "baseline_run")
 
 
+@query(
+    "analyze_segments",
+    with_sql(
+        """SELECT run_id, '["' || o_orderpriority || '"]' AS segment, count(*) AS row_count, round(1 - count(o_totalprice) / count(*), 6) AS null_ratio,
+             round(max(o_totalprice), 2) AS "max" FROM faulted GROUP BY run_id, o_orderpriority"""
+    ),
+)
+def analyze_segments(spark, sf):
+    """Segment profiles that the analysis of all runs returns for the next one."""
+    rows = faulted_orders(spark, sf).select("run_id", "o_orderpriority", "o_totalprice")
+    options = Options(segment_by=["o_orderpriority"], parts=("distinct",), adaptive=False)
+    segments = analyze_runs(rows, {"rules": []}, month_source_runs(spark, sf), options, as_of=month_end()).segments
+    return segments.filter("column = 'o_totalprice'").select("run_id", "segment", "row_count", "null_ratio", F.round("max", 2).alias("max"))
+
+

@@ -116,7 +116,7 @@ def column_walk_sql(starts: str, reverse: bool, name: str) -> str:
 w_{name} AS (SELECT x AS start_asset, y AS start_column, x AS asset, y AS "column", 0 AS hop FROM ({starts}) t(x, y)
   UNION SELECT w.start_asset, w.start_column, e.{b}, e.{bc}, w.hop + 1 FROM w_{name} w JOIN ce e ON e.{a} = w.asset AND e.{ac} = w."column" WHERE w.hop < 8),
 h_{name} AS (SELECT start_asset, start_column, asset, "column", min(hop) AS hop FROM w_{name} WHERE hop > 0 GROUP BY ALL),
-k_{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start_asset, start_column ORDER BY hop, asset, "column") AS k FROM h_{name}) WHERE k <= 200)
+k_{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start_asset, start_column ORDER BY hop, asset, "column") AS k FROM h_{name}))
 """
 
 
@@ -284,7 +284,7 @@ def changed(spark, sf):
              UNION ALL SELECT 'run/' || c_custkey, 'c:' || (c_custkey + 1), 'upstream' FROM customer),
        r AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC, event_id, change, c.asset) AS "rank", event_id, created_at, c.asset, relation, change, status
              FROM c JOIN s ON s.asset = c.asset WHERE created_at >= TIMESTAMP '1997-01-01')
-       SELECT * FROM r WHERE "rank" <= 20""",
+       SELECT * FROM r""",
 )
 def candidates(spark, sf):
     status = F.when(F.col("o_orderstatus") == "F", "FAIL").when(F.col("o_orderstatus") == "P", "abort").otherwise("ok")

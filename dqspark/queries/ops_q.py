@@ -16,7 +16,7 @@ from dqspark.runtime import materialize
     "metric_history",
     with_sql(
         """SELECT r.run_id, r.run_ts, r.total_rows AS "rows", (SELECT count(*) FROM sig s WHERE s.run_id = r.run_id) AS signals, r.quality, p."column", p.null_ratio,
-             round(p.mean::DECIMAL(28,6), 3)::DOUBLE AS mean FROM (SELECT * FROM runs ORDER BY run_ts DESC LIMIT 60) r JOIN p USING (run_id)
+             round(p.mean::DECIMAL(28,6), 3)::DOUBLE AS mean FROM runs r JOIN p USING (run_id)
            WHERE r.config_hash = (SELECT config_hash FROM runs ORDER BY run_ts DESC LIMIT 1)""",
         RUNS_SQL,
     ),
@@ -172,7 +172,7 @@ def outcomes(spark, sf):
     "list_incidents",
     with_sql(
         """SELECT rep.run_id, rep.severity, rep.signal_count, rep.top_rule, r.run_ts, CASE WHEN rep.run_id < '1999' THEN 'closed' END AS triage
-           FROM rep JOIN runs r USING (run_id) WHERE rep.severity = 'critical' ORDER BY r.run_ts DESC LIMIT 50""",
+           FROM rep JOIN runs r USING (run_id) WHERE rep.severity = 'critical'""",
         ",".join([RUNS_SQL, hypothesis_sql(), REPORT_SQL]),
     ),
 )
@@ -188,7 +188,7 @@ def incidents(spark, sf):
     "list_observations",
     with_sql(
         """SELECT run_id, run_ts, quality, total_rows, (SELECT count(*) FROM sig s WHERE s.run_id = r.run_id) AS signals
-           FROM runs r ORDER BY run_ts DESC LIMIT 50""",
+           FROM runs r""",
         RUNS_SQL,
     ),
 )
@@ -214,7 +214,7 @@ def datasets(spark, sf):
     """WITH e AS (SELECT o_orderkey AS event_id, o_custkey AS source_id, o_orderdate AS created_at, o_orderstatus AS kind FROM orders)
        , t AS (SELECT 'run/' || c_custkey AS run_id, event_id, created_at, kind FROM customer JOIN e ON e.source_id = c_custkey
        UNION SELECT 'run/' || c_custkey, event_id, created_at, kind FROM customer JOIN e ON e.source_id = c_custkey + 1)
-       SELECT run_id, event_id, created_at, kind FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC, event_id) AS k FROM t) WHERE k <= 500""",
+       SELECT run_id, event_id, created_at, kind FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC, event_id) AS k FROM t)""",
 )
 def timeline(spark, sf):
     events = table(spark, sf, "orders").select(

@@ -57,12 +57,12 @@ def coverage(spark, sf):
 
 @query(
     "read_csv_typed",
-    """SELECT event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(sum("value"), 4) AS total
-       FROM events GROUP BY event_type""",
+    """SELECT event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(sum("value"), 4) AS total, strftime(max(ts), '%Y-%m-%d') AS last_note,
+         'event_id bigint, event_time timestamp_ntz, event_type string, value double, note string' AS types FROM events GROUP BY event_type""",
 )
 def csv_typed(spark, sf):
     path = scratch_path(spark, "csv")
-    events = table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time"), "event_type", "value")
+    events = table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time"), "event_type", "value", F.date_format("ts", "yyyy-MM-dd").alias("note"))
     events.write.option("header", True).csv(path)
     typed = read_csv_typed(spark, path)
     return typed.groupBy("event_type").agg(
@@ -70,6 +70,8 @@ def csv_typed(spark, sf):
         F.min("event_time").cast("timestamp_ntz").alias("first_ts"),
         F.max("event_time").cast("timestamp_ntz").alias("last_ts"),
         F.round(F.sum("value"), 4).alias("total"),
+        F.max("note").alias("last_note"),
+        F.lit(", ".join(f"{c} {t}" for c, t in typed.dtypes)).alias("types"),
     )
 
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from dqspark.operators.contract import check_contract
 from dqspark.operators.profile import profile_table
 from dqspark.operators.scoring import incident_risk, number_signals, score_violations
+from dqspark.plans.analyze import Analysis, History, Options, analyze_table
 from dqspark.queries.base import query, table
 from dqspark.queries.sources_q import EVENT_EDGES_SQL, run_events
 from dqspark.runtime import scratch_path
 from dqspark.streaming.streams import (
+    LateRows,
     freshness_status,
+    newest_rows,
     run_available_now,
     run_quarantine,
     stream_analyze,
@@ -26,24 +29,22 @@ def event_stream(spark, sf):
     return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
 
 
-def _drain(spark, stream, name, mode="append"):
+def _drain(spark, stream, name, keys=None):
+    """Drain a stream; with keys every update is written and the last one of each key read."""
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    run_available_now(stream, out, state, mode)
-    return spark.read.parquet(out)
-
-
-_CLOSED = "WHERE ts::DATE + 1 <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+    run_available_now(stream, out, state, "update" if keys else "append")
+    return newest_rows(spark, out, keys) if keys else spark.read.parquet(out)
 
 
 @query(
     "stream_profile",
-    f"""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, 'value' AS "column", count(*) AS row_count, round(1 - count("value") / count(*), 6) AS null_ratio,
+    """SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, 'value' AS "column", count(*) AS row_count, round(1 - count("value") / count(*), 6) AS null_ratio,
           round(round(avg("value"), 6)::DECIMAL(28,6), 4)::DOUBLE AS mean, round(round(stddev_pop("value"), 6)::DECIMAL(28,6), 4)::DOUBLE AS stddev, min("value" + 0.0) AS "min", max("value") AS "max"
-        FROM events {_CLOSED} GROUP BY 1""",
+        FROM events GROUP BY 1""",
 )
 def windows(spark, sf):
     stream = stream_profile(event_stream(spark, sf), "ts", "1 day", "1 hour", ["value"])
-    return _drain(spark, stream, "stream-profile").select(
+    return _drain(spark, stream, "stream-profile", ["window_start", "column"]).select(
         "window_start", "column", "row_count", "null_ratio", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"), "min", "max"
     )
 
@@ -58,13 +59,13 @@ CONTRACT = {
 
 @query(
     "stream_contract",
-    f"""WITH w AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n, count(*) FILTER (WHERE "value" < 1 OR "value" > 150) AS a,
-          count(*) FILTER (WHERE event_type = 'error') AS b FROM events {_CLOSED} GROUP BY 1)
+    """WITH w AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n, count(*) FILTER (WHERE "value" < 1 OR "value" > 150) AS a,
+          count(*) FILTER (WHERE event_type = 'error') AS b FROM events GROUP BY 1)
         SELECT window_start, 'range:value' AS rule, n AS row_count, a AS violations FROM w UNION ALL SELECT window_start, 'allowed_values:event_type', n, b FROM w""",
 )
 def window_rules(spark, sf):
     stream = stream_contract(event_stream(spark, sf), CONTRACT, "ts", "1 day", "1 hour")
-    return _drain(spark, stream, "stream-contract").drop("window_end")
+    return _drain(spark, stream, "stream-contract", ["window_start", "rule"]).drop("window_end")
 
 
 @query(
@@ -87,23 +88,47 @@ def quarantine(spark, sf):
        FROM events JOIN customer ON c_custkey = user_id GROUP BY user_id, c_nationkey""",
 )
 def freshness(spark, sf):
-    newest = _drain(spark, stream_freshness(event_stream(spark, sf), "user_id", "ts"), "stream-freshness", mode="update")
-    latest = newest.groupBy("source_id").agg(F.max("latest").alias("latest"))
+    latest = _drain(spark, stream_freshness(event_stream(spark, sf), "user_id", "ts"), "stream-freshness", ["source_id"])
     limits = table(spark, sf, "customer").select(F.col("c_custkey").alias("source_id"), ((F.col("c_nationkey") + 1) * 600).alias("max_lag_minutes"))
     return freshness_status(latest, limits, "2024-01-31 00:00:00")
 
 
-@query("stream_lineage", EVENT_EDGES_SQL)
+@query(
+    "stream_late_rows",
+    """SELECT count(DISTINCT ts) FILTER (WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 2 DAY) AS late_rows FROM events""",
+)
+def late(spark, sf):
+    """All events, then all of them again: of the second delivery every instant up to two days before the newest is late."""
+    path = scratch_path(spark, "late-events")
+    events = table(spark, sf, "events")
+    for turn in range(2):
+        events.coalesce(1).write.parquet(f"{path}/turn={turn}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/turn=*")
+    counted = stream.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "2 days").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        finished = run_available_now(counted, scratch_path(spark, "late-out"), scratch_path(spark, "late-state"))
+        dropped = listener.of(finished)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.range(1).select(F.lit(dropped).cast("bigint").alias("late_rows"))
+
+
+@query(
+    "stream_lineage",
+    EVENT_EDGES_SQL.replace("SELECT DISTINCT", "SELECT").replace("UNION ALL SELECT DISTINCT", "UNION ALL SELECT"),
+)
 def lineage(spark, sf):
-    """Run events delivered twice arrive as JSON files; each is counted once."""
+    """Run events delivered twice arrive as JSON files; each gives its edges once, so edges count events here."""
     from dqspark.sources.lineage_events import EVENT
 
     path = scratch_path(spark, "run-events")
     for _ in range(2):
         run_events(spark, sf).write.mode("append").json(path)
     stream = spark.readStream.schema(EVENT).json(path)
-    # The files are read in one batch, so the watermark only has to bound the state, not to drop old events.
-    return _drain(spark, stream_lineage(stream, "5000 days"), "stream-lineage").distinct()
+    # All files are there, so they are one batch, in which no event is behind the watermark yet.
+    return _drain(spark, stream_lineage(stream), "stream-lineage")
 
 
 @query(
@@ -118,8 +143,41 @@ def analyze(spark, sf):
         stamped = batch.drop("props").withColumn("run_id", F.lit(run_id))
         profiles = profile_table(stamped, ["run_id"], parts=("distinct",))
         signals = number_signals(score_violations(check_contract(stamped, CONTRACT, runs=["run_id"])), ["run_id"])
-        return profiles.drop("top_values"), signals, incident_risk(signals, ["run_id"], stamped.select("run_id").distinct())
+        risk = incident_risk(signals, ["run_id"], stamped.select("run_id").distinct())
+        return Analysis(profiles.drop("top_values"), signals, risk, None)
 
     stream_analyze(event_stream(spark, sf), one, out, state).awaitTermination()
     amount = F.element_at("evidence", "violation_count").cast("bigint")
     return spark.read.parquet(f"{out}/signals").groupBy("type", "column").agg(F.sum(amount).alias("violation_count"))
+
+
+@query(
+    "stream_analyze_history",
+    """WITH h AS (SELECT CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS half,
+           CASE WHEN ts < TIMESTAMP '2024-01-16' THEN "value" ELSE "value" * 100 END AS v FROM events),
+         p AS (SELECT half, count(*) AS n, round(avg(v), 6) AS m, round(stddev_pop(v), 6) AS s FROM h GROUP BY half),
+         z AS (SELECT b.n AS base_n, c.n, (c.m - b.m) / b.s AS z FROM p b JOIN p c ON b.half = 0 AND c.half = 1)
+       SELECT 'batch-1' AS run_id, 'distribution' AS type, 'value' AS "column",
+         round(least(1.0, (abs(z) - 3.0) / 3.0 + 0.5)::DECIMAL(28,10), 4)::DOUBLE AS score FROM z WHERE abs(z) >= 3
+       UNION ALL SELECT 'batch-1', 'volume', NULL, round(least(1.0, abs(n - base_n) / base_n)::DECIMAL(28,10), 4)::DOUBLE FROM z WHERE abs(n - base_n) / base_n >= 0.3""",
+)
+def analyze_history(spark, sf):
+    """Two micro-batches, the second in other units: it is analysed against the stored result of the first."""
+    path, out, state = (scratch_path(spark, n) for n in ("halves", "stream-history", "stream-history-state"))
+    events = table(spark, sf, "events").select("ts", F.col("value").cast("double").alias("value"))
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    events.filter(early).coalesce(1).write.parquet(f"{path}/half=0")
+    events.filter(~early).withColumn("value", F.col("value") * 100).coalesce(1).write.parquet(f"{path}/half=1")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/half=*")
+
+    def one(batch, run_id):
+        session = batch.sparkSession
+        known = None
+        if run_id != "batch-0":
+            runs = session.read.parquet(f"{out}/runs").withColumn("quality", F.lit("accepted"))
+            known = History(runs, session.read.parquet(f"{out}/profiles"))
+        as_of = F.lit(f"2024-02-0{int(run_id[-1]) + 1}").cast("timestamp_ntz")
+        return analyze_table(batch.select("value"), {"rules": []}, known, as_of, run_id, "events", options=Options(parts=("distinct",)))
+
+    stream_analyze(stream, one, out, state).awaitTermination()
+    return spark.read.parquet(f"{out}/signals").select("run_id", "type", "column", "score")

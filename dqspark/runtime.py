@@ -58,6 +58,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this session's intermediate tables and stream states. Call it when results that read them are written."""
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after a count proves the bound. Call it on materialized or cheap frames."""
     if df.limit(max_rows + 1).count() <= max_rows:

@@ -5,15 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.columns import q
 from dqspark.operators.suggest import TIME_NAME
 
-MAX_ROWS = 10_000
-
-
 def scan_table(
     source: DataFrame,
     partition: tuple[str, object, object] | None = None,
@@ -64,26 +61,44 @@ def scan_coverage(source: DataFrame, partition: tuple[str, object, object] | Non
 
 
 def read_csv_typed(spark: SparkSession, path: str, **options) -> DataFrame:
-    """CSV with inferred types; text columns named like times become timestamps only if every value parses.
-
-    One aggregate decides all candidate columns at once.
-    """
-    reader = spark.read.option("header", True).option("inferSchema", True)
+    """CSV read as text and typed by `type_text`."""
+    reader = spark.read.option("header", True)
     for key, value in options.items():
         reader = reader.option(key, value)
-    return promote_times(reader.csv(path))
+    return type_text(reader.csv(path))
 
 
-def promote_times(df: DataFrame) -> DataFrame:
-    """The column rule of `read_csv_typed` on any frame."""
+def type_text(df: DataFrame) -> DataFrame:
+    """Text columns get the narrowest type that every value has: bigint, double, boolean, else text.
+
+    A text column becomes a timestamp only if its name looks like a time and every value parses; a column of other name
+    stays text, whatever its values look like. Columns without any value stay text. One aggregate decides all columns.
+    """
     pattern = re.compile(TIME_NAME)
-    names = [c for c, t in df.dtypes if t == "string" and pattern.search(c)]
+    names = [c for c, t in df.dtypes if t == "string"]
     if not names:
         return df
-    tests = [F.count_if(q(c).isNotNull() & F.try_to_timestamp(q(c)).isNull()).alias(f"bad{i}") for i, c in enumerate(names)]
+
+    def forms(name: str) -> dict[str, Column]:
+        text = F.trim(q(name))
+        found = {
+            "bigint": F.when(text.rlike(r"^[+-]?\d{1,19}$"), text.try_cast("bigint")),
+            "double": F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(NaN|Infinity)$"), text.try_cast("double")),
+            "boolean": F.when(F.lower(text).isin("true", "false"), text.try_cast("boolean")),
+        }
+        if pattern.search(name):
+            found["timestamp_ntz"] = F.try_to_timestamp(q(name)).cast("timestamp_ntz")
+        return found
+
+    tests = [F.count(q(c)).alias(f"n{i}") for i, c in enumerate(names)]
+    tests += [F.count(value).alias(f"{kind}{i}") for i, c in enumerate(names) for kind, value in forms(c).items()]
     row = df.agg(*tests).first()
-    good = [c for i, c in enumerate(names) if row[f"bad{i}"] == 0]
-    return df.withColumns({c: F.try_to_timestamp(q(c)).cast("timestamp_ntz") for c in good}) if good else df
+    chosen = {}
+    for i, c in enumerate(names):
+        fitting = [value for kind, value in forms(c).items() if row[f"n{i}"] and row[f"{kind}{i}"] == row[f"n{i}"]]
+        if fitting:
+            chosen[c] = fitting[0]
+    return df.withColumns(chosen) if chosen else df
 
 
 def cast_to_contract(df: DataFrame, contract: Mapping) -> DataFrame:

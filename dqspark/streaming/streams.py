@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from dqspark.functions.columns import minutes_between, nan_to_null, q
 from dqspark.operators.contract import flag_rows
+from dqspark.operators.rule_spec import rule_columns
+from dqspark.plans.analyze import Analysis
 from dqspark.sources.lineage_events import event_edges, valid_event
 from dqspark.types import kind_of
 
@@ -35,8 +37,8 @@ def stream_profile(
 ) -> DataFrame:
     """Per window and column: row_count, null_ratio and, for numbers, mean, stddev, min, max.
 
-    State holds one partial aggregate per open window; late rows are dropped and counted by the engine (see
-    `late_rows`).
+    State holds one partial aggregate per open window; late rows are dropped by the engine and counted by `LateRows`.
+    In update mode every window is given, the last open one too, and `newest_rows` reads the final values.
     """
     names = [c for c in (columns or stream.columns) if c != ts]
     clean = nan_to_null(stream, names)
@@ -71,18 +73,42 @@ def stream_profile(
     return grouped.select(*_bounds(), F.inline(F.array(*entries)))
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark so far."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that each query drops behind its watermark, over its whole life.
+
+    Register with `spark.streams.addListener` before the start; `of(query)` gives the count so far.
+    """
+
+    def __init__(self) -> None:
+        self._dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        dropped = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        key = str(event.progress.id)
+        self._dropped[key] = self._dropped.get(key, 0) + dropped
 
+    def onQueryIdle(self, event) -> None:
+        pass
 
-def stream_contract(stream: DataFrame, contract: Mapping, ts: str, interval: str, watermark: str) -> DataFrame:
-    """Per window and row rule: violation counts. References and uniqueness need the batch operator."""
-    row_rules = [r for r in contract.get("rules", []) if r["type"] != "uniqueness" and "reference" not in r]
-    flagged = flag_rows(stream, {"rules": row_rules})
-    names = [f"{r['type']}:{r['column']}" for r in row_rules if r.get("column") and r["type"] != "freshness"]
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        """Waits until the events of a finished query have arrived."""
+        query._jsq.sparkSession().sparkContext().listenerBus().waitUntilEmpty(60_000)
+        return self._dropped.get(str(query.id), 0)
+
+
+def stream_contract(
+    stream: DataFrame, contract: Mapping, ts: str, interval: str, watermark: str, references: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """Per window and row rule: violation counts; a rule that cannot be decided row by row is refused (see flag_rows)."""
+    row_rules = contract.get("rules", [])
+    flagged = flag_rows(stream, {"rules": row_rules}, references)
+    names = [f"{r['type']}:{','.join(rule_columns(r))}" for r in row_rules]
     counts = [F.count_if(F.array_contains("failed_rules", n)).alias(f"c{i}") for i, n in enumerate(names)]
     grouped = _timed(flagged, ts, watermark).groupBy(_window(interval)).agg(F.count(F.lit(1)).alias("n"), *counts)
     entries = [
@@ -139,24 +165,32 @@ def stream_lineage(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 def stream_analyze(
     stream: DataFrame,
-    analyze: Callable[[DataFrame, str], tuple[DataFrame, DataFrame, DataFrame]],
+    analyze: Callable[[DataFrame, str], Analysis],
     out: str,
     checkpoint: str,
     trigger: Mapping | None = None,
 ) -> StreamingQuery:
-    """Full analysis per micro-batch. `analyze(batch, run_id)` returns (profiles, signals, run); each part is
-    written under the batch id, so a replayed batch replaces its own results."""
+    """Full analysis per micro-batch. `analyze(batch, run_id)` returns an Analysis, for instance that of `analyze_table`
+    against the history read from `out`; each part is written under the batch id, so a replayed batch replaces its own."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        for name, part in zip(("profiles", "signals", "runs"), analyze(batch, f"batch-{batch_id}"), strict=True):
-            part.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        for name, part in analyze(batch, f"batch-{batch_id}")._asdict().items():
+            if part is not None:
+                part.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def newest_rows(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """The last row of each key that an update-mode drain wrote to its folders, one per batch."""
+    rows = spark.read.parquet(out)
+    order = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
+    return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth", "batch")
+
+
 def run_available_now(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Drain a stream into Parquet (append) or, for update and complete mode, into one folder per batch."""
     if mode == "append":

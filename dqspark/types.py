@@ -8,20 +8,10 @@ INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
 DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
-# Rule fields, compare operators and the missing-value policy of the contract format.
+# Types, compare operators and sensitive evidence of the contract format.
 CONTRACT_TYPES = ("integer", "float", "string", "boolean", "datetime")
-RULE_FIELDS = {
-    "not_null": {"max_null_ratio"},
-    "range": {"min", "max"},
-    "uniqueness": {"columns"},
-    "freshness": {"max_lag_minutes"},
-    "allowed_values": {"values"},
-    "referential_integrity": {"reference_values", "reference"},
-    "row_count": {"min_rows", "max_rows"},
-    "column_compare": {"other", "operator"},
-}
 COMPARE_OPERATORS = ("<", "<=", ">", ">=", "==", "!=")
-SENSITIVE_EVIDENCE = ("sample", "sample_value", "unexpected_values", "allowed_values", "message")
+SENSITIVE_EVIDENCE = ("sample", "sample_value", "allowed_values", "message")
 SEVERITIES = ("low", "medium", "high", "critical")
 
 

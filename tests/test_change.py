@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 from datetime import datetime, timedelta
 
 import pytest
@@ -64,31 +66,47 @@ def test_gate(versions):
 def test_repairs(spark):
     df = spark.createDataFrame([(1, "good", 10.0), (2, "bad", 1000.0), (3, "bad", 2000.0)], "id int, batch string, amount double")
     rule = {"rules": [{"type": "range", "column": "amount", "min": 0, "max": 100}]}
-    fixed = R.repair_scale(df, "amount", 0.01, {"batch": "bad"})
+    fixed = R.repair_scale(df, "amount", 0.01, {"batch": "bad"}, 10)
     assert [r["amount"] for r in fixed.orderBy("id").collect()] == [10.0, 10.0, 20.0]
-    verdict = R.validate_repair(df, fixed, rule, where={"batch": "bad"}).first()
+    verdict = R.validate_repair(df, fixed, rule, 10, where={"batch": "bad"}).first()
     assert verdict["passed"] and verdict["changed_rows"] == 2 and verdict["unchanged_control_passed"]
     touched = fixed.withColumn("amount", F.col("amount") + 1)
-    verdict = R.validate_repair(df, touched, rule, where={"batch": "bad"}).first()
+    verdict = R.validate_repair(df, touched, rule, 10, where={"batch": "bad"}).first()
     assert not verdict["passed"] and not verdict["unchanged_control_passed"]
-    wrong = R.repair_scale(df, "amount", 0.1, {"batch": "bad"})
-    assert not R.validate_repair(df, wrong, rule, where={"batch": "bad"}).first()["passed"]
+    wrong = R.repair_scale(df, "amount", 0.1, {"batch": "bad"}, 10)
+    assert not R.validate_repair(df, wrong, rule, 10, where={"batch": "bad"}).first()["passed"]
     for args in (("amount", 3, {"batch": "bad"}), ("amount", 10, {"batch": "none"}), ("batch", 10, {"batch": "bad"}), ("amount", 10, {})):
         with pytest.raises(ValueError):
-            R.repair_scale(df, *args)
+            R.repair_scale(df, *args, max_changed_rows=10)
     with pytest.raises(ValueError):
         R.repair_scale(df, "amount", 10, {"batch": "bad"}, max_changed_rows=1)
 
 
 def test_deduplicate(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id int, v string")
-    fixed = R.repair_deduplicate(df, ["id"])
+    fixed = R.repair_deduplicate(df, ["id"], 10)
     rule = {"rules": [{"type": "uniqueness", "column": "id"}]}
-    assert fixed.count() == 2 and R.validate_repair(df, fixed, rule).first()["passed"]
+    assert fixed.count() == 2 and R.validate_repair(df, fixed, rule, 10).first()["passed"]
+    with pytest.raises(ValueError):
+        R.repair_deduplicate(df.unionAll(spark.createDataFrame([(1, "z")], df.schema)), ["id"], 10)
+    with pytest.raises(ValueError):
+        R.repair_deduplicate(fixed, ["id"], 10)
+
+
+def test_scale_keeps_types_and_other_rows(spark):
+    df = spark.sql(
+        "select 9007199254740993L as b, cast(1.10 as decimal(12,2)) as m, 'good' as batch union all select 500L, cast(120.00 as decimal(12,2)), 'bad'"
+    )
+    where = {"batch": "bad"}
+    for column, factor, expected in (("b", 0.1, 50), ("b", 100, 50_000), ("m", 0.01, Decimal("1.20")), ("m", 10, Decimal("1200.00"))):
+        fixed = R.repair_scale(df, column, factor, where, 5)
+        assert fixed.schema == df.schema or [f.dataType for f in fixed.schema] == [f.dataType for f in df.schema]
+        rows = {r["batch"]: r[column] for r in fixed.collect()}
+        assert rows == {"good": df.filter("batch = 'good'").first()[column], "bad": expected}
     with pytest.raises(ValueError):
-        R.repair_deduplicate(df.unionAll(spark.createDataFrame([(1, "z")], df.schema)), ["id"])
+        R.repair_scale(df.withColumn("b", F.lit(5).cast("bigint")), "b", 0.1, where, 5)
     with pytest.raises(ValueError):
-        R.repair_deduplicate(fixed, ["id"])
+        R.repair_scale(df.withColumn("m", F.lit("9999999999.00").cast("decimal(12,2)")), "m", 10, where, 5)
 
 
 def test_repair_undoes_fault(spark, sf):

@@ -73,6 +73,51 @@ def test_quantiles_of_a_skewed_column(spark):
         assert row[f"q{i}"] == pytest.approx(expected, abs=1e-9)
 
 
+def linear(values, p):
+    values = sorted(values)
+    rank = p * (len(values) - 1)
+    low = int(rank)
+    return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (rank - low)
+
+
+@pytest.mark.parametrize("ranked", [5, 200_000])
+def test_quantiles_of_many_groups_and_slices(spark, monkeypatch, ranked):
+    """With a small ranking bound the brackets are sliced several times; the values are the same."""
+    monkeypatch.setattr("dqspark.operators.quantiles.RANKED_VALUES", ranked)
+    rng = random.Random(5)
+    rows = [(r, rng.choice([rng.gauss(0, 1e6), float(rng.randrange(3)), 1e-9 * rng.random()])) for r in ("a", "b", None) for _ in range(4000)]
+    rows += [("c", 1.0), ("c", None), ("d", None)]
+    df = spark.createDataFrame(rows, "run string, x double")
+    probabilities = (0.0, 0.25, 0.5, 0.99, 1.0)
+    for row in exact_quantiles(df, ["x"], probabilities, ["run"]).collect():
+        values = [v for r, v in rows if r == row["run"] and v is not None]
+        for i, p in enumerate(probabilities):
+            expected = linear(values, p) if values else None
+            assert row[f"q{i}"] == (pytest.approx(expected, rel=1e-12, abs=1e-15) if values else None)
+
+
+def test_a_bracket_that_misses_its_rank_is_widened(spark, monkeypatch):
+    from dqspark.operators import quantiles as Q
+
+    monkeypatch.setattr("dqspark.operators.profile.bracket_sketch", lambda c, ps: F.array(*[F.min(c)] * (2 * len(ps))))
+    df = spark.range(1001).select(F.col("id").cast("double").alias("x"))
+    row = exact_quantiles(df, ["x"], (0.3, 0.5)).first()
+    assert (row["q0"], row["q1"]) == (300.0, 500.0) and Q.RANKED_VALUES > 0
+
+
+def test_only_values_near_the_rank_are_shuffled(spark):
+    """Of 200,000 distinct values less than a hundredth passes the bracket filter."""
+    from dqspark.operators import profile as P
+    from dqspark.operators import quantiles as Q
+
+    df = spark.range(200_000).select(F.rand(3).alias("x"))
+    stats = P._wide_stats(df, [], P._columns(df, [], ["x"]), brackets=(0.5,)).cache()
+    rows = P.number_rows(df, [], P._columns(df, [], ["x"]))
+    state = Q._start(stats, ["ordinal"], (0.5,))
+    found = Q._counted(rows, state, ["ordinal"], 1).first()
+    assert 0 < found["inside"] < 2_000 and found["below"] <= found["rank"] < found["below"] + found["inside"]
+
+
 def test_runs_with_null_key(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0)], "run string, x double")
     rows = {r["run"]: r for r in profile_table(df, ["run"]).collect()}
@@ -90,7 +135,7 @@ def test_segments(spark):
     rows = {(r["segment"], r["column"]): r for r in profile_segments(df, ["s", "t"]).collect()}
     assert rows[('["a", null]', "v")]["mean"] == 2.0 and len(rows) == 3
     with pytest.raises(ValueError):
-        profile_segments(spark.range(200).withColumn("s", F.col("id")), ["s"])
+        profile_segments(spark.range(200).withColumn("s", F.col("id")), ["s"], max_segments=100)
     with pytest.raises(ValueError):
         profile_segments(df, ["s", "t", "v"])
 

@@ -30,9 +30,13 @@ def test_scan_is_half_open_and_pushed_down(spark, sf):
 
 
 def test_csv_types(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("id,created_at,paid_at\n1,2024-01-01 10:00:00,2024-01-01\n2,,soon\n")
-    df = S.read_csv_typed(spark, str(tmp_path / "a.csv"), inferSchema=False)
-    assert dict(df.dtypes)["created_at"] == "timestamp_ntz" and dict(df.dtypes)["paid_at"] == "string"
+    (tmp_path / "a.csv").write_text(
+        "id,created_at,paid_at,note,score,flag,code,none\n1,2024-01-01 10:00:00,2024-01-01,2024-01-01,1.5,true,7,\n2,,soon,2024-01-02,2,FALSE,x7,\n"
+    )
+    df = S.read_csv_typed(spark, str(tmp_path / "a.csv"))
+    assert dict(df.dtypes) == {
+        "id": "bigint", "created_at": "timestamp_ntz", "paid_at": "string", "note": "string", "score": "double", "flag": "boolean", "code": "string", "none": "string"
+    }
     bad = S.cast_to_contract(df, {"expected_schema": {"paid_at": "datetime"}})
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         bad.collect()
@@ -141,11 +145,14 @@ def test_stream_profile_equals_batch_and_counts_late_rows(spark):
     ]
     stream = drip(spark, scratch_path(spark, "in"), batches, EVENT_ROWS)
     out = scratch_path(spark, "out")
-    query = W.run_available_now(W.stream_profile(stream, "ts", "1 hour", "10 minutes", ["value"]), out, scratch_path(spark, "cp"))
-    rows = {r["window_start"]: r for r in spark.read.parquet(out).collect()}
-    assert set(rows) == {T, at(60), at(120)}
+    late = W.LateRows()
+    spark.streams.addListener(late)
+    query = W.run_available_now(W.stream_profile(stream, "ts", "1 hour", "10 minutes", ["value"]), out, scratch_path(spark, "cp"), "update")
+    rows = {r["window_start"]: r for r in W.newest_rows(spark, out, ["window_start", "column"]).collect()}
+    assert set(rows) == {T, at(60), at(120), at(180)} and rows[at(180)]["row_count"] == 2
     assert rows[T]["row_count"] == 2 and rows[T]["null_ratio"] == 0.5 and rows[T]["max"] == 1.0
-    assert W.late_rows(query) == 1
+    assert late.of(query) == 1
+    spark.streams.removeListener(late)
 
 
 def test_stream_restart_keeps_exactly_once(spark):
@@ -165,8 +172,14 @@ def test_stream_contract_counts(spark):
     stream = drip(spark, scratch_path(spark, "in"), [[(at(1), "a", 1.0), (at(2), "x", 9.0)], [(at(200), "a", 1.0)]], EVENT_ROWS)
     contract = {"rules": [{"type": "range", "column": "value", "max": 2}, {"type": "allowed_values", "column": "key", "values": ["a"]}]}
     out = scratch_path(spark, "out")
-    W.run_available_now(W.stream_contract(stream, contract, "ts", "1 hour", "5 minutes"), out, scratch_path(spark, "cp"))
-    assert {(r["rule"], r["violations"]) for r in spark.read.parquet(out).collect()} == {("range:value", 1), ("allowed_values:key", 1)}
+    W.run_available_now(W.stream_contract(stream, contract, "ts", "1 hour", "5 minutes"), out, scratch_path(spark, "cp"), "update")
+    found = W.newest_rows(spark, out, ["window_start", "rule"]).collect()
+    assert {(r["window_start"], r["rule"], r["violations"]) for r in found} == {
+        (T, "range:value", 1), (T, "allowed_values:key", 1), (at(180), "range:value", 0), (at(180), "allowed_values:key", 0)
+    }
+    for rule in ({"type": "uniqueness", "column": "key"}, {"type": "row_count", "min_rows": 1}):
+        with pytest.raises(ValueError):
+            W.stream_contract(stream, {"rules": [rule]}, "ts", "1 hour", "5 minutes")
 
 
 def test_stream_freshness(spark):
