@@ -308,6 +308,27 @@ class Tree:
         return np.minimum(upper, q).sum(axis=1) >= needed
 
 
+def near_hubs(members: DataFrame, hubs: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """a, b: hub and member places that may be similar. A hub is the root that each member meets as a point, pair by pair,
+    without gathering a star; members are (star, place, n, vector), hubs are (star, hub_n, hub_vector)."""
+
+    def run(batches):
+        geometry = Geometry(similar)
+        for batch in batches:
+            n, hub_n = batch.column("n").to_pylist(), batch.column("hub_n").to_pylist()
+            vectors, hub_vectors = batch.column("vector").to_pylist(), batch.column("hub_vector").to_pylist()
+            may = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                v, h = read_vector(vectors[i], n[i]), read_vector(hub_vectors[i], hub_n[i])
+                width = min(len(v), len(h))
+                may[i] = np.minimum(fold(v, width), fold(h, width)).sum() >= geometry.needed(n[i], hub_n[i])
+            kept = batch.filter(pa.array(may))
+            a, b = kept.column("star").to_numpy(), kept.column("place").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return members.join(hubs, "star").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def tree_search(queries: DataFrame, members: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """a, b: places of queries and members of one star that may be similar; both sides are (star, place, n, vector, part).
 
@@ -417,10 +438,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, in
     )
     members = store(meets.join(distinct.select("place", "n", "vector"), "place").select("star", "place", "n", "vector"), "members")
     centres = distinct.join(members.select(F.col("star").alias("place")).distinct(), "place").select(
-        F.col("place").alias("star"), "place", "n", "vector", F.lit(-1).cast("bigint").alias("part")
+        F.col("place").alias("star"), F.col("n").alias("hub_n"), F.col("vector").alias("hub_vector")
     )
-    apart = members.withColumn("part", F.col("place"))
-    near_hub = store(tree_search(centres, apart, similar), "hub-pairs")
+    near_hub = store(near_hubs(members, centres, similar), "hub-pairs")
 
     in_stars = members.select("place").union(members.select("star")).distinct()
     sets = store(
