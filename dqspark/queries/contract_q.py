@@ -124,7 +124,7 @@ DATES = ["1995-03-02", "1996-01-01 00:00:00"]
     "bad_values",
     """SELECT 'l_quantity' AS "column", l_quantity::BIGINT::VARCHAR AS value, count(*) AS freq FROM lineitem WHERE l_quantity NOT IN (1, 2, 3, 4, 5, 50) GROUP BY 2
        UNION ALL SELECT 'l_discount', rtrim(rtrim(l_discount::DECIMAL(4,2)::VARCHAR, '0'), '.'), count(*) FROM lineitem WHERE l_discount NOT IN (0, 0.01, 0.02) GROUP BY 2
-       UNION ALL SELECT 'l_shipdate', strftime(l_shipdate, CASE WHEN l_shipdate = date_trunc('day', l_shipdate) THEN '%Y-%m-%d' ELSE '%Y-%m-%d %H:%M:%S' END), count(*)
+       UNION ALL SELECT 'l_shipdate', CASE WHEN l_shipdate = date_trunc('day', l_shipdate) THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END, count(*)
          FROM lineitem WHERE l_shipdate NOT IN (TIMESTAMP '1995-03-02', TIMESTAMP '1996-01-01') GROUP BY 2""",
 )
 def all_bad_values(spark, sf):

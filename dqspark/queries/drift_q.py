@@ -602,13 +602,13 @@ def analyze(spark, sf):
     "analyze_table_summary",
     ANALYZE_SQL
     + f""", scored AS (SELECT run_id, source, round(raw::DECIMAL(28,10), 4)::DOUBLE AS score FROM found),
-    judged AS (SELECT r.run_id, count(s.run_id) AS signal_count,
+    rated AS (SELECT r.run_id, count(s.run_id) AS signal_count,
       CASE WHEN count(s.run_id) = 0 THEN 0.0 ELSE
         round(least(1.0, CASE WHEN bool_or(s.source = 'contract') THEN 0.35 / 0.60 ELSE 0 END + 0.25 / 0.60 * max(s.score))::DECIMAL(28,10), 4)::DOUBLE END AS risk
       FROM runs r LEFT JOIN scored s USING (run_id) GROUP BY r.run_id)
     SELECT j.run_id, signal_count, risk::DOUBLE AS risk, CASE WHEN signal_count > 0 THEN {SEVERITY_SQL.format('risk')} ELSE 'low' END AS severity,
       CASE WHEN base_run IS NULL THEN 'cold_start' ELSE 'ready' END AS state, base_run AS baseline_run
-    FROM judged j LEFT JOIN prev USING (run_id)""",
+    FROM rated j LEFT JOIN prev USING (run_id)""",
 )
 def analyze_summary(spark, sf):
     """Run rows of the analysis with risk, severity and baseline state."""
