@@ -115,11 +115,11 @@ class Geometry:
         return bisect_right(self.bounds, n) - 1
 
     def groups(self, c: int) -> tuple[int, int]:
-        """Groups of class c and how many of them a set may leave empty before it also meets others by empty ones."""
+        """Groups of class c and how many of them a set may leave empty before it counts as sparse."""
         largest = self.bounds[c + 1] - 1
         r = 2 * largest * (self.den - self.num) // (self.den + self.num)
-        spare = 1 + r // 40
-        # At least 1 + spare groups agree; if no more than spare are empty, one that agrees has content.
+        spare = 1 + r // 12
+        # At least 1 + spare groups agree; if one of the sets has no more than spare empty ones, one that agrees has content.
         return (r + 1 + spare if r else 0), spare
 
     def needed(self, a, b):
@@ -127,8 +127,12 @@ class Geometry:
         return -(-(a + b) * self.num // (self.num + self.den))
 
     def addresses(self, v: np.ndarray) -> np.ndarray:
-        """Nodes of the upper levels that a set lies in: for its size class and the next one."""
-        spread, out = mix(v ^ _MIX3), []
+        """Nodes of the upper levels that a set lies in: for its size class and the next one.
+
+        Two sparse sets might agree in empty groups alone. They meet by single shingles instead: of those in hash order the
+        first n - ceil(t n) + 1 of similar sets have one in common.
+        """
+        spread, out, sparse = mix(v ^ _MIX3), [], False
         own = self.size_class(len(v))
         for c in (own, own + 1):
             m, spare = self.groups(c)
@@ -138,10 +142,13 @@ class Geometry:
             counts = np.bincount(g, minlength=m)
             content = np.zeros(m, np.uint64)
             np.add.at(content, g, v)
-            empty = counts == 0
-            used = np.arange(m) if empty.sum() > spare else np.flatnonzero(~empty)
+            used = np.flatnonzero(counts)
+            sparse = sparse or m - len(used) > spare
             tag = _U(c * 0x9E3779B97F4A7C15 % 2**64) + used.astype(np.uint64) * _MIX2 + counts[used].astype(np.uint64)
             out.append(mix(mix(content[used]) + tag))
+        if sparse:
+            first = len(v) + len(v) * self.num // -self.den + 1
+            out.append(mix(v[:first] + _MIX2))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -53,10 +52,11 @@ def path_of(url: Column) -> Column:
 
 
 def token_counts(urls: DataFrame, tokens: list[str]) -> dict[str, int]:
-    """How many URLs hold each listed token; only tokens of rules are counted, so the result is as small as the rules."""
-    wanted = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")) if tokens else None
-    if wanted is None:
+    """How many URLs hold each listed token. The tokens are those of one block of rules, whose bytes are bounded, and so is
+    what is broadcast and what comes back."""
+    if not tokens:
         return {}
+    wanted = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string"))
     found = urls.select(
         F.explode(F.array_distinct(F.split(F.concat("host", F.lit("\n"), "path"), "[^A-Za-z0-9]+"))).alias("token")
     )
@@ -122,14 +122,14 @@ def url_verdicts(
     judged = pages.select(
         *[F.col(c) for c in columns], host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path")
     ).withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    counts = token_counts(judged, sorted({t for r in rules for t in r.literals()}))
+    urls = judged.select("host", "path")
     for block in _blocks(rules, max_bytes) if rules else []:
-        known = {t for r in block for t in r.literals()}
-        judged = _apply(judged, block, {t: n for t, n in counts.items() if t in known}, Counter(r.name for r in rules))
+        counts = token_counts(urls, sorted({t for r in block for t in r.literals()}))
+        judged = _apply(judged, block, counts)
     return judged
 
 
-def _apply(judged: DataFrame, rules: list[Rule], counts: dict[str, int], names: Counter) -> DataFrame:
+def _apply(judged: DataFrame, rules: list[Rule], counts: dict[str, int]) -> DataFrame:
     shared = judged.sparkSession.sparkContext.broadcast((rules, counts))
 
     def run(batches):

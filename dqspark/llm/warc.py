@@ -37,11 +37,11 @@ def page_records(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
         {
             "payload_bytes": F.octet_length("html").cast("bigint"),
             "payload_digest": F.sha1("html"),
-            "_same": F.when(F.octet_length("html") >= min_bytes, F.sha2("html", 256)),
+            "_same": F.sha2("html", 256),
         }
     )
     shared = store(
-        keyed.filter(F.col("_same").isNotNull())
+        keyed.filter(F.col("payload_bytes") >= min_bytes)
         .groupBy("_same")
         .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
