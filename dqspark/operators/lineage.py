@@ -16,6 +16,7 @@ from dqspark.runtime import materialize
 MAX_HOPS = 6
 COMPACT_HOPS = 8
 SIMILAR = 5
+SLOT_PARTS = 64
 
 # Points of the business impact.
 SEVERITY_POINTS = {"low": 10, "medium": 35, "high": 60, "critical": 80}
@@ -308,7 +309,7 @@ def group_incidents(runs: DataFrame, relations: DataFrame, window_seconds: int =
     `runs(run_id, asset, run_ts, signal_count)`, `relations(asset, other)` in both directions.
 
     The parent is an as-of lookup, not a pair list: events of an asset's neighbourhood are merged into one
-    time line per (asset, time slot), and a running maximum carries the newest run with signals. Roots are
+    time line per (asset, time slot), cut into parts, and a running maximum carries the newest run with signals. Roots are
     found by pointer jumping in log2(chain length) rounds.
     """
     own = runs.select("asset", F.col("asset").alias("other")).distinct()
@@ -331,11 +332,27 @@ def group_incidents(runs: DataFrame, relations: DataFrame, window_seconds: int =
     asks = runs.select(
         "asset", "run_ts", F.lit(None).cast("string").alias("src_run"), slot.alias("slot"), F.lit(1).alias("is_run"), "run_id"
     )
+    # A busy asset's slot is cut into parts; a source of the slot before counts for the first one. What is newest in a part
+    # is carried to the later ones of its slot, of which there are SLOT_PARTS at most.
+    width = F.lit(window_seconds * 1_000_000 / SLOT_PARTS)
+    part = F.floor(F.unix_micros(F.col("run_ts").cast("timestamp")) / width)
+    lines = sources.unionByName(asks).withColumn("part", F.greatest(part, F.col("slot") * SLOT_PARTS))
+    source = F.when(F.col("is_run") == 0, F.struct("run_ts", "src_run"))
     # At equal times the asking run comes first, so it never finds itself.
-    line = Window.partitionBy("asset", "slot").orderBy("run_ts", F.col("is_run").desc(), "run_id")
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.last(F.when(F.col("is_run") == 0, F.struct("run_ts", "src_run")), ignorenulls=True).over(before)
-    asked = sources.unionByName(asks).withColumn("found", newest).filter("is_run = 1")
+    line = Window.partitionBy("asset", "slot", "part").orderBy("run_ts", F.col("is_run").desc(), "run_id")
+    newest = F.last(source, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    earlier = Window.partitionBy("asset", "slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        lines.groupBy("asset", "slot", "part")
+        .agg(F.max(source).alias("newest"))
+        .select("asset", "slot", "part", F.max("newest").over(earlier).alias("carried"))
+    )
+    asked = (
+        lines.withColumn("own", newest)
+        .filter("is_run = 1")
+        .join(carried, ["asset", "slot", "part"])
+        .withColumn("found", F.coalesce("own", "carried"))
+    )
     age = (
         F.unix_micros(F.col("run_ts").cast("timestamp")) - F.unix_micros(F.col("found.run_ts").cast("timestamp"))
     )
