@@ -24,7 +24,7 @@ from dqspark.llm.components import components
 
 SHINGLE = 5
 SIMILAR = (80, 100)
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 TILE = 4096
 LEAF = 32
 

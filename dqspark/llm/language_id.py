@@ -19,7 +19,7 @@ from dqspark.llm.common import documents, store
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 300_000
 
 #: Bound of the training sample, in documents over all languages; each language gets an equal share.
 SAMPLE_DOCS = 1200

@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 # A full memo is emptied; this bounds memory and does not change ids.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 GROUP_WORDS = 50
 
 # ASCII signs that end a word of letters or digits; an apostrophe may start a contraction instead.
@@ -135,7 +135,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_chunks(texts: list[str], chars: int = 4_000_000):
+def in_chunks(texts: list[str], chars: int = 1_500_000):
     """Index ranges of at most `chars` characters (or one text), to bound what is in work at once."""
     begin = held = 0
     for i, t in enumerate(texts):
