@@ -30,6 +30,13 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def pieces(batches, rows: int = 500):
+    """Arrow batches in small slices, so that a task holds few texts as Python objects, however long its batches are."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back: cuts the plan, survives lost executors, prunes columns."""
     path = scratch_path(df.sparkSession, name)

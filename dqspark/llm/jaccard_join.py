@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import documents, small_side, store
+from dqspark.llm.common import documents, pieces, small_side, store
 from dqspark.llm.components import components
 
 SHINGLE = 5
@@ -197,18 +197,18 @@ def _set_key(v: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
-    """Per document: set size and key, count vector, and the tree nodes (addresses) where it stands for its batch.
+    """Per document: set size and key, count vector, and the tree nodes (addresses) where it stands for its piece of a batch.
 
     `node` is the document's name in the tree: its id, which makes the first document of a group of copies their hub.
 
-    Within a batch only the first set at an address is sent on; the others name it in `near`. So a node that a third of
-    all documents share reaches the shuffle once per batch. Sets seen before in the batch send nothing.
+    Within a piece only the first set at an address is sent on; the others name it in `near`. So a node that a third of
+    all documents share reaches the shuffle once per piece. Sets seen before in the piece send nothing.
     """
 
     def run(batches):
         geometry = Geometry(similar)
         place = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in pieces(batches):
             seen: set[bytes] = set()
             rows, addresses, owners, fresh = [], [], [], []
             ids = batch.column("doc_id").to_pylist()
@@ -379,7 +379,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """set_key, shingles of the documents whose ids are wanted(low)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             for _, raws in _chunks(batch.column("text").to_pylist()):
                 found = shingle_sets(raws, k)
                 yield pa.RecordBatch.from_arrays(

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import documents, store
+from dqspark.llm.common import documents, pieces, store
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -80,7 +80,7 @@ def document_frequencies(train: DataFrame) -> np.ndarray:
         counts = np.zeros(BUCKETS, np.int64)
         docs = 0
         seen = np.zeros(BUCKETS, bool)
-        for batch in batches:
+        for batch in pieces(batches):
             for _, grams in _each_document(batch.column("text").to_pylist()):
                 seen[:] = False
                 seen[grams] = True
@@ -128,7 +128,7 @@ def training_sample(train: DataFrame, size: int = SAMPLE_DOCS) -> list[Example]:
     texts = train.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             langs = batch.column("lang").to_pylist()
             for i, grams in _each_document(batch.column("text").to_pylist()):
                 index, count = np.unique(grams, return_counts=True)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import documents, store, text_or_empty
+from dqspark.llm.common import documents, pieces, store, text_or_empty
 from dqspark.llm.tokens import encoder, in_chunks
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,7 +36,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Da
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         # Unique over tasks; the pieces are stored once, so it never changes afterwards.
         place = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in pieces(batches):
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in in_chunks(texts):
                 rows = []
@@ -232,8 +232,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_
     Null and empty texts are the end id alone. Rows that repeat an id are documents of their own, and a null id stays
     null. Only documents of more than `capacity` ids are cut. An empty table gives no rows; further columns are ignored.
     """
-    pieces = store(pieces_of(docs, tokenizer or public_tokenizers.path(TOKENIZER), capacity, end_id), "pieces")
-    return pack(pieces, capacity).drop("place")
+    cut = store(pieces_of(docs, tokenizer or public_tokenizers.path(TOKENIZER), capacity, end_id), "pieces")
+    return pack(cut, capacity).drop("place")
 
 
 def op10_packing(spark, sf_dir):
