@@ -44,6 +44,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete a stored frame that nothing reads any more."""
+    files = stored.inputFiles()
+    if files:
+        context = stored.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_side(stored: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint only when rows and bytes of a stored frame are proven small; otherwise the join shuffles."""
     payload = sum(

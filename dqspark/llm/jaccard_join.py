@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import documents, pieces, small_side, store
+from dqspark.llm.common import discard, documents, pieces, small_side, store
 from dqspark.llm.components import components
 
 SHINGLE = 5
@@ -426,7 +426,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, in
     Equal sets fold to one before all else. Each star meets its hub first; only members that this leaves unconnected
     with the hub search the star's tree, so a large group of near copies costs about one comparison per member.
     """
-    sketches = store(sketch(docs, k, similar), "sketches")
+    located = store(sketch(docs, k, similar), "sketches")
+    sketches = store(located.drop("addresses", "near"), "sets-of-documents")
     distinct = store(
         sketches.filter("n > 0").groupBy("set_key", "n", "vector").agg(F.min("place").alias("place"), F.min("doc_id").alias("low")),
         "distinct-sets",
@@ -436,7 +437,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, in
         "names",
     )
     meets = (
-        stars(sketches)
+        stars(located)
         .join(names.select(F.col("node").alias("hub"), F.col("place").alias("star")), "hub")
         .join(names, "node")
         .filter("star <> place")
@@ -444,6 +445,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, in
         .distinct()
     )
     members = store(meets.join(distinct.select("place", "n", "vector"), "place").select("star", "place", "n", "vector"), "members")
+    discard(located)
     centres = distinct.join(members.select(F.col("star").alias("place")).distinct(), "place").select(
         F.col("place").alias("star"), F.col("n").alias("hub_n"), F.col("vector").alias("hub_vector")
     )
