@@ -27,6 +27,8 @@ SIMILAR = (80, 100)
 CHUNK_BYTES = 1_000_000
 TILE = 4096
 LEAF = 32
+#: Shingles of one side of a task that counts links; larger components are cut into tiles.
+LINK_SHINGLES = 400_000
 
 _U = np.uint64
 _MIX1, _MIX2, _MIX3 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -426,6 +428,78 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, in
     Equal sets fold to one before all else. Each star meets its hub first; only members that this leaves unconnected
     with the hub search the star's tree, so a large group of near copies costs about one comparison per member.
     """
+    sketches, classes, _ = _classes(docs, k, similar)
+    return _named(sketches, classes)
+
+
+def jaccard_links(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The columns of jaccard_components and n_links, the number of other rows that a row links with, copies included.
+
+    Links lie within components, so all pairs of a component's sets are compared exactly. The cost of a component grows
+    with the square of its sets, as its links do; tiles of it are tasks of their own and pass on counts, not pairs.
+    """
+    sketches, classes, sets = _classes(docs, k, similar)
+    copies = sketches.filter("n > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
+    counted = store(classes.join(copies, "set_key").select("set_key", "n", "place", "low", "label", "copies"), "counted-sets")
+    beside = link_counts(counted.select("label", "place", "n", "copies"), sets, similar)
+    by_set = counted.join(beside, "place", "left").select("set_key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    named = _named(sketches, counted, "set_key").join(by_set, "set_key", "left")
+    return named.select("doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def link_counts(members: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """place, links: copies of the other sets that each of members(label, place, n, copies) is similar to.
+
+    Each pair of a label meets in one task: small labels share a task with others, a large one is a square of tiles.
+    """
+    labels = members.groupBy("label").agg(F.sum("n").alias("mass"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    sized = store(labels.select("label", "mass", F.ceil(F.col("mass") / LINK_SHINGLES).cast("int").alias("tiles")), "link-tiles")
+    small = sized.filter("tiles = 1").agg(F.coalesce(F.sum("mass"), F.lit(0))).first()[0]
+    shared = F.pmod(F.xxhash64("label"), F.lit(1 + int(small) // LINK_SHINGLES))
+    large = F.col("tiles") > 1
+    dealt = (
+        members.join(sized, "label")
+        .select("place", "copies", large.alias("large"), F.when(large, F.col("label")).otherwise(shared).alias("block"), "tiles")
+        .withColumn("tile", F.pmod(F.xxhash64("place"), F.col("tiles")).cast("int"))
+        .join(sets, "place")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("large", "block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "place", "copies", "shingles")
+    )
+
+    def run(key, rows):
+        geometry = Geometry(similar)
+        i, j = key[2].as_py(), key[3].as_py()
+        tile, place, copies = (rows.column(c).to_numpy() for c in ("tile", "place", "copies"))
+        lists = rows.column("shingles").combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        values, ends = lists.flatten().to_numpy(), np.cumsum(n)
+        links = np.zeros(len(n), np.int64)
+        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        # The right side's shingles in order, each with the set that holds it.
+        held = np.repeat(tile == j, n)
+        posted, owner = values[held], np.repeat(np.arange(len(right)), n[right])
+        order = np.argsort(posted, kind="stable")
+        posted, owner = posted[order], owner[order]
+        for q in left.tolist() if len(right) else []:
+            v = values[ends[q] - n[q] : ends[q]]
+            begin = np.searchsorted(posted, v, side="left")
+            many = np.searchsorted(posted, v, side="right") - begin
+            at = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            near = right[both >= geometry.needed(n[q], n[right])]
+            near = near[near != q]
+            links[q] += copies[near].sum()
+            if i != j:
+                links[near] += copies[q]
+        return pa.table({"place": pa.array(place, pa.int64()), "links": pa.array(links, pa.int64())})
+
+    found = dealt.groupBy("large", "block", "i", "j").applyInArrow(run, "place bigint, links bigint")
+    return found.groupBy("place").agg(F.sum("links").alias("links"))
+
+
+def _classes(docs: DataFrame, k: int, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' sketches, the distinct sets with the label of their component, and the shingles of sets in stars."""
     located = store(sketch(docs, k, similar), "sketches")
     sketches = store(located.drop("addresses", "near"), "sets-of-documents")
     distinct = store(
@@ -472,10 +546,17 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, in
 
     labels = components(linked.union(more))
     classes = distinct.join(labels.withColumnRenamed("id", "place"), "place", "left").withColumn("label", F.coalesce("label", "place"))
+    return sketches, classes, sets
+
+
+def _named(sketches: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
     smallest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
     by_set = classes.join(smallest, "label").select("set_key", "component_id")
     return sketches.select("doc_id", "n", "set_key").join(by_set, "set_key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *more,
     )
 
 
@@ -483,6 +564,10 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard_components(documents(spark, sf_dir), k=4, similar=(85, 100))
 
 
+def op5_jaccard_links(spark, sf_dir):
+    return jaccard_links(documents(spark, sf_dir), k=4, similar=(85, 100))
+
+
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -505,3 +590,7 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c USING (doc_id)
 """
+
+LINKS_SQL = SQL.replace("c.component_id\nFROM", "c.component_id, coalesce(l.n_links, 0)::BIGINT AS n_links\nFROM").replace(
+    "LEFT JOIN n USING (doc_id)", "LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a) l USING (doc_id)"
+)

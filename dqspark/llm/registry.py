@@ -21,6 +21,7 @@ QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_token_files": token_files.op4_token_files,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op5_jaccard_links": jaccard_join.op5_jaccard_links,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
@@ -33,6 +34,7 @@ ORACLES = {
     "op1_url_filter": url_filter.SQL,
     "op3_chat_format": chat.SQL,
     "op5_jaccard_join": jaccard_join.SQL,
+    "op5_jaccard_links": jaccard_join.LINKS_SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,

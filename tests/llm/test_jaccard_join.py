@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from dqspark.llm.components import components
-from dqspark.llm.jaccard_join import Geometry, Tree, count_vector, fold, jaccard_components, shingle_sets
+from dqspark.llm.jaccard_join import Geometry, Tree, count_vector, fold, jaccard_components, jaccard_links, shingle_sets
 
 from .helpers import frame, near_copies, with_clashes, words
 
@@ -142,3 +142,33 @@ def test_components_of_chains_and_hubs(spark):
 def test_hash_is_not_python_hash():
     # Values must be the same in every process.
     assert zlib.crc32(shingle_sets([b"a b c d"], 4)[0].tobytes()) == zlib.crc32(shingle_sets([b"a b c d"], 4)[0].tobytes())
+
+
+def brute_links(rows, k, num, den):
+    sets = [shingles(t, k) for _, t in rows]
+    links = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                links[i] += 1
+                links[j] += 1
+    return sorted(((*x, n) for x, n in zip(brute(rows, k, num, den), links)), key=repr)
+
+
+@pytest.mark.parametrize("mass", [400_000, 2000])
+def test_links_against_brute_force(spark, monkeypatch, mass):
+    """With a small LINK_SHINGLES the group of near copies lies in many tiles."""
+    monkeypatch.setattr("dqspark.llm.jaccard_join.LINK_SHINGLES", mass)
+    rng = random.Random(8)
+    base = words(rng, 150)
+    rows = near_copies(7, originals=25) + [(5000, None), (None, "id of none " * 9), (5001, "id of none " * 9)]
+    for i in range(80):
+        edited = list(base)
+        for _ in range(rng.randrange(8)):
+            edited[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        rows += [(6000 + i, " ".join(edited))] * (1 + i % 2)
+    got = jaccard_links(with_clashes(frame(spark, rows)).repartition(7), k=4, similar=(85, 100)).collect()
+    expected = brute_links(rows, 4, 85, 100)
+    assert sorted(map(tuple, got), key=repr) == expected
+    assert sum(r[3] for r in expected) == 1900
