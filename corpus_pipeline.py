@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dqspark.llm.common import documents, small_side, store
 from dqspark.llm.decontaminate import phrase_matches
-from dqspark.llm.jaccard_join import jaccard_components
+from dqspark.llm.jaccard_join import spare_copies
 from dqspark.llm.language_id import UNKNOWN, identify
 from dqspark.llm.line_dedup import line_dedup as dedup_lines
 from dqspark.llm.packing import pack_documents
@@ -35,11 +35,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a similarity of 0.8 on five-word shingles the smallest id stays; null ids all stay."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    gone = store(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
-    ids = small_side(gone)
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id") == F.col("gone"), "left_anti")
+    """Of documents connected by a similarity of 0.8 on five-word shingles the smallest id stays; null ids all stay.
+
+    Rows that repeat an id are judged by (doc_id, text): each group keeps one row, and a repeated (doc_id, text) stays once.
+    """
+    found = spare_copies(docs.select("doc_id", "text"))
+    keyed = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    id_, hash_ = F.col("doc_id").cast("bigint"), F.col("_hash")
+
+    def named(spare):
+        return (id_ == F.col("gone_id")) & (hash_ == F.col("gone_hash")), small_side(spare)
+
+    spare = found.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
+    on, names = named(store(spare.drop("gone"), "near-copies"))
+    once, repeats = named(store(spare.filter("not gone").drop("gone"), "repeated-rows"))
+    first = keyed.join(repeats, once, "left_semi").groupBy("doc_id", "_hash").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return keyed.join(names, on, "left_anti").select(*COLUMNS).unionByName(first.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,7 +176,7 @@ def fold(vector: np.ndarray, size: int) -> np.ndarray:
 
 # ------------------------------------------------------------------------------------------------ sketches of all documents
 
-SKETCH = "doc_id bigint, n bigint, set_key binary, node bigint, vector binary, addresses array<bigint>, near array<bigint>, place bigint"
+SKETCH = "doc_id bigint, n bigint, set_key binary, node bigint, vector binary, addresses array<bigint>, near array<bigint>, place bigint, text_hash bigint"
 
 
 def _chunks(texts: list[str]):
@@ -247,11 +247,13 @@ def sketch(docs: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
                     sent,
                     near,
                     pa.array(places, pa.int64()),
+                    batch.column("text_hash"),
                 ],
-                ["doc_id", "n", "set_key", "node", "vector", "addresses", "near", "place"],
+                ["doc_id", "n", "set_key", "node", "vector", "addresses", "near", "place", "text_hash"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("text_hash"))
     return rows.mapInArrow(run, SKETCH)
 
 
@@ -447,6 +449,21 @@ def jaccard_links(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] =
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
+def spare_copies(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """doc_id, text_hash, gone, of the rows that are not the one to keep of their component, and of those that repeat.
+
+    Of each component the smallest doc_id stays; where it stands on several texts of the component, the least hash does.
+    Rows with gone = false are to stay once but repeat in the table. Rows of null ids are not named.
+    """
+    sketches, classes, _ = _classes(docs, k, similar)
+    texts = sketches.filter("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.first("set_key").alias("set_key"), F.count(F.lit(1)).alias("rows"))
+    found = store(texts.join(classes.select("set_key", "label"), "set_key", "left").select("doc_id", "text_hash", "rows", "label"), "labelled-texts")
+    kept = found.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+    gone = F.coalesce(F.struct("doc_id", "text_hash") != F.col("kept"), F.lit(False))
+    judged = found.join(kept, "label", "left").select("doc_id", "text_hash", gone.alias("gone"), "rows")
+    return store(judged.filter("gone or rows > 1").select("doc_id", "text_hash", "gone"), "spare-copies")
+
+
 def link_counts(members: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """place, links: copies of the other sets that each of members(label, place, n, copies) is similar to.
 

@@ -76,6 +76,21 @@ def test_run_is_the_chain_of_stages(spark, steps):
     assert ran == sorted(tuple(r)[:5] for r in steps["packing"][1].collect())
 
 
+def test_near_dedup_judges_rows_that_repeat_an_id(spark):
+    copied = " ".join(f"a{i}" for i in range(40))
+    other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "bc")
+    rows = [(3, copied), (5, copied + " x"), (5, other), (5, third), (5, third.upper())]  # 5 is a near copy, two clean texts
+    rows += [(7, "seven " + other + " y z v"), (8, None), (8, None), (8, "")]
+    repeated = " ".join(f"d{i}" for i in range(40))
+    rows += [(9, repeated)] * 3 + [(10, repeated)]
+    rows += [(None, copied), (None, copied)]
+    docs = frame(spark, rows).repartition(3)
+    made = P.near_dedup(spark, docs, SF)
+    found = sorted(((d, "no" if t is None else t.lower()[:2]) for d, t in pairs(made)), key=repr)
+    assert found == sorted([(3, "a0"), (5, "b0"), (5, "c0"), (8, "no"), (8, ""), (9, "d0"), (None, "a0"), (None, "a0")], key=repr)
+    assert made.columns == docs.columns
+
+
 def test_nulls_copies_and_empty_tables(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, text), (2, text.upper()), (2, text), (None, text), (3, None), (4, ""), (5, "123 456"), (6, "short")]
