@@ -5,6 +5,7 @@ from __future__ import annotations
 from dqspark.llm import (
     chat,
     decontaminate,
+    divergence,
     exact_dedup,
     jaccard_join,
     language_id,
@@ -13,6 +14,7 @@ from dqspark.llm import (
     token_files,
     url_filter,
     warc,
+    whitening,
 )
 
 QUERIES = {
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 # The others cannot be said in SQL; tests hold them against brute force, the library's ids or held-out accuracy.
@@ -39,4 +43,5 @@ ORACLES = {
     "op7_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_warc": warc.SQL,
+    "op11_source_divergence": divergence.SQL,
 }
