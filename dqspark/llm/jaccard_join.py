@@ -5,7 +5,7 @@ in at most r = (a + b) (1 - t) / (1 + t) shingles. The tree's upper levels use t
 than r, so similar sets have the same content in at least one of them, and a node of the tree is (class, group, content).
 A node's sets all meet its first one (the star of that set); deeper down, the members of a star lie in an R-tree of count
 vectors with bounding boxes, where the sum of coordinate minima bounds the overlap of a query with a box, then with a
-point. Surviving pairs are verified on the sets themselves. Nothing is sampled and no list is cut.
+point, coarsely and finely. Surviving pairs are verified on the sets themselves. Nothing is sampled and no list is cut.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.llm.common import discard, documents, pieces, small_side, store
-from dqspark.llm.components import components
+from dqspark.llm.similar_sets import connected, led, ragged, stars, tiled
 
 SHINGLE = 5
 SIMILAR = (80, 100)
 CHUNK_BYTES = 1_000_000
+#: Members of a task of a star's tree, and bytes of their count vectors, whichever ends a tile first.
 TILE = 4096
+TILE_BYTES = 4_000_000
 LEAF = 32
 #: Shingles of one side of a task that counts links; larger components are cut into tiles.
 LINK_SHINGLES = 400_000
@@ -155,8 +157,8 @@ class Geometry:
 
 
 def coordinates(n: int) -> int:
-    """Groups of a count vector: about two shingles each, a power of two so that vectors fold onto shorter ones."""
-    return 1 << min(12, max(4, (max(n, 1) // 2).bit_length()))
+    """Groups of a count vector: two or more for each shingle, a power of two so that vectors fold onto shorter ones."""
+    return 1 << min(12, max(4, (2 * max(n, 1)).bit_length()))
 
 
 def count_vector(v: np.ndarray) -> np.ndarray:
@@ -167,7 +169,7 @@ def count_vector(v: np.ndarray) -> np.ndarray:
 
 
 def read_vector(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(packed, f"<u{len(packed) // coordinates(n)}").astype(np.int32)
+    return np.frombuffer(packed, f"<u{len(packed) // coordinates(n)}")
 
 
 def fold(vector: np.ndarray, size: int) -> np.ndarray:
@@ -176,10 +178,10 @@ def fold(vector: np.ndarray, size: int) -> np.ndarray:
 
 # ------------------------------------------------------------------------------------------------ sketches of all documents
 
-SKETCH = "doc_id bigint, n bigint, set_key binary, node bigint, vector binary, addresses array<bigint>, near array<bigint>, place bigint, text_hash bigint"
+SKETCH = "doc_id bigint, n bigint, set_key binary, vector binary, addresses array<bigint>, held array<bigint>, leads array<bigint>, place bigint, text_hash bigint"
 
 
-def _chunks(texts: list[str]):
+def chunks(texts: list[str]):
     begin = held = 0
     data = []
     for i, t in enumerate(texts):
@@ -193,18 +195,17 @@ def _chunks(texts: list[str]):
         yield begin, data
 
 
-def _set_key(v: np.ndarray) -> bytes:
+def set_key(v: np.ndarray) -> bytes:
     """128 bits of the set, independent of order."""
     return mix(np.array([v.sum(dtype=np.uint64), mix(v + _MIX2).sum(dtype=np.uint64)]) + _U(len(v))).astype("<u8").tobytes()
 
 
 def sketch(docs: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
-    """Per document: set size and key, count vector, and the tree nodes (addresses) where it stands for its piece of a batch.
+    """Per document: set size and key, count vector, and the tree nodes (addresses) that it lies in.
 
-    `node` is the document's name in the tree: its id, which makes the first document of a group of copies their hub.
-
-    Within a piece only the first set at an address is sent on; the others name it in `near`. So a node that a third of
-    all documents share reaches the shuffle once per piece. Sets seen before in the piece send nothing.
+    `place` is the document's name, unique whatever the ids. Within a piece of a batch only the first set at an address is
+    sent on; the others hold the address beside that lead. So a node that a third of all documents share reaches the
+    shuffle once per piece. Sets seen before in the piece send nothing.
     """
 
     def run(batches):
@@ -212,44 +213,32 @@ def sketch(docs: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
         place = TaskContext.get().partitionId() << 40
         for batch in pieces(batches):
             seen: set[bytes] = set()
-            rows, addresses, owners, fresh = [], [], [], []
+            rows, addresses, owners = [], [], []
             ids = batch.column("doc_id").to_pylist()
-            for begin, raws in _chunks(batch.column("text").to_pylist()):
+            for begin, raws in chunks(batch.column("text").to_pylist()):
                 for i, v in enumerate(shingle_sets(raws, k), begin):
-                    key = _set_key(v)
-                    node = -1 - place if ids[i] is None else ids[i]
-                    rows.append((ids[i], len(v), key, node, count_vector(v).tobytes() if len(v) else b"", place))
+                    key = set_key(v)
+                    rows.append((ids[i], len(v), key, count_vector(v).tobytes() if len(v) else b"", place))
                     place += 1
                     if len(v) and key not in seen:
                         seen.add(key)
                         found = geometry.addresses(v)
                         addresses.append(found)
                         owners.append(np.full(len(found), len(rows) - 1))
-                        fresh.append(len(rows) - 1)
             if not rows:
                 continue
-            a = np.concatenate(addresses) if addresses else np.zeros(0, np.uint64)
-            o = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-            _, first, which = np.unique(a, return_index=True, return_inverse=True)
-            leads = first[which] == np.arange(len(a))
-            nodes = np.array([r[3] for r in rows], np.int64)
-            sent = _ragged(a[leads].view(np.int64), o[leads], len(rows))
-            pairs = np.unique(np.stack([o[~leads], o[first[which]][~leads]]), axis=1)
-            near = _ragged(nodes[pairs[1]], pairs[0], len(rows))
-            ids_, n, keys, node, vector, places = zip(*rows)
+            ids_, n, keys, vector, places = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids_, pa.int64()),
                     pa.array(n, pa.int64()),
                     pa.array(keys, pa.binary()),
-                    pa.array(node, pa.int64()),
                     pa.array(vector, pa.binary()),
-                    sent,
-                    near,
+                    *led(addresses, owners, places),
                     pa.array(places, pa.int64()),
                     batch.column("text_hash"),
                 ],
-                ["doc_id", "n", "set_key", "node", "vector", "addresses", "near", "place", "text_hash"],
+                ["doc_id", "n", "set_key", "vector", "addresses", "held", "leads", "place", "text_hash"],
             )
 
     text = F.col("text").cast("string")
@@ -257,38 +246,26 @@ def sketch(docs: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
     return rows.mapInArrow(run, SKETCH)
 
 
-def _ragged(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
-    order = np.argsort(owner, kind="stable")
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order], pa.int64()))
-
-
-def stars(sketches: DataFrame) -> DataFrame:
-    """hub, node: each set of a tree node beside the node's first set. One row per member, not per pair.
-
-    A member that its batch held back follows its lead into the lead's stars, which may only add members.
-    """
-    sent = sketches.select("node", F.explode("addresses").alias("address"))
-    first = F.first("node").over(Window.partitionBy("address").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    over_tasks = store(sent.select("node", first.alias("hub")).filter("node <> hub").select("hub", "node").distinct(), "tree-nodes")
-    in_batch = sketches.select(F.explode("near").alias("lead"), "node").filter("node <> lead").distinct()
-    followed = over_tasks.withColumnRenamed("node", "lead").join(in_batch, "lead").select("hub", "node").filter("hub <> node")
-    return over_tasks.union(in_batch.select(F.col("lead").alias("hub"), "node")).union(followed).distinct()
-
-
 # ------------------------------------------------------------------------------------------------------- the lower levels
 
 
 class Tree:
-    """R-tree over count vectors, packed by size and the first coordinates; leaves and their parents have bounding boxes."""
+    """R-tree over count vectors, packed by size and the first coordinates; leaves and their parents have bounding boxes.
+
+    Boxes and points are coarse, about two shingles a coordinate; what they leave meets the finest coordinates.
+    """
 
     def __init__(self, n: np.ndarray, vectors: list[np.ndarray], geometry: Geometry):
         self.geometry = geometry
         # All vectors folded to the shortest: the bound holds for any grouping, and sizes differ little.
-        self.width = min(map(len, vectors))
-        points = np.stack([fold(v, self.width) for v in vectors])
+        fine = min(map(len, vectors))
+        self.width = max(16, fine // 4)
+        # Most counts fit a byte; wider ones widen all of them.
+        self.fine = np.stack([v if len(v) == fine else fold(v, fine) for v in vectors])
+        points = self.fine.reshape(len(vectors), self.width, -1).sum(axis=2, dtype=np.int32)
+        points = points.astype(np.min_scalar_type(int(points.max(initial=0))))
         self.order = np.lexsort((points[:, 1], points[:, 0], n))
-        self.n, self.points = n[self.order], points[self.order]
+        self.n, self.points, self.fine = n[self.order], points[self.order], self.fine[self.order]
         self.levels = [self._boxes(self.points, self.n)]
         while len(self.levels[-1][0]) > LEAF:
             self.levels.append(self._boxes(*self.levels[-1]))
@@ -302,26 +279,28 @@ class Tree:
         """Positions (as given) of the members that may be similar to the query."""
         q = fold(vector, self.width) if len(vector) >= self.width else None
         at = np.arange(len(self.levels[-1][0]))
-        for upper, least in reversed(self.levels):
+        for depth in range(len(self.levels) - 1, -1, -1):
+            upper, least = self.levels[depth]
             at = at[self._may(n, q, upper[at], least[at])]
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-            below = len(self.points) if upper is self.levels[0][0] else len(self.levels[self._depth(upper) - 1][0])
-            at = at[at < below]
-        return self.order[at[self._may(n, q, self.points[at], self.n[at])]]
-
-    def _depth(self, upper) -> int:
-        return next(i for i, level in enumerate(self.levels) if level[0] is upper)
+            at = at[at < (len(self.levels[depth - 1][0]) if depth else len(self.points))]
+        at = at[self._may(n, q, self.points[at], self.n[at])]
+        if len(vector) >= self.fine.shape[1]:
+            at = at[self._may(n, fold(vector, self.fine.shape[1]), self.fine[at], self.n[at])]
+        return self.order[at]
 
     def _may(self, n: int, q: np.ndarray | None, upper: np.ndarray, least: np.ndarray) -> np.ndarray:
         needed = self.geometry.needed(n, least)
         if q is None:
-            return np.minimum(n, upper.sum(axis=1)) >= needed
-        return np.minimum(upper, q).sum(axis=1) >= needed
+            return np.minimum(n, upper.sum(axis=1, dtype=np.int64)) >= needed
+        # No minimum exceeds the query's count, so the narrower type holds it.
+        narrow = np.minimum(upper, np.minimum(q, np.iinfo(upper.dtype).max).astype(upper.dtype))
+        return narrow.sum(axis=1, dtype=np.int32) >= needed
 
 
-def near_hubs(members: DataFrame, hubs: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """a, b: hub and member places that may be similar. A hub is the root that each member meets as a point, pair by pair,
-    without gathering a star; members are (star, place, n, vector), hubs are (star, hub_n, hub_vector)."""
+def near_hubs(pairs: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """a, b: the rows of pairs(star, place, n, vector, hub_n, hub_vector) that may be similar. A hub is the root that each
+    member meets as a point, pair by pair, without gathering a star."""
 
     def run(batches):
         geometry = Geometry(similar)
@@ -337,30 +316,20 @@ def near_hubs(members: DataFrame, hubs: DataFrame, similar: tuple[int, int]) ->
             a, b = kept.column("star").to_numpy(), kept.column("place").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return members.join(hubs, "star").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
 def tree_search(queries: DataFrame, members: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """a, b: places of queries and members of one star that may be similar; both sides are (star, place, n, vector, part).
 
     Pairs within one `part` are known to be connected and left out. A star of any size is cut into tiles of about TILE
-    members and TILE queries; every pair of tiles is a task of its own.
+    members and TILE queries or TILE_BYTES; every pair of tiles is a task of its own.
     """
-    # Both sides may come from one frame; new names for the same columns keep them apart.
-    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("star", "place", "n", "vector", "part")])
-    queries, members = fresh(queries), fresh(members)
-    tiles = lambda df, name: df.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(name))
-    counts = tiles(queries, "qt").join(tiles(members, "mt"), "star")
-    own = lambda n: F.pmod(F.xxhash64("place"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["place", "n", "vector", "part"]
-    q = queries.join(counts, "star").select("star", own("qt").alias("i"), every("mt").alias("j"), *columns)
-    m = members.join(counts, "star").select("star", every("qt").alias("i"), own("mt").alias("j"), *columns)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         geometry = Geometry(similar)
         vectors = lambda t: [read_vector(x, n) for x, n in zip(t.column("vector").to_pylist(), t.column("n").to_pylist())]
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if left.num_rows and right.num_rows:
             tree = Tree(right.column("n").to_numpy(), vectors(right), geometry)
             places, parts = right.column("place").to_numpy(), right.column("part").to_numpy()
@@ -371,12 +340,9 @@ def tree_search(queries: DataFrame, members: DataFrame, similar: tuple[int, int]
                 found = places[found[parts[found] != part]]
                 a.append(np.full(len(found), place))
                 b.append(found)
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([empty, *a])), "b": pa.array(np.concatenate([empty, *b]))})
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
-    keys = ("star", "i", "j")
-    found = q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInArrow(run, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return tiled(queries, members, run, ["place", "n", "vector", "part"], TILE, TILE_BYTES)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -384,12 +350,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches):
-            for _, raws in _chunks(batch.column("text").to_pylist()):
+            for _, raws in chunks(batch.column("text").to_pylist()):
                 found = shingle_sets(raws, k)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([_set_key(v) for v in found], pa.binary()),
-                        _ragged(
+                        pa.array([set_key(v) for v in found], pa.binary()),
+                        ragged(
                             np.concatenate(found).view(np.int64), np.repeat(np.arange(len(found)), [len(v) for v in found]), len(found)
                         ),
                     ],
@@ -402,20 +368,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return chosen.mapInArrow(run, "set_key binary, shingles array<bigint>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; sets are (place, shingles)."""
-    num, den = similar
-    left = sets.select(F.col("place").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("place").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .filter(den * both >= num * (F.size("sa") + F.size("sb") - both))
-        .select("a", "b")
-    )
-
-
 # ------------------------------------------------------------------------------------------------------------ the join
 
 
@@ -427,8 +379,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, in
     texts have no shingles, link with nothing and are their own component. Rows that repeat an id are documents of their
     own; a component of null ids alone has a null id. An empty table gives no rows; further columns are ignored.
 
-    Equal sets fold to one before all else. Each star meets its hub first; only members that this leaves unconnected
-    with the hub search the star's tree, so a large group of near copies costs about one comparison per member.
+    Equal sets fold to one before all else. Each set meets its first hub, then the hubs that this leaves unconnected with
+    it, and only what still is apart searches a star's tree, so a large group of near copies costs about one comparison
+    per member.
     """
     sketches, classes, _ = _classes(docs, k, similar)
     return _named(sketches, classes)
@@ -487,8 +440,8 @@ def link_counts(members: DataFrame, sets: DataFrame, similar: tuple[int, int]) -
         geometry = Geometry(similar)
         i, j = key[2].as_py(), key[3].as_py()
         tile, place, copies = (rows.column(c).to_numpy() for c in ("tile", "place", "copies"))
-        lists = rows.column("shingles").combine_chunks()
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        lists = rows.column("shingles").combinechunks()
+        lists = lists.combinechunks() if isinstance(lists, pa.ChunkedArray) else lists
         n = lists.value_lengths().to_numpy().astype(np.int64)
         values, ends = lists.flatten().to_numpy(), np.cumsum(n)
         links = np.zeros(len(n), np.int64)
@@ -518,31 +471,16 @@ def link_counts(members: DataFrame, sets: DataFrame, similar: tuple[int, int]) -
 def _classes(docs: DataFrame, k: int, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' sketches, the distinct sets with the label of their component, and the shingles of sets in stars."""
     located = store(sketch(docs, k, similar), "sketches")
-    sketches = store(located.drop("addresses", "near"), "sets-of-documents")
+    sketches = store(located.drop("addresses", "held", "leads"), "sets-of-documents")
     distinct = store(
         sketches.filter("n > 0").groupBy("set_key", "n", "vector").agg(F.min("place").alias("place"), F.min("doc_id").alias("low")),
         "distinct-sets",
     )
-    names = store(
-        sketches.filter("n > 0").select("node", "set_key").join(distinct.select("set_key", "place"), "set_key").select("node", "place").distinct(),
-        "names",
-    )
-    meets = (
-        stars(located)
-        .join(names.select(F.col("node").alias("hub"), F.col("place").alias("star")), "hub")
-        .join(names, "node")
-        .filter("star <> place")
-        .select("star", "place")
-        .distinct()
-    )
-    members = store(meets.join(distinct.select("place", "n", "vector"), "place").select("star", "place", "n", "vector"), "members")
+    names = sketches.filter("n > 0").select(F.col("place").alias("node"), "set_key").join(distinct.select("set_key", "place"), "set_key")
+    meets = stars(located, store(names.select("node", "place"), "names"))
     discard(located)
-    centres = distinct.join(members.select(F.col("star").alias("place")).distinct(), "place").select(
-        F.col("place").alias("star"), F.col("n").alias("hub_n"), F.col("vector").alias("hub_vector")
-    )
-    near_hub = store(near_hubs(members, centres, similar), "hub-pairs")
 
-    in_stars = members.select("place").union(members.select("star")).distinct()
+    in_stars = meets.select("place").union(meets.select("star")).distinct()
     sets = store(
         sets_of(docs, store(distinct.join(in_stars, "place").select("low").distinct(), "wanted"), k)
         .join(distinct.select("set_key", "place"), "set_key")
@@ -550,18 +488,16 @@ def _classes(docs: DataFrame, k: int, similar: tuple[int, int]) -> tuple[DataFra
         .select("place", "shingles"),
         "sets",
     )
-    linked = store(verified(near_hub, sets, similar), "hub-links")
-
-    parts = components(linked)
-    named = lambda df, key, name: df.join(
-        parts.select(F.col("id").alias(key), F.col("label").alias(name)), key, "left"
-    ).withColumn(name, F.coalesce(name, key))
-    with_parts = store(named(named(members, "place", "part"), "star", "hub_part"), "members-parts")
-    rest = with_parts.filter("part <> hub_part").select("star", "place", "n", "vector", "part")
-    among = store(tree_search(rest, with_parts.select("star", "place", "n", "vector", "part"), similar), "member-pairs")
-    more = verified(among, sets, similar)
-
-    labels = components(linked.union(more))
+    points = distinct.select("place", "n", "vector")
+
+    def beside_hub(pairs: DataFrame) -> DataFrame:
+        hubs = points.select(F.col("place").alias("star"), F.col("n").alias("hub_n"), F.col("vector").alias("hub_vector"))
+        return near_hubs(pairs.join(points, "place").join(hubs, "star"), similar)
+
+    def among(apart: DataFrame, members: DataFrame) -> DataFrame:
+        return tree_search(apart.join(points, "place"), members.join(points, "place"), similar)
+
+    labels = connected(meets, sets, similar, beside_hub, among)
     classes = distinct.join(labels.withColumnRenamed("id", "place"), "place", "left").withColumn("label", F.coalesce("label", "place"))
     return sketches, classes, sets
 

@@ -10,6 +10,7 @@ from dqspark.llm import (
     jaccard_join,
     language_id,
     line_dedup,
+    minhash_dedup,
     packing,
     token_files,
     url_filter,
@@ -31,6 +32,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_whitening": whitening.op12_whitening,
+    "op13_minhash_dedup": minhash_dedup.op13_minhash_dedup,
 }
 
 # The others cannot be said in SQL; tests hold them against brute force, the library's ids or held-out accuracy.
@@ -44,4 +46,5 @@ ORACLES = {
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_warc": warc.SQL,
     "op11_source_divergence": divergence.SQL,
+    "op13_minhash_dedup": minhash_dedup.SQL,
 }

@@ -48,6 +48,9 @@ def run(df, **options):
 @pytest.mark.parametrize("k,similar,seed", [(4, (85, 100), 3), (5, (80, 100), 4), (2, (60, 100), 5)])
 def test_against_brute_force(spark, k, similar, seed):
     rows = near_copies(seed, originals=40) + [(5000, None), (None, "id of none " * 9), (5001, "id of none " * 9)]
+    # Near copies under one id, and beside an id that numbers of nulls could take.
+    again = rows[3][1] + " " + " ".join(f"again{i}" for i in range(60))
+    rows += [(7000, again), (7000, again.replace("again3 ", "")), (None, again.replace("again9 ", "")), (-1, again.replace("again8 ", "")), (7001, again)]
     got = run(with_clashes(frame(spark, rows)).repartition(7), k=k, similar=similar)
     assert got == sorted(brute(rows, k, *similar), key=repr)
 
@@ -98,8 +101,8 @@ def test_tree_returns_all_that_the_bound_allows():
     tree = Tree(n, vectors, g)
     assert len(tree.levels) > 1
     for i in range(0, 2500, 50):
-        q = fold(vectors[i], tree.width)
-        bound = np.minimum(np.stack([fold(v, tree.width) for v in vectors]), q).sum(axis=1)
+        may = lambda width: np.minimum(np.stack([fold(v, width) for v in vectors]), fold(vectors[i], width)).sum(axis=1)
+        bound = np.minimum(may(tree.width), may(tree.fine.shape[1]))
         assert set(tree.search(int(n[i]), vectors[i])) == set(np.flatnonzero(bound >= g.needed(int(n[i]), n)))
         true = [j for j in range(2500) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
         assert set(true) <= set(tree.search(int(n[i]), vectors[i]))
@@ -168,7 +171,10 @@ def test_links_against_brute_force(spark, monkeypatch, mass):
         for _ in range(rng.randrange(8)):
             edited[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
         rows += [(6000 + i, " ".join(edited))] * (1 + i % 2)
+    # Near copies under one id and under none link like others.
+    again = " ".join(f"again{i}" for i in range(60))
+    rows += [(7000, again), (7000, again + " x"), (None, again + " y"), (-1, again + " z")]
     got = jaccard_links(with_clashes(frame(spark, rows)).repartition(7), k=4, similar=(85, 100)).collect()
     expected = brute_links(rows, 4, 85, 100)
     assert sorted(map(tuple, got), key=repr) == expected
-    assert sum(r[3] for r in expected) == 1900
+    assert sum(r[3] for r in expected) == 1912

@@ -101,3 +101,10 @@ def test_nulls_copies_and_empty_tables(spark):
     assert {r["doc_id"] for r in left.collect()} == {1, 6, None}
     for _, stage in P.STAGES:
         assert stage(spark, frame(spark, []), SF).count() == 0
+
+
+def test_near_dedup_sees_near_copies_under_one_id(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    rows = [(5, text), (5, text + " x"), (6, text + " y"), (-1, " ".join(f"b{i}" for i in range(60)))]
+    left = P.near_dedup(spark, frame(spark, rows), SF).collect()
+    assert sorted(r["doc_id"] for r in left) == [-1, 5]
