@@ -49,9 +49,11 @@ def stars(sketches: DataFrame, names: DataFrame) -> DataFrame:
     sent = sketches.select(F.col("place").alias("node"), F.explode("addresses").alias("address"))
     first = F.first("node").over(Window.partitionBy("address").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
     shared = store(sent.select("address", "node", first.alias("hub")).filter("node <> hub"), "shared-addresses")
-    held = sketches.select(F.col("place").alias("node"), F.explode(F.arrays_zip("held", "leads")).alias("h")).select("node", "h.held", "h.leads")
+    held = sketches.select(F.col("place").alias("node"), F.explode(F.arrays_zip("held", "leads")).alias("h"))
+    # A lead and its followers are of one piece, so a list is bounded by a piece's rows.
+    behind = held.groupBy("h.held", "h.leads").agg(F.collect_list("node").alias("nodes"))
     own = shared.select(F.col("address").alias("held"), F.col("node").alias("leads"), "hub")
-    beside = held.join(own, ["held", "leads"], "left").select(F.coalesce("hub", "leads").alias("hub"), "node")
+    beside = behind.join(own, ["held", "leads"], "left").select(F.coalesce("hub", "leads").alias("hub"), F.explode("nodes").alias("node"))
     pairs = store(shared.select("hub", "node").union(beside).distinct(), "star-nodes")
     met = store(
         pairs.join(names.select(F.col("node").alias("hub"), F.col("place").alias("star")), "hub")

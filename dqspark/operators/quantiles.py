@@ -2,8 +2,9 @@
 
 A sketch brackets every wanted rank. One pass counts what lies below and inside each bracket, which proves that the rank
 is inside; a bracket that misses it is widened and counted again. Only values inside brackets are shuffled, folded by
-value. While a bracket holds more distinct values than a task should rank, it is cut into equal slices, counted, and only
-the slices with the rank stay.
+value. While a bracket holds more distinct values than a task should rank, each of the two order statistics of a rank is
+sought for itself: its bracket is cut where its distinct values fall into equal shares, counted, and the one share that
+holds the position stays. So every cut shrinks it by a factor, however far apart or heavy-tailed the values are.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ ACCURACY = 10_000
 # The sketch error is 1/accuracy; the bracket is ten times wider.
 BRACKET = 10 / ACCURACY
 RANKED_VALUES = 200_000
-SLICES = 1024
+SLICES = 64
 
 
 def bracket_sketch(column: Column, probabilities: Sequence[float]) -> Column:
@@ -71,20 +72,24 @@ def _outside() -> Column:
     return (F.col("below") > F.floor("rank")) | (F.col("below") + F.col("inside") <= F.ceil("rank"))
 
 
+def _targets(state: DataFrame, group: list[str]) -> DataFrame:
+    """Each rank as the positions below and above it (`side`), which then narrow on their own."""
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), at.alias("rank")) for i, at in enumerate((F.floor("rank"), F.ceil("rank")))])
+    return state.select(*group, "below", "lo", "hi", F.inline(sides))
+
+
 def _sliced(points: DataFrame, state: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Points and state after every bracket has shrunk to the slices that hold its rank."""
-    span = F.col("hi") - F.col("lo")
-    part = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span * SLICES), F.lit(SLICES - 1))).otherwise(0)
-    placed = _same(points, state.select(*group, "lo", "hi", "rank", "below"), group).withColumn("slice", part)
-    slices = placed.groupBy(*group, "slice", "rank", "below").agg(F.sum("freq").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    """Points and state after every bracket has shrunk to the share of its distinct values that holds its position."""
+    shares = [i / SLICES for i in range(1, SLICES)]
+    cuts = points.groupBy(*group).agg(F.percentile_approx("v", shares, ACCURACY).alias("cuts"))
+    placed = _same(points, broadcast_if_small(materialize(cuts)), group)
+    # A value belongs to the share that begins at the last cut up to it.
+    placed = placed.withColumn("slice", F.size(F.filter("cuts", lambda c: c <= F.col("v"))))
+    slices = placed.groupBy(*group, "slice").agg(F.sum("freq").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    of_group = _same(slices, state.select(*group, "rank", "below"), group)
     upto = F.col("below") + F.sum("n").over(Window.partitionBy(*group).orderBy("slice"))
-    kept = materialize(
-        slices.withColumn("upto", upto).filter((F.col("upto") > F.floor("rank")) & (F.col("upto") - F.col("n") <= F.ceil("rank")))
-    )
-    narrower = kept.groupBy(*group).agg(
-        F.min("rank").alias("rank"), F.min(F.col("upto") - F.col("n")).alias("below"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    )
-    state = materialize(narrower)
+    held = of_group.withColumn("upto", upto).filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+    state = materialize(held.select(*group, "rank", (F.col("upto") - F.col("n")).alias("below"), "lo", "hi"))
     inside = _same(points, broadcast_if_small(state.select(*group, "lo", "hi")), group)
     return materialize(inside.filter(F.col("v").between(F.col("lo"), F.col("hi"))).select(*group, "v", "freq")), state
 
@@ -106,16 +111,26 @@ def select_quantiles(rows: DataFrame, stats: DataFrame, runs: Sequence[str], pro
         .groupBy(*keys, F.col("w.j").alias("j"), "v")
         .agg(F.count(F.lit(1)).alias("freq"))
     )
-    state = state.select(*group, "rank", "below", "lo", "hi")
-    while not points.groupBy(*group).count().filter(F.col("count") > RANKED_VALUES).isEmpty():
-        points, state = _sliced(points, state, group)
-
-    upto = F.col("below") + F.sum("freq").over(Window.partitionBy(*group).orderBy("v"))
-    ranked = _same(points, state.select(*group, "rank", "below"), group).withColumn("upto", upto)
-    picked = ranked.groupBy(*group).agg(
-        F.min(F.when(F.col("upto") > F.floor("rank"), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("v"))).alias("b"),
-        F.max(F.col("rank") - F.floor("rank")).alias("part"),
-    )
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
+    part = state.select(*group, (F.col("rank") - F.floor("rank")).alias("part"))
+    sought = [*group, "side"]
+    state = _targets(state, group)
+    crowded = points.groupBy(*group).count().filter(F.col("count") > RANKED_VALUES)
+    if not crowded.isEmpty():
+        # Both sides begin with the bracket they share; from here on they part.
+        state = materialize(state)
+        points = points.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+        while not points.groupBy(*sought).count().filter(F.col("count") > RANKED_VALUES).isEmpty():
+            points, state = _sliced(points, state, sought)
+        met, by = _same(points, state.select(*sought, "rank", "below"), sought), sought
+        upto = F.col("below") + F.sum("freq").over(Window.partitionBy(*by).orderBy("v"))
+        found = met.withColumn("upto", upto).filter(F.col("upto") > F.col("rank")).groupBy(*sought).agg(F.min("v").alias("at"))
+        picked = found.groupBy(*group).agg(*[F.max(F.when(F.col("side") == i, F.col("at"))).alias(n) for i, n in enumerate("ab")])
+    else:
+        both = state.groupBy(*group).agg(F.min("rank").alias("first"), F.max("rank").alias("second"), F.min("below").alias("below"))
+        upto = F.col("below") + F.sum("freq").over(Window.partitionBy(*group).orderBy("v"))
+        ranked = _same(points, both, group).withColumn("upto", upto)
+        picked = ranked.groupBy(*group).agg(*[F.min(F.when(F.col("upto") > F.col(r), F.col("v"))).alias(n) for r, n in (("first", "a"), ("second", "b"))])
+    picked = _same(picked, part, group)
+    # Equal order statistics need no arithmetic, which infinities would not survive.
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part"))
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("j") == j, value)).alias(f"q{j}") for j in range(n)])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -152,3 +153,29 @@ def test_value_exchange_is_reused(spark, sf):
     found = profile_table(df, parts=("distinct", "hash"))
     found.collect()
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def shaped(shape):
+    rng = np.random.default_rng(9)
+    if shape == "two clusters":
+        return np.concatenate([rng.normal(0, 1e-6, 200), rng.normal(1e9, 1e-6, 200)])
+    if shape == "heavy tail":
+        return rng.permutation(np.concatenate([np.arange(390) / 7, 10.0 ** np.arange(20, 300, 28)]))
+    if shape == "infinities":
+        return np.concatenate([rng.normal(0, 1, 300), np.full(60, np.inf), np.full(60, -np.inf)])
+    return np.repeat([3.0, 5.0], [399, 1])
+
+
+@pytest.mark.parametrize("shape", ["two clusters", "heavy tail", "infinities", "one value"])
+def test_crowded_brackets_of_any_shape_narrow(spark, monkeypatch, shape):
+    monkeypatch.setattr("dqspark.operators.quantiles.RANKED_VALUES", 20)
+    values = shaped(shape)
+    probabilities = (0.01, 0.25, 0.5, 0.75, 0.99)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    row = exact_quantiles(df, ["x"], probabilities).first()
+    ordered = np.sort(values)
+    for i, p in enumerate(probabilities):
+        at = p * (len(values) - 1)
+        a, b = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        expected = a if a == b else a + (b - a) * (at - np.floor(at))
+        assert row[f"q{i}"] == pytest.approx(expected, rel=1e-12)
