@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.functions.columns import q
-from dqspark.operators import baseline, drift, joint
+from dqspark.operators import baseline, drift, joint, joint_runs
 from dqspark.operators.contract import check_contract
 from dqspark.operators.profile import mask_sensitive, profile_segments, profile_table
 from dqspark.operators.scoring import incident_risk, number_signals, score_violations
@@ -28,6 +28,9 @@ class Options:
     learned_freshness: Sequence[str] = ()
     sensitive_columns: Sequence[str] = ()
     forest: bool = False
+    #: Joint drift of every run against its baseline run, over these numeric columns (all of them with True).
+    joint_drift: bool | Sequence[str] = False
+    joint_min_rows: int = joint.MIN_ROWS
     exact: bool = True
     parts: Sequence[str] = ("distinct", "quantiles", "top", "hash")
     references: Mapping[str, DataFrame] = field(default_factory=dict)
@@ -154,6 +157,10 @@ def _analyze(df, contract, runs, history, as_of, options: Options, reference):
         joint_signal = joint.multivariate_drift(reference, df.drop("run_id"), forest=options.forest)
         only = runs.first()["run_id"]
         later.append(joint_signal.withColumn("run_id", F.lit(only)))
+    elif options.joint_drift and history is None:
+        pairs = ready.select("run_id", F.col("newest_base").alias("base_run"))
+        chosen = None if options.joint_drift is True else list(options.joint_drift)
+        later.append(joint_runs.joint_by_run(df, pairs, chosen, min_rows=options.joint_min_rows))
     if options.learned_freshness:
         later.append(
             baseline.learned_staleness(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dqspark.operators import baseline as B
 from dqspark.operators import drift as D
 from dqspark.operators.joint import multivariate_iforest, multivariate_mahalanobis
+from dqspark.operators.joint_runs import joint_by_run
 from dqspark.operators.profile import profile_segments, profile_table
 from dqspark.plans.analyze import Options, analyze_runs
 from dqspark.queries.base import (
@@ -466,6 +467,92 @@ def mahalanobis(spark, sf):
     )
 
 
+# Years of shipment as runs, each against the year before. In one year the fees of first lines belong to a mirrored price.
+BROKEN_YEAR = "1996"
+
+
+def yearly_fees(spark, sf):
+    price, year = F.col("l_extendedprice"), F.date_format("l_shipdate", "yyyy")
+    fee = F.when((year == BROKEN_YEAR) & (F.col("l_linenumber") == 1), 0.1 * (105_000 - price)).otherwise(0.1 * price) + 1000 * F.col("l_tax")
+    return table(spark, sf, "lineitem").select(year.alias("run_id"), price.alias("price"), fee.alias("fee"))
+
+
+def year_pairs(fees_):
+    """Each year beside the one before, where that is there."""
+    years = fees_.select("run_id").distinct()
+    before = years.select((F.col("run_id").cast("int") + 1).cast("string").alias("run_id"), F.col("run_id").alias("base_run"))
+    return years.join(before, "run_id")
+
+
+YEARS_SQL = f"""
+y AS (SELECT strftime(l_shipdate, '%Y') AS run_id, l_extendedprice AS price,
+        CASE WHEN strftime(l_shipdate, '%Y') = '{BROKEN_YEAR}' AND l_linenumber = 1 THEN 0.1 * (105000 - l_extendedprice) ELSE 0.1 * l_extendedprice END + 1000 * l_tax AS fee
+      FROM lineitem),
+m AS (SELECT run_id, count(*) AS known, avg(price) AS mx, avg(fee) AS my, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS sx,
+        quantile_cont(fee, 0.75) - quantile_cont(fee, 0.25) AS sy, var_samp(price) AS vx, var_samp(fee) AS vy, covar_samp(price, fee) AS cxy
+      FROM y GROUP BY run_id HAVING count(*) >= 200),
+c AS (SELECT *, vx / (sx * sx) AS a0, vy / (sy * sy) AS d0, cxy / (sx * sy) AS b FROM m),
+i AS (SELECT *, a0 + 1e-3 * (a0 + d0) / 2 AS a, d0 + 1e-3 * (a0 + d0) / 2 AS d FROM c),
+inv AS (SELECT *, d / (a * d - b * b) AS ia, -b / (a * d - b * b) AS ib, a / (a * d - b * b) AS id FROM i),
+own AS (SELECT y.run_id, ia * ((price - mx) / sx) ** 2 + 2 * ib * ((price - mx) / sx) * ((fee - my) / sy) + id * ((fee - my) / sy) ** 2 AS distance
+        FROM y JOIN inv ON inv.run_id = y.run_id),
+lim AS (SELECT run_id, quantile_cont(distance, 0.99) AS t FROM own GROUP BY run_id),
+hit AS (SELECT y.run_id, count(*) AS n,
+          count(*) FILTER (WHERE ia * ((price - mx) / sx) ** 2 + 2 * ib * ((price - mx) / sx) * ((fee - my) / sy) + id * ((fee - my) / sy) ** 2 > lim.t) AS hits
+        FROM y JOIN inv ON inv.run_id = (y.run_id::INT - 1)::VARCHAR JOIN lim ON lim.run_id = inv.run_id GROUP BY y.run_id HAVING count(*) >= 200),
+tail AS (SELECT run_id, n, hits, round((hits / n)::DECIMAL(28,10), 4)::DOUBLE AS rate,
+           (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.01) + (n - k) * ln(0.99))) FROM (SELECT unnest(range(hits, n + 1)) AS k)) AS p
+         FROM hit)
+"""
+
+
+@query(
+    "joint_by_run",
+    f"""WITH {YEARS_SQL} SELECT run_id, 'multivariate_drift' AS type, n AS "rows", hits AS flagged_rows, rate AS outlier_rate,
+        round(least(1.0, 0.5 + rate)::DECIMAL(28,10), 4)::DOUBLE AS score, (run_id::INT - 1)::VARCHAR AS baseline_run
+        FROM tail WHERE rate >= 0.03 AND p < 1e-6""",
+)
+def joint_runs(spark, sf):
+    """Joint drift of all runs: the broken year stands out against the year before."""
+    rows = yearly_fees(spark, sf)
+    return _joint_rows(joint_by_run(rows, year_pairs(rows), ["price", "fee"]))
+
+
+@query(
+    "analyze_runs_joint",
+    f"""WITH {YEARS_SQL}, fired AS (SELECT * FROM tail WHERE rate >= 0.03 AND p < 1e-6)
+        SELECT run_id, 'multivariate_drift' AS type, n AS "rows", hits AS flagged_rows, rate AS outlier_rate,
+        round(least(1.0, 0.5 + rate)::DECIMAL(28,10), 4)::DOUBLE AS score, (run_id::INT - 1)::VARCHAR AS baseline_run FROM fired""",
+)
+def analyze_joint(spark, sf):
+    """The composed analysis of yearly runs with joint drift; every year is accepted and so the next one's baseline."""
+    rows = materialize(yearly_fees(spark, sf))
+    runs = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_rows")).select(
+        F.lit("fees").alias("source_id"),
+        "run_id",
+        F.concat("run_id", F.lit("-12-31 00:00:00")).cast("timestamp_ntz").alias("run_ts"),
+        F.lit("accepted").alias("quality"),
+        F.lit("default").alias("config_hash"),
+        "total_rows",
+    )
+    contract = {"expected_schema": {"run_id": "string", "price": "float", "fee": "float"}, "rules": []}
+    found = analyze_runs(rows, contract, runs, Options(adaptive=False, parts=(), joint_drift=["price", "fee"])).signals
+    return _joint_rows(found.filter("type = 'multivariate_drift'"))
+
+
+def _joint_rows(signals):
+    fact = lambda k, kind: F.element_at("evidence", k).cast(kind)
+    return signals.select(
+        "run_id",
+        "type",
+        fact("rows", "bigint").alias("rows"),
+        fact("flagged_rows", "bigint").alias("flagged_rows"),
+        fact("outlier_rate", "double").alias("outlier_rate"),
+        "score",
+        fact("baseline_run", "string").alias("baseline_run"),
+    )
+
+
 @query(
     "multivariate_iforest",
     """SELECT 'multivariate_drift' AS type, count(*) FILTER (WHERE l_tax >= 0.08) AS planted_rows, true AS planted_are_flagged

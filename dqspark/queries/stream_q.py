@@ -10,7 +10,8 @@ from dqspark.operators.scoring import incident_risk, number_signals, score_viola
 from dqspark.plans.analyze import Analysis, History, Options, analyze_table
 from dqspark.queries.base import query, table
 from dqspark.queries.sources_q import EVENT_EDGES_SQL, run_events
-from dqspark.runtime import scratch_path
+from dqspark.runtime import materialize, scratch_path
+from dqspark.streaming.silence import learned_silence, stream_silence
 from dqspark.streaming.streams import (
     LateRows,
     freshness_status,
@@ -93,24 +94,53 @@ def freshness(spark, sf):
     return freshness_status(latest, limits, "2024-01-31 00:00:00")
 
 
+@query(
+    "stream_silence",
+    """WITH m AS (SELECT DISTINCT user_id, date_trunc('minute', ts) AS m FROM events WHERE ts < TIMESTAMP '2024-01-16'),
+         g AS (SELECT user_id, gap FROM (SELECT user_id, date_diff('second', lag(m) OVER (PARTITION BY user_id ORDER BY m), m) / 60 AS gap FROM m) WHERE gap IS NOT NULL),
+         t AS (SELECT user_id, quantile_cont(gap, 0.5) AS typical FROM g GROUP BY user_id HAVING count(*) >= 5),
+         s AS (SELECT g.user_id, typical, quantile_cont(abs(gap - typical), 0.5) AS mad FROM g JOIN t ON t.user_id = g.user_id GROUP BY g.user_id, typical),
+         l AS (SELECT user_id, round(greatest(typical + 6 * 1.4826 * mad, 2 * typical, typical + 15), 6) AS limit_minutes FROM s),
+         e AS (SELECT e.user_id, (epoch_us(ts) // 1000) AS seen_ms, limit_minutes, (epoch_us(ts) // 1000) + floor(limit_minutes * 60000)::BIGINT AS due FROM events e JOIN l ON l.user_id = e.user_id
+               WHERE ts >= TIMESTAMP '2024-01-16'),
+         n AS (SELECT *, lead(seen_ms) OVER (PARTITION BY user_id ORDER BY seen_ms) AS following FROM e),
+         w AS (SELECT (epoch_us(max(ts)) // 1000) - 3600000 AS w FROM events)
+       SELECT user_id::VARCHAR AS source_id, seen_ms AS silent_from_ms, round(limit_minutes, 3) AS limit_minutes, following IS NULL AS still_silent
+       FROM n, w WHERE following > due OR (following IS NULL AND due < w)""",
+)
+def silence(spark, sf):
+    """Limits learned from the first half of the month; the stream of the second half reports every longer silence, also
+    of users who never come back."""
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+    limits = materialize(learned_silence(table(spark, sf, "events").filter(F.col("ts") < cut), "user_id", "ts"))
+    # The newest event lies in the second half, whoever it is of, so other users' rows move the watermark.
+    later = event_stream(spark, sf).filter(F.col("ts") >= cut)
+    alarms = _drain(spark, stream_silence(later, "user_id", "ts", limits, "1 hour"), "stream-silence")
+    last = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("source_id")).agg(F.max("ts").alias("last"))
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    return alarms.join(last, "source_id").select(
+        "source_id", ms("silent_from").alias("silent_from_ms"), F.round("limit_minutes", 3).alias("limit_minutes"), (ms("silent_from") == ms("last")).alias("still_silent")
+    )
+
+
 @query(
     "stream_late_rows",
     """WITH s AS (SELECT DISTINCT date_trunc('second', ts) AS s FROM events), w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY AS w FROM events)
        SELECT count(*) FILTER (WHERE s + INTERVAL 1 SECOND <= w) AS late_rows FROM s, w""",
 )
 def late(spark, sf):
-    """All events three times. A batch is held against the watermark that the batch before it started with, so the third
-    delivery is the first to lose rows: every second that ended two days before the newest event is late."""
-    path = scratch_path(spark, "late-events")
+    """All events twice, each delivery drained for itself on one checkpoint. The second meets the watermark of the first:
+    every second that ended two days before the newest event is late."""
+    path, out, state = (scratch_path(spark, n) for n in ("late-events", "late-out", "late-state"))
     events = table(spark, sf, "events")
-    for turn in range(3):
-        events.coalesce(1).write.parquet(f"{path}/turn={turn}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/turn=*")
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/turn=*")
     counted = stream.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "2 days").groupBy(F.window("t", "1 second")).agg(F.count(F.lit(1)).alias("n"))
     listener = LateRows()
     spark.streams.addListener(listener)
     try:
-        finished = run_available_now(counted, scratch_path(spark, "late-out"), scratch_path(spark, "late-state"))
+        for turn in range(2):
+            events.write.parquet(f"{path}/turn={turn}")
+            finished = run_available_now(counted, out, state)
         dropped = listener.of(finished)
     finally:
         spark.streams.removeListener(listener)
@@ -164,13 +194,12 @@ def analyze(spark, sf):
        UNION ALL SELECT 'batch-1', 'volume', NULL, round(least(1.0, abs(n - base_n) / base_n)::DECIMAL(28,10), 4)::DOUBLE FROM z WHERE abs(n - base_n) / base_n >= 0.3""",
 )
 def analyze_history(spark, sf):
-    """Two micro-batches, the second in other units: it is analysed against the stored result of the first."""
+    """Two micro-batches of many files, the second in other units: it is analysed against the stored result of the first."""
     path, out, state = (scratch_path(spark, n) for n in ("halves", "stream-history", "stream-history-state"))
     events = table(spark, sf, "events").select("ts", F.col("value").cast("double").alias("value"))
     early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    events.filter(early).coalesce(1).write.parquet(f"{path}/half=0")
-    events.filter(~early).withColumn("value", F.col("value") * 100).coalesce(1).write.parquet(f"{path}/half=1")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/half=*")
+    halves = [events.filter(early), events.filter(~early).withColumn("value", F.col("value") * 100)]
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/half=*")
 
     def one(batch, run_id):
         session = batch.sparkSession
@@ -178,8 +207,10 @@ def analyze_history(spark, sf):
         if run_id != "batch-0":
             runs = session.read.parquet(f"{out}/runs").withColumn("quality", F.lit("accepted"))
             known = History(runs, session.read.parquet(f"{out}/profiles"))
-        as_of = F.lit(f"2024-02-0{int(run_id[-1]) + 1}").cast("timestamp_ntz")
+        as_of = F.lit("2024-02-01").cast("timestamp_ntz") + F.make_interval(days=F.lit(int(run_id.removeprefix("batch-"))))
         return analyze_table(batch.select("value"), {"rules": []}, known, as_of, run_id, "events", options=Options(parts=("distinct",)))
 
-    stream_analyze(stream, one, out, state).awaitTermination()
+    for i, half in enumerate(halves):
+        half.write.parquet(f"{path}/half={i}")
+        stream_analyze(stream, one, out, state).awaitTermination()
     return spark.read.parquet(f"{out}/signals").select("run_id", "type", "column", "score")
