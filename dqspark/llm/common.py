@@ -13,6 +13,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64_000_000
+#: Bytes of an Arrow batch to and from Python. Rows are whole texts, so the session's bound on rows alone lets batches grow.
+ARROW_BYTES = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +39,18 @@ def pieces(batches, rows: int = 500):
             yield batch.slice(i, rows)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a task holds outside the heap; a session that already has a smaller bound keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, "").lower().removesuffix("b")
+    if not held.isdigit() or int(held) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back: cuts the plan, survives lost executors, prunes columns."""
     path = scratch_path(df.sparkSession, name)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
