@@ -42,7 +42,7 @@ def pieces(batches, rows: int = 500):
 def small_batches(spark: SparkSession) -> None:
     """Bound what a task holds outside the heap; a session that already has a smaller bound keeps it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(key, "").lower().removesuffix("b")
+    held = spark.conf.get(key).lower().removesuffix("b")
     if not held.isdigit() or int(held) > ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
 

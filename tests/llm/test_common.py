@@ -7,6 +7,7 @@ KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def test_stored_frames_bound_arrow_batches_by_bytes(spark):
     before = spark.conf.get(KEY)
+    small_batches(spark)  # also where the session sets nothing
     try:
         spark.conf.set(KEY, "64m")
         kept = store(frame(spark, [(1, "a"), (2, None)]), "bounded")
