@@ -23,6 +23,8 @@ from dqspark.streaming.streams import (
     stream_freshness,
     stream_lineage,
     stream_profile,
+    stream_value_rules,
+    value_rule_totals,
 )
 
 
@@ -69,6 +71,29 @@ def window_rules(spark, sf):
     return _drain(spark, stream, "stream-contract", ["window_start", "rule"]).drop("window_end")
 
 
+VALUE_CONTRACT = {
+    "rules": [
+        {"type": "uniqueness", "columns": ["user_id", "event_type"]},
+        {"type": "referential_integrity", "column": "user_id", "reference": "first_customers"},
+    ]
+}
+
+
+@query(
+    "stream_value_rules",
+    """WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, user_id, event_type FROM events),
+         u AS (SELECT window_start, count(*) AS n FROM d WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY window_start, user_id, event_type HAVING count(*) > 1),
+         o AS (SELECT window_start, count(*) AS n FROM d WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) GROUP BY window_start, user_id)
+       SELECT window_start, 'uniqueness:user_id,event_type' AS rule, count(*) AS "values", sum(n - 1)::BIGINT AS violations FROM u GROUP BY window_start
+       UNION ALL SELECT window_start, 'referential_integrity:user_id', count(*), sum(n)::BIGINT FROM o GROUP BY window_start""",
+)
+def window_value_rules(spark, sf):
+    """Uniqueness of (user, event type) within a day, and users that are no customers."""
+    known = {"first_customers": table(spark, sf, "customer").filter("c_custkey % 3 <> 0").select("c_custkey")}
+    stream = stream_value_rules(event_stream(spark, sf), VALUE_CONTRACT, "ts", "1 day", "1 hour", known)
+    return value_rule_totals(_drain(spark, stream, "stream-values", ["window_start", "rule", "value_digest"]))
+
+
 @query(
     "stream_quarantine",
     """SELECT concat_ws(';', CASE WHEN "value" < 1 OR "value" > 150 THEN 'range:value' END, CASE WHEN event_type = 'error' THEN 'allowed_values:event_type' END) AS failed,

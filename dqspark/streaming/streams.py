@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from dqspark.functions.columns import minutes_between, nan_to_null, q
-from dqspark.operators.contract import flag_rows
+from dqspark.operators.contract import bad_values, flag_rows
 from dqspark.operators.rule_spec import rule_columns
 from dqspark.plans.analyze import Analysis
 from dqspark.sources.lineage_events import event_edges, valid_event
@@ -118,6 +118,36 @@ def stream_contract(
     return grouped.select(*_bounds(), F.inline(F.array(*entries)))
 
 
+#: Rules on values of several rows or of another table.
+VALUE_RULES = ("uniqueness", "allowed_values", "referential_integrity")
+
+
+def stream_value_rules(
+    stream: DataFrame, contract: Mapping, ts: str, interval: str, watermark: str, references: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """(window_start, window_end, rule, value_digest, rows, violations): the values that break a value rule in a window.
+
+    State holds a count per open window, rule and value, so it is bounded by the watermark and a hot value is one row per
+    task; reference tables are static sides. Uniqueness holds within a window: what repeats across windows is no violation.
+    Values are digests, as keys are not to be shown. In update mode every window is given, the last open one too, and
+    `newest_rows` over (window_start, rule, value_digest) reads the final counts. Nulls break no value rule; rows without
+    time are left out. With all rows in time the counts are those of a batch check by window.
+    """
+    rules = {i: r for i, r in enumerate(contract.get("rules", [])) if r["type"] in VALUE_RULES}
+    if not rules:
+        raise ValueError("the contract has no value rule")
+    windowed = _timed(nan_to_null(stream), ts, watermark).withColumn("w", F.window("_time", interval))
+    names = F.create_map(*[F.lit(x) for i, r in rules.items() for x in (i, f"{r['type']}:{','.join(rule_columns(r))}")])
+    return bad_values(windowed, rules, ["w"], references).select(
+        *_bounds(), names[F.col("rule")].alias("rule"), F.sha2("value", 256).alias("value_digest"), F.col("freq").alias("rows"), F.col("amount").alias("violations")
+    )
+
+
+def value_rule_totals(found: DataFrame) -> DataFrame:
+    """(window_start, rule, values, violations) of the final rows of `stream_value_rules`."""
+    return found.groupBy("window_start", "rule").agg(F.count(F.lit(1)).alias("values"), F.sum("violations").alias("violations"))
+
+
 def run_quarantine(
     stream: DataFrame, contract: Mapping, good_path: str, bad_path: str, checkpoint: str, trigger: Mapping | None = None
 ) -> StreamingQuery:
