@@ -7,13 +7,18 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # A full memo is emptied; this bounds memory and does not change ids.
 MEMO_WORDS = 600_000
 GROUP_WORDS = 50
+# Words whose ids are laid out at once.
+LAID_WORDS = 100_000
 
 # ASCII signs that end a word of letters or digits; an apostrophe may start a contraction instead.
 TAILS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_TAILS = {TAILS[i : i + 1] for i in range(len(TAILS))}
 
 
 def word_wise(config: dict) -> bool:
@@ -81,8 +86,9 @@ class Encoder:
         """Ids of single words. Words of letters alone are one piece each, which ends at its one word-end token, so many of
         them go to the library as one text."""
         out: list[bytes] = [b""] * len(words)
-        letters = [i for i, w in enumerate(words) if w.lower().isalpha()]
-        others = [i for i, w in enumerate(words) if not w.lower().isalpha()]
+        letters, others = [], []
+        for i, w in enumerate(words):
+            (letters if w.lower().isalpha() else others).append(i)
         groups = [letters[i : i + GROUP_WORDS] for i in range(0, len(letters), GROUP_WORDS)]
         for group, packed in zip(groups, self._plain([" ".join(words[i] for i in g) for g in groups])):
             cuts = [0, *(4 * (np.flatnonzero(self.ends[np.frombuffer(packed, "<u4")]) + 1)).tolist()]
@@ -95,19 +101,23 @@ class Encoder:
             out[i] = packed
         return out
 
-    def _learn(self, words: list[list[bytes]]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
+        """Put distinct words into the memo."""
         memo = self.memo
-        new = set().union(*words).difference(memo)
+        new = [w for w in words if w not in memo]
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
-            new = set().union(*words)
-        split = {}
+            new = words
+        split, whole = {}, set()
         for w in new:
-            stem = w.rstrip(TAILS)
-            if len(stem) < len(w) and _ends_plain(stem):
-                split[w] = (stem, w[len(stem) :])
-        needed = {p for w in new for p in split.get(w, (w,))}.difference(memo)
-        order = list(needed)
+            if w[-1:] in _TAILS:
+                stem = w.rstrip(TAILS)
+                if _ends_plain(stem):
+                    split[w] = (stem, w[len(stem) :])
+                    whole.update(split[w])
+                    continue
+            whole.add(w)
+        order = [w for w in whole if w not in memo]
         memo.update(zip(order, self._words([w.decode() for w in order])))
         for w, (stem, tail) in split.items():
             memo[w] = memo[stem] + memo[tail]
@@ -121,13 +131,42 @@ class Encoder:
         for i, ids in zip(plain, self._plain([texts[i] for i in plain])):
             out[i] = ids
         rest = sorted(set(range(len(texts))).difference(plain))
-        words = [(texts[i].lower() if self.lower and _latin1(texts[i]) else texts[i]).encode().split() for i in rest]
+        if not rest:
+            return out
+        # Each distinct word of these texts is looked up once; ids are then laid out by word number.
+        cut = pc.ascii_split_whitespace(pa.array([self._lowered(texts[i]) for i in rest], pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         self._learn(words)
-        get = self.memo.__getitem__
-        for i, ws in zip(rest, words):
-            out[i] = b"".join(map(get, ws))
+        known = [self.memo[w] for w in words]
+        ids = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy()
+        ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        for begin, texts_there in _runs(ends, LAID_WORDS):
+            a, b = ends[begin], ends[begin + texts_there]
+            size = sizes[word[a:b]]
+            after = np.cumsum(size)
+            total = int(after[-1]) if len(after) else 0
+            packed = ids[np.repeat(starts[word[a:b]] - (after - size), size) + np.arange(total)].tobytes()
+            text_ends = np.concatenate([[0], after])[ends[begin : begin + texts_there + 1] - a] * 4
+            for i, x, y in zip(rest[begin : begin + texts_there], text_ends.tolist(), text_ends[1:].tolist()):
+                out[i] = packed[x:y]
         return out
 
+    def _lowered(self, text: str) -> str:
+        return text.lower() if self.lower and _latin1(text) else text
+
+
+def _runs(ends: np.ndarray, words: int):
+    """First text and number of texts of stretches of at most `words` words, or of one text."""
+    begin, last = 0, len(ends) - 1
+    while begin < last:
+        stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + words, "right")) - 1)
+        yield begin, min(stop, last) - begin
+        begin = min(stop, last)
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
