@@ -21,10 +21,10 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 CHUNK_CHARS = 300_000
 
-#: Bound of the training sample, in documents over all languages; each language gets an equal share.
+#: Bound of the training sample, in documents over all languages; each language gets an equal share, at least one.
 SAMPLE_DOCS = 1200
-#: Bound of the number of languages, and so of the model: BUCKETS weights each.
-MAX_LANGUAGES = 400
+#: Weights of a model. Where BUCKETS for each language would be more, n-grams share fewer buckets.
+WEIGHTS = BUCKETS * 400
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
@@ -59,7 +59,12 @@ def _chunks(texts: list[str]):
         yield begin, texts[begin:]
 
 
-def _each_document(texts: list[str]):
+def buckets_for(languages: int) -> int:
+    """Buckets of a model, a power of two: all of them, or as many as WEIGHTS leaves to each of very many languages."""
+    return min(BUCKETS, 1 << max(0, (WEIGHTS // max(1, languages)).bit_length() - 1))
+
+
+def _each_document(texts: list[str], buckets: int = BUCKETS):
     """Index and n-gram buckets of each text that has letters."""
     for begin, part in _chunks(texts):
         cleaned = [clean(t) for t in part]
@@ -67,21 +72,21 @@ def _each_document(texts: list[str]):
         for i, (end, t) in enumerate(zip(ends.tolist(), cleaned)):
             if t:
                 start = end - len(t)
-                yield begin + i, np.concatenate([g[start : end - n + 1] for n, g in zip(ORDERS, grams)])
+                yield begin + i, np.concatenate([g[start : end - n + 1] for n, g in zip(ORDERS, grams)]) & (buckets - 1)
 
 
 # ------------------------------------------------------------------------------------------------------------ training
 
 
-def document_frequencies(train: DataFrame) -> np.ndarray:
-    """Documents that hold each bucket, over all rows of train(text); the result is as long as BUCKETS at any size."""
+def document_frequencies(train: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Documents that hold each bucket, over all rows of train(text); the result is as long as `buckets` at any size."""
 
     def run(batches):
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(buckets, np.int64)
         docs = 0
-        seen = np.zeros(BUCKETS, bool)
+        seen = np.zeros(buckets, bool)
         for batch in pieces(batches):
-            for _, grams in _each_document(batch.column("text").to_pylist()):
+            for _, grams in _each_document(batch.column("text").to_pylist(), buckets):
                 seen[:] = False
                 seen[grams] = True
                 counts += seen
@@ -92,7 +97,7 @@ def document_frequencies(train: DataFrame) -> np.ndarray:
         )
 
     rows = train.select("text").mapInArrow(run, "bucket int, docs bigint").groupBy("bucket").agg(F.sum("docs").alias("docs")).collect()
-    out = np.zeros(BUCKETS + 1, np.int64)
+    out = np.zeros(buckets + 1, np.int64)
     for r in rows:
         out[r["bucket"]] = r["docs"]  # the number of all documents stands last
     return out
@@ -109,28 +114,29 @@ class Example:
     share: np.ndarray  # of the n-grams of the document, by bucket
 
 
-def training_sample(train: DataFrame, size: int = SAMPLE_DOCS) -> list[Example]:
-    """At most `size` documents of train(doc_id, text, lang), the same number of each language, by hash of the id.
+def training_sample(train: DataFrame, size: int = SAMPLE_DOCS) -> tuple[list[Example], int]:
+    """At most `size` documents of train(doc_id, text, lang), the same number of each language, and the buckets they use.
 
-    Ids are ranked before texts are read; each task passes on no more than a language's share.
+    Documents are drawn by hash of the id, those without an id by hash of the text. Each task passes on no more than a
+    language's share. With more than `size` languages each has one document.
     """
-    languages = [r["lang"] for r in train.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; the model's size is bounded by that number")
+    languages = train.select("lang").distinct().count()
     if not languages:
-        return []
-    share = max(1, size // len(languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
+        return [], BUCKETS
+    share = max(1, size // languages)
+    buckets = buckets_for(languages)
+    keyed = train.withColumn("key", F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(17))).otherwise(F.xxhash64("doc_id", F.lit(17))))
+    order = Window.partitionBy("lang").orderBy("key", "doc_id")
     ids = (
-        train.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= share).select("doc_id", "lang").distinct()
+        keyed.select("key", "doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= share).select("key", "lang").distinct()
     )
     chosen = store(ids, "sample-ids")
-    texts = train.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    texts = keyed.join(F.broadcast(chosen), ["key", "lang"], "left_semi").groupBy("key", "lang").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in pieces(batches):
             langs = batch.column("lang").to_pylist()
-            for i, grams in _each_document(batch.column("text").to_pylist()):
+            for i, grams in _each_document(batch.column("text").to_pylist(), buckets):
                 index, count = np.unique(grams, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -144,15 +150,15 @@ def training_sample(train: DataFrame, size: int = SAMPLE_DOCS) -> list[Example]:
     rows = texts.mapInArrow(run, "lang string, index binary, share binary").collect()
     examples = [Example(r["lang"], np.frombuffer(r["index"], "<u2").astype(np.int64), np.frombuffer(r["share"], "<f4")) for r in rows]
     # Rows arrive in any order; training should not depend on it.
-    return sorted(examples, key=lambda e: (e.lang, len(e.index), e.index.tobytes(), e.share.tobytes()))
+    return sorted(examples, key=lambda e: (e.lang, len(e.index), e.index.tobytes(), e.share.tobytes())), buckets
 
 
 class Ftrl:
     """Per-coordinate proximal updates; l1 keeps weights at zero, l2 shrinks the others."""
 
-    def __init__(self, classes: int, alpha: float = 1.0, beta: float = 0.1, l1: float = 0.02, l2: float = 0.002):
-        self.z = np.zeros((BUCKETS, classes))
-        self.n = np.zeros((BUCKETS, classes))
+    def __init__(self, classes: int, alpha: float = 1.0, beta: float = 0.1, l1: float = 0.02, l2: float = 0.002, buckets: int = BUCKETS):
+        self.z = np.zeros((buckets, classes))
+        self.n = np.zeros((buckets, classes))
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def weights(self, rows=slice(None)) -> np.ndarray:
@@ -177,11 +183,17 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 
 
 def temperature(scores: np.ndarray, targets: np.ndarray) -> float:
-    """Least negative log-likelihood of scores / T, by golden-section search over log T."""
+    """Least negative log-likelihood of scores / T, by golden-section search over log T.
+
+    The targets are smoothed as if one more text of each class had been judged wrongly, so that few texts without an error
+    don't make every score certain.
+    """
+    classes = scores.shape[1]
+    doubt = classes / (len(targets) + classes)
 
     def loss(log_t: float) -> float:
-        p = softmax(scores / np.exp(log_t))
-        return -float(np.log(np.maximum(p[np.arange(len(targets)), targets], 1e-12)).mean())
+        p = np.log(np.maximum(softmax(scores / np.exp(log_t)), 1e-12))
+        return -float(((1 - doubt) * p[np.arange(len(targets)), targets] + doubt * p.mean(axis=1)).mean())
 
     low, high, ratio = -3.0, 3.0, (5**0.5 - 1) / 2
     while high - low > 1e-3:
@@ -197,7 +209,7 @@ SCALE = 30.0
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # BUCKETS x languages, with IDF, scale and temperature in them
+    weights: np.ndarray  # buckets x languages, with IDF, scale and temperature in them
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of texts with letters, and which texts those are."""
@@ -212,7 +224,7 @@ class Model:
             for n, g in zip(ORDERS, grams):
                 # Every second stretch is a text's, from its first n-gram to its last one.
                 cuts = np.stack([starts, ends - n + 1], axis=1).ravel()
-                padded = np.concatenate([self.weights[g], np.zeros((n, len(self.languages)), np.float32)])
+                padded = np.concatenate([self.weights[g & (len(self.weights) - 1)], np.zeros((n, len(self.languages)), np.float32)])
                 total += np.add.reduceat(padded, cuts, axis=0)[::2]
                 number += ends - starts - n + 1
             total /= number[:, None]
@@ -222,18 +234,19 @@ class Model:
 def train_model(train: DataFrame, size: int = SAMPLE_DOCS, epochs: int = 6) -> Model:
     """Fit on train(doc_id, text, lang): document frequencies over all its rows, weights on the bounded sample."""
     train = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    examples = training_sample(train, size)
+    examples, buckets = training_sample(train, size)
     languages = sorted({e.lang for e in examples})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32))
-    idf = inverse_frequencies(document_frequencies(train))
+        return Model([], np.zeros((buckets, 0), np.float32))
+    idf = inverse_frequencies(document_frequencies(train, buckets))
     rng = np.random.default_rng(5)
     order = rng.permutation(len(examples))
     # A fifth is kept from training for the temperature, where there is enough.
     held = order[: len(order) // 5] if len(order) >= 20 * len(languages) else order[:0]
     fitted = order[len(held) :]
-    data = [(e.index, SCALE * idf[e.index] * e.share, languages.index(e.lang)) for e in examples]
-    learner = Ftrl(len(languages))
+    number = {lang: i for i, lang in enumerate(languages)}
+    data = [(e.index, SCALE * idf[e.index] * e.share, number[e.lang]) for e in examples]
+    learner = Ftrl(len(languages), buckets=buckets)
     for _ in range(epochs):
         for i in rng.permutation(fitted):
             learner.step(*data[i])
@@ -249,15 +262,19 @@ def train_model(train: DataFrame, size: int = SAMPLE_DOCS, epochs: int = 6) -> M
 
 
 def predict(docs: DataFrame, model: Model, name: str = "_lid") -> DataFrame:
-    """Every column of docs and `name`, a struct of lang_pred and score (calibrated probability of lang_pred)."""
+    """Every column of docs and `name`, a struct of lang_pred, score (calibrated probability of lang_pred) and margin.
+
+    The margin is how far the score lies on the way from chance, 1 / languages, to 1. With one language it is 1.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, margin double")
     def judge(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
         given = ["" if t is None else t for t in texts]
         langs = np.full(len(given), UNKNOWN, object)
-        best = np.zeros(len(given))
+        best, margin = np.zeros(len(given)), np.zeros(len(given))
+        chance = 1 / max(1, len(m.languages))
         for begin, part in _chunks(given):
             scores, there = m.scores(part)
             if m.languages and there.any():
@@ -265,7 +282,8 @@ def predict(docs: DataFrame, model: Model, name: str = "_lid") -> DataFrame:
                 at = begin + np.flatnonzero(there)
                 langs[at] = np.array(m.languages, object)[p.argmax(axis=1)]
                 best[at] = p.max(axis=1)
-        return pd.DataFrame({"lang_pred": langs, "score": best})
+                margin[at] = (best[at] - chance) / (1 - chance) if chance < 1 else 1.0
+        return pd.DataFrame({"lang_pred": langs, "score": best, "margin": margin})
 
     return docs.withColumn(name, judge(F.col("text").cast("string")))
 
@@ -278,8 +296,9 @@ def identify(docs: DataFrame, size: int = SAMPLE_DOCS, name: str = "_lid") -> Da
     """Learn from the rows of docs(doc_id, text, lang) that are not held out and predict every row.
 
     Text that is null or has no letters is `und` with score 0, and so is everything when no row has text and language.
-    A null doc_id is not held out. Rows that repeat are judged alike. Ties go to the first language by name. An empty
-    table gives no rows; further columns pass through unread.
+    Rows with a null doc_id are not held out and are learned as well. Any number of languages is learned. Rows that repeat
+    are judged alike. Ties go to the first language by name. An empty table gives no rows; further columns pass through
+    unread.
     """
     train = docs.filter(~held_out(F.col("doc_id"))).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")

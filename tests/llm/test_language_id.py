@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from dqspark.llm.language_id import Ftrl, Model, clean, gram_buckets, identify, op2_language_id, softmax, temperature, train_model
+from dqspark.llm.language_id import BUCKETS, Ftrl, Model, buckets_for, clean, gram_buckets, identify, op2_language_id, softmax, temperature, train_model
 
 from .helpers import frame, with_clashes
 
@@ -99,4 +99,23 @@ def test_sample_bound_is_kept(spark):
     assert set(train_model(train, size=40).languages) == {"en", "fr"}
     from dqspark.llm.language_id import training_sample
 
-    assert len(training_sample(train, size=40)) == 40
+    assert len(training_sample(train, size=40)[0]) == 40
+
+
+def test_rows_without_id_are_learned(spark):
+    rows = [(i, "the house and the garden of the king number %s" % "abcdefgh"[i % 8], "en") for i in range(60)]
+    rows += [(None, "das haus und der garten des königs nummer %s" % "abcdefgh"[i % 8], "de") for i in range(60)]
+    got = identify(frame(spark, rows)).groupBy("lang", "_lid.lang_pred").count().collect()
+    assert sorted(tuple(r) for r in got) == [("de", "de", 60), ("en", "en", 60)]
+
+
+def test_many_languages_share_buckets(spark, monkeypatch):
+    import dqspark.llm.language_id as module
+
+    monkeypatch.setattr(module, "WEIGHTS", 1 << 17)
+    words = [f"{a}{b}{a}{c}{b}" for a in "abcdefgh" for b in "ijklm" for c in "nop"]
+    rows = [(4 * i, " ".join([w] * 20), f"l{i:03}") for i, w in enumerate(words)]
+    rows = [(d, t, lang) for d, t, lang in rows for d in (d, d + 1, d + 2, d + 3)]
+    assert buckets_for(len(words)) == 1024 and buckets_for(2) == BUCKETS and buckets_for(1 << 20) == 1
+    got = identify(frame(spark, rows), size=60)
+    assert got.select("_lid.lang_pred").distinct().count() > 60 and got.count() == len(rows)

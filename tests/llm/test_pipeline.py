@@ -1,6 +1,7 @@
 """Each stage of the pipeline on the given documents against a brute-force version of it."""
 
 import os
+import random
 import sys
 
 import pytest
@@ -45,6 +46,17 @@ def test_language_id_keeps_clean_documents(steps):
     assert made.columns == docs.columns
 
 
+@pytest.mark.parametrize("number", [2, 4, 20])
+def test_language_id_rejects_noise_and_keeps_short_texts(spark, number):
+    rng = random.Random(number)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(40)] for _ in range(number)]
+    rows = [(i, " ".join(rng.choices(words[i % number], k=30)), f"l{i % number:02}") for i in range(60 * number)]
+    short = [(10_000 + k, " ".join(rng.choices(words[k], k=8)), None) for k in range(number)]
+    noise = [(20_000, "あいうえおかきくけこさしすせそ", None), (20_001, "--- 123", None), (20_002, None, None)]
+    kept = {d for d, _ in pairs(P.language_id(spark, frame(spark, rows + short + noise), SF))}
+    assert kept == {r[0] for r in rows + short}
+
+
 def test_line_dedup(steps):
     docs, made = steps["line_dedup"]
     expected = sorted((d, t) for d, _, _, t in lines(pairs(docs)))
