@@ -14,14 +14,15 @@ from dqspark.llm.packing import pack_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Calibrated probability under which a prediction counts as none. Short clean texts reach it; only noise does not.
-MIN_SCORE = 0.3
+#: Share of the way from chance to certainty under which a prediction counts as none, whatever the number of languages.
+#: Short clean texts reach it; signs that no language was learned from do not.
+MIN_MARGIN = 0.15
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no language with a probability of MIN_SCORE, go."""
+    """Documents without letters, or of no language by MIN_MARGIN more than chance, go. Nulls count as without letters."""
     judged = identify(docs.select(*COLUMNS))
-    return judged.filter((F.col("_lid.lang_pred") != UNKNOWN) & (F.col("_lid.score") >= MIN_SCORE)).select(*COLUMNS)
+    return judged.filter((F.col("_lid.lang_pred") != UNKNOWN) & (F.col("_lid.margin") >= MIN_MARGIN)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
