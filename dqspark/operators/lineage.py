@@ -233,18 +233,18 @@ def changed_assets(old_nodes: DataFrame, new_nodes: DataFrame, mode: str = "repl
 def change_candidates(events: DataFrame, scope: DataFrame, runs: DataFrame, k: int | None = None) -> DataFrame:
     """Lineage events since the last good run that touch a run's asset or its upstream, ranked per run; the newest k if given.
 
-    `events(event_id, kind, created_at, namespace, initial, changed_assets, runs array<struct<asset,status>>)`,
-    `scope(run_id, asset, relation)`, `runs(run_id, since)`.
+    `events(event_id, kind, created_at, namespace, initial, changed_assets, runs array<struct<asset,status>>)`, whose
+    namespace each candidate carries, `scope(run_id, asset, relation)`, `runs(run_id, since)`.
     """
     label = F.when(F.col("kind") == "dbt_ingested", "definition_changed").otherwise("new_or_changed_node")
     ingested = events.filter(F.col("kind").isin("dbt_ingested", "openlineage_ingested"))
     definitions = ingested.filter(~F.coalesce(F.col("initial"), F.lit(False))).select(
-        "event_id", "created_at", F.explode("changed_assets").alias("asset"), label.alias("change"), F.lit(None).cast("string").alias("status")
+        "event_id", "created_at", "namespace", F.explode("changed_assets").alias("asset"), label.alias("change"), F.lit(None).cast("string").alias("status")
     )
     failures = (
-        ingested.select("event_id", "created_at", F.inline("runs"))
+        ingested.select("event_id", "created_at", "namespace", F.inline("runs"))
         .filter(F.lower("status").isin("error", "fail", "abort"))
-        .select("event_id", "created_at", "asset", F.lit("run_failed").alias("change"), "status")
+        .select("event_id", "created_at", "namespace", "asset", F.lit("run_failed").alias("change"), "status")
     )
     # With k, only the newest k changes of an asset can be among the newest k of any run, so each asset is cut to k
     # lines before it meets the runs; a busy asset with many runs never multiplies.
@@ -259,32 +259,44 @@ def change_candidates(events: DataFrame, scope: DataFrame, runs: DataFrame, k: i
     window = Window.partitionBy("run_id").orderBy(*order, "asset")
     ranked = joined.withColumn("rank", F.row_number().over(window))
     return (ranked if k is None else ranked.filter(F.col("rank") <= k)).select(
-        "run_id", "rank", "event_id", "created_at", "asset", "relation", "change", "status"
+        "run_id", "rank", "event_id", "created_at", "namespace", "asset", "relation", "change", "status"
     )
 
 
-def business_impact(runs: DataFrame, reach: DataFrame, policies: DataFrame, signals: DataFrame) -> DataFrame:
-    """Priority 0-100 per run: severity, criticality of what may be affected, broken SLA.
+def affected_policies(runs: DataFrame, reach: DataFrame, policies: DataFrame, signals: DataFrame) -> DataFrame:
+    """One row per run and asset under a policy that the run may affect: its owner, criticality, SLA and whether it is broken.
 
-    `runs(run_id, asset, severity)`, `reach(start, node)` downstream closure, `policies(asset, criticality,
-    sla_minutes)`.
+    `runs(run_id, asset)`, `reach(start, node)` downstream closure, `policies(asset, owner, criticality, sla_minutes)`.
+    The lag is the largest of the run's freshness signals, 0 without one. Potential impact, not proven corruption.
     """
     late = F.when(F.col("type").isin("freshness", "staleness"), number(F.col("evidence"), "lag_minutes"))
     lags = signals.groupBy("run_id").agg(F.coalesce(F.max(late), F.lit(0.0)).alias("lag"))
-    scope = (
-        runs.select("run_id", "asset")
-        .unionByName(
-            runs.select("run_id", F.col("asset").alias("start")).join(reach, "start").select("run_id", F.col("node").alias("asset"))
-        )
+    own = runs.select("run_id", "asset")
+    reached = runs.select("run_id", F.col("asset").alias("start")).join(reach, "start").select("run_id", F.col("node").alias("asset"))
+    lag = F.coalesce(F.col("lag"), F.lit(0.0))
+    return (
+        own.unionByName(reached)
         .distinct()
+        .join(policies.select("asset", "owner", "criticality", "sla_minutes"), "asset")
+        .join(lags, "run_id", "left")
+        .select(
+            "run_id", "asset", "owner", "criticality", "sla_minutes", lag.alias("lag_minutes"), (lag > F.col("sla_minutes")).alias("sla_broken")
+        )
     )
+
+
+def business_impact(runs: DataFrame, reach: DataFrame, policies: DataFrame, signals: DataFrame) -> DataFrame:
+    """Priority 0-100 per run: severity, criticality of what may be affected, broken SLA.
+
+    `runs(run_id, asset, severity)`; the others are those of `affected_policies`, which names the assets.
+    """
     hit = (
-        scope.join(policies, "asset")
-        .join(lags, "run_id", "left")
+        affected_policies(runs, reach, policies, signals)
         .groupBy("run_id")
         .agg(
             F.sum(F.col("criticality") * CRITICALITY_POINTS).alias("criticality"),
-            F.bool_or(F.coalesce(F.col("lag"), F.lit(0.0)) > F.col("sla_minutes")).alias("breached"),
+            F.bool_or("sla_broken").alias("breached"),
+            F.count_if("sla_broken").alias("breaches"),
             F.count(F.lit(1)).alias("assets"),
         )
     )
@@ -299,6 +311,7 @@ def business_impact(runs: DataFrame, reach: DataFrame, policies: DataFrame, sign
         sla.cast("bigint").alias("sla_points"),
         F.least(F.lit(100), base + extra + sla).cast("bigint").alias("priority"),
         F.coalesce(F.col("assets"), F.lit(0)).alias("affected_policies"),
+        F.coalesce(F.col("breaches"), F.lit(0)).alias("sla_breaches"),
     )
 
 

@@ -277,12 +277,12 @@ def changed(spark, sf):
 @query(
     "change_candidates",
     """WITH e AS (SELECT o_orderkey AS event_id, o_orderdate AS created_at, 'c:' || o_custkey AS asset, o_orderstatus AS st, o_orderpriority AS pr FROM orders),
-       c AS (SELECT event_id, created_at, asset, CASE WHEN pr = '1-URGENT' THEN 'definition_changed' ELSE 'new_or_changed_node' END AS change, NULL::VARCHAR AS status
+       c AS (SELECT event_id, created_at, 'trade/' || st AS namespace, asset, CASE WHEN pr = '1-URGENT' THEN 'definition_changed' ELSE 'new_or_changed_node' END AS change, NULL::VARCHAR AS status
              FROM e WHERE pr <> '5-LOW' AND pr <> '3-MEDIUM'
-             UNION ALL SELECT event_id, created_at, asset, 'run_failed', CASE st WHEN 'F' THEN 'FAIL' ELSE 'abort' END FROM e WHERE st <> 'O' AND pr <> '5-LOW'),
+             UNION ALL SELECT event_id, created_at, 'trade/' || st, asset, 'run_failed', CASE st WHEN 'F' THEN 'FAIL' ELSE 'abort' END FROM e WHERE st <> 'O' AND pr <> '5-LOW'),
        s AS (SELECT 'run/' || c_custkey AS run_id, 'c:' || c_custkey AS asset, 'self' AS relation FROM customer
              UNION ALL SELECT 'run/' || c_custkey, 'c:' || (c_custkey + 1), 'upstream' FROM customer),
-       r AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC, event_id, change, c.asset) AS "rank", event_id, created_at, c.asset, relation, change, status
+       r AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC, event_id, change, c.asset) AS "rank", event_id, created_at, namespace, c.asset, relation, change, status
              FROM c JOIN s ON s.asset = c.asset WHERE created_at >= TIMESTAMP '1997-01-01')
        SELECT * FROM r""",
 )
@@ -296,7 +296,7 @@ def candidates(spark, sf):
         .otherwise("openlineage_ingested")
         .alias("kind"),
         F.col("o_orderdate").alias("created_at"),
-        F.lit("trade").alias("namespace"),
+        F.concat(F.lit("trade/"), F.col("o_orderstatus")).alias("namespace"),
         (F.col("o_orderpriority") == "3-MEDIUM").alias("initial"),
         F.array(asset).alias("changed_assets"),
         F.array(F.struct(asset.alias("asset"), status.alias("status"))).alias("runs"),
@@ -322,23 +322,44 @@ def candidates(spark, sf):
                    FROM supplier JOIN nation ON s_nationkey = n_nationkey),
         x AS (SELECT *, {SEVERITY_SQL.format('score')} AS severity FROM s),
         y AS (SELECT run_id, CASE severity WHEN 'low' THEN 10 WHEN 'medium' THEN 35 WHEN 'high' THEN 60 ELSE 80 END AS a,
-                least(20, 4 * (1 + s_nationkey % 3) + 4 * (1 + n_regionkey)) AS b, CASE WHEN lag > 60 THEN 5 WHEN lag > 30 THEN 5 ELSE 0 END AS c FROM x)
-        SELECT run_id, a::BIGINT AS severity_points, b::BIGINT AS criticality_points, c::BIGINT AS sla_points, least(100, a + b + c)::BIGINT AS priority, 2::BIGINT AS affected_policies FROM y""",
+                least(20, 4 * (1 + s_nationkey % 3) + 4 * (1 + n_regionkey)) AS b, (lag > 60)::INT + (lag > 30)::INT AS k, CASE WHEN k > 0 THEN 5 ELSE 0 END AS c FROM x)
+        SELECT run_id, a::BIGINT AS severity_points, b::BIGINT AS criticality_points, c::BIGINT AS sla_points, least(100, a + b + c)::BIGINT AS priority, 2::BIGINT AS affected_policies, k::BIGINT AS sla_breaches FROM y""",
 )
 def business(spark, sf):
+    return L.business_impact(*_impact_inputs(spark, sf))
+
+
+@query(
+    "affected_policies",
+    """WITH s AS (SELECT 'run/s:' || s_suppkey AS run_id, s_nationkey, n_regionkey, round(abs(s_acctbal) / 100, 2) AS lag_minutes
+                  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+       a AS (SELECT run_id, 'n:' || n_nationkey AS asset, n_name AS owner, 1 + n_nationkey % 3 AS criticality, 60 AS sla, lag_minutes FROM s JOIN nation ON s_nationkey = n_nationkey
+             UNION ALL SELECT run_id, 'r:' || r_regionkey, r_name, 1 + r_regionkey, 30, lag_minutes FROM s JOIN region ON s.n_regionkey = r_regionkey)
+       SELECT run_id, asset, owner, criticality::BIGINT AS criticality, sla::BIGINT AS sla_minutes, lag_minutes::DOUBLE AS lag_minutes, lag_minutes > sla AS sla_broken FROM a""",
+)
+def affected(spark, sf):
+    found = L.affected_policies(*_impact_inputs(spark, sf))
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("criticality", "sla_minutes")})
+
+
+def _impact_inputs(spark, sf):
+    """Suppliers' runs with lags by balance; nations and regions downstream of them stand under policies."""
     s = table(spark, sf, "supplier")
     node = _node("s:", "s_suppkey")
     run = F.concat(F.lit("run/"), node).alias("run_id")
     runs = s.select(run, node.alias("asset"), severity(F.least(F.lit(1.0), F.abs("s_acctbal") / 10_000)).alias("severity"))
     signals = s.select(run, F.lit("freshness").alias("type"), evidence(lag_minutes=F.round(F.abs("s_acctbal") / 100, 2)).alias("evidence"))
     nations = table(spark, sf, "nation").select(
-        _node("n:", "n_nationkey").alias("asset"), (1 + F.col("n_nationkey") % 3).alias("criticality"), F.lit(60).alias("sla_minutes")
+        _node("n:", "n_nationkey").alias("asset"),
+        F.col("n_name").alias("owner"),
+        (1 + F.col("n_nationkey") % 3).alias("criticality"),
+        F.lit(60).alias("sla_minutes"),
     )
     regions = table(spark, sf, "region").select(
-        _node("r:", "r_regionkey").alias("asset"), (1 + F.col("r_regionkey")).alias("criticality"), F.lit(30).alias("sla_minutes")
+        _node("r:", "r_regionkey").alias("asset"), F.col("r_name").alias("owner"), (1 + F.col("r_regionkey")).alias("criticality"), F.lit(30).alias("sla_minutes")
     )
     reach = L.reachable(place_edges(spark, sf), s.select(node.alias("start")))
-    return L.business_impact(runs, reach, nations.unionByName(regions), signals)
+    return runs, reach, nations.unionByName(regions), signals
 
 
 PAIRS = [("error", "click"), ("view", "purchase")]

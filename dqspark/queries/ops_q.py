@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dqspark.operators import ops as O
 from dqspark.operators import rca as A
 from dqspark.operators.scoring import incident_risk
-from dqspark.queries.base import RUNS_SQL, month_profiles, month_signals, month_source_runs, query, table, with_sql
+from dqspark.queries.base import RUNS_SQL, SEVERITY_SQL, month_profiles, month_signals, month_source_runs, query, table, with_sql
 from dqspark.queries.rca_q import REPORT_SQL, hypothesis_sql, schema_changes
 from dqspark.runtime import materialize
 
@@ -68,9 +68,13 @@ def compliance(spark, sf):
 
 @query(
     "monitoring_status",
-    f"""WITH {COMPLIANCE_SQL} SELECT 'degraded' AS status, (SELECT count(*) FROM comp WHERE state = 'stalled') AS stalled,
-        (SELECT count(*) FROM events WHERE event_type = 'signup') AS pending,
-        (SELECT count(*) FROM (SELECT user_id, max(ts) AS seen FROM events GROUP BY 1) WHERE seen >= TIMESTAMP '{AS_OF}' - INTERVAL 90 MINUTE) AS alive""",
+    f"""WITH {COMPLIANCE_SQL},
+        facts AS (SELECT (SELECT count(*) FROM comp WHERE state = 'stalled') AS stalled, (SELECT count(*) FROM comp WHERE state <> 'manual') AS scheduled,
+          (SELECT count(*) FROM events WHERE event_type = 'signup') AS pending,
+          (SELECT count(*) FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '{AS_OF}' - INTERVAL {O.BACKLOG_MINUTES} MINUTE) AS old,
+          (SELECT count(*) FROM (SELECT user_id, max(ts) AS seen FROM events GROUP BY 1) WHERE seen >= TIMESTAMP '{AS_OF}' - INTERVAL 90 MINUTE) AS alive)
+        SELECT CASE WHEN alive = 0 AND (pending > 0 OR scheduled > 0) THEN 'down' WHEN stalled > 0 OR old > 0 THEN 'degraded' ELSE 'ok' END AS status,
+          stalled, pending, alive FROM facts""",
 )
 def monitoring(spark, sf):
     runs = event_runs(spark, sf)
@@ -243,8 +247,16 @@ def digests(spark, sf):
 
 @query(
     "risk_by_source",
-    """SELECT source_id, count(*) AS signal_count FROM (SELECT user_id AS source_id FROM events) GROUP BY 1""",
+    f"""WITH r AS (SELECT user_id AS source_id, count(*) AS signal_count, max(least(1.0, "value" / 200)) AS top, bool_or(event_type = 'error') AS broken
+                  FROM events GROUP BY 1),
+        k AS (SELECT source_id, signal_count, round(least(1.0, CASE WHEN broken THEN 35.0::DOUBLE / 60 ELSE 0 END + 25.0::DOUBLE / 60 * top)::DECIMAL(28,10), 4)::DOUBLE AS risk FROM r)
+        SELECT source_id, signal_count, risk, {SEVERITY_SQL.format('risk')} AS severity FROM k""",
 )
 def risk_by_source(spark, sf):
-    signals = user_signals(spark, sf).withColumn("score", F.lit(0.5)).withColumn("source", F.lit("baseline"))
-    return incident_risk(signals, ["source_id"]).select("source_id", "signal_count")
+    """Each event is a signal of its user, as strong as its value; errors break the contract."""
+    signals = table(spark, sf, "events").select(
+        F.col("user_id").alias("source_id"),
+        F.least(F.lit(1.0), F.col("value") / 200).alias("score"),
+        F.when(F.col("event_type") == "error", "contract").otherwise("baseline").alias("source"),
+    )
+    return incident_risk(signals, ["source_id"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 
 
 def session(app: str = "dqspark", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -66,8 +67,13 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after a count proves the bound. Call it on materialized or cheap frames."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only after rows and bytes are proven small; otherwise the join shuffles.
+
+    Call it on materialized or cheap frames. Bytes are those of the values as text, measured only within the row bound.
+    """
+    if df.limit(max_rows + 1).count() > max_rows:
+        return df
+    width = F.octet_length(F.to_json(F.struct(*[df[c] for c in df.columns])))
+    size = df.agg(F.sum(F.coalesce(width, F.lit(0)) + 16)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

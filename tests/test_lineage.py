@@ -79,17 +79,24 @@ def test_change_candidates(spark):
     schema = "event_id int, kind string, created_at timestamp_ntz, initial boolean, changed_assets array<string>, runs array<struct<asset:string,status:string>>"
     scope = spark.createDataFrame([("r", "a", "self"), ("r", "up", "upstream")], "run_id string, asset string, relation string")
     runs = spark.createDataFrame([("r", T - timedelta(days=7))], "run_id string, since timestamp_ntz")
-    found = [(r["rank"], r["event_id"], r["change"], r["relation"]) for r in L.change_candidates(spark.createDataFrame(rows, schema), scope, runs).orderBy("rank").collect()]
-    assert found == [(1, 3, "new_or_changed_node", "upstream"), (2, 3, "run_failed", "self"), (3, 2, "definition_changed", "self")]
+    events = spark.createDataFrame(rows, schema).withColumn("namespace", F.concat(F.lit("ns"), "event_id"))
+    found = [(r["rank"], r["event_id"], r["namespace"], r["change"], r["relation"]) for r in L.change_candidates(events, scope, runs).orderBy("rank").collect()]
+    assert found == [
+        (1, 3, "ns3", "new_or_changed_node", "upstream"), (2, 3, "ns3", "run_failed", "self"), (3, 2, "ns2", "definition_changed", "self")
+    ]
 
 
 def test_business_impact(spark):
     runs = spark.createDataFrame([("r1", "a", "critical"), ("r2", "x", "low")], "run_id string, asset string, severity string")
     reach = spark.createDataFrame([("a", "b"), ("a", "c")], "start string, node string")
-    policies = spark.createDataFrame([("a", 2, 60), ("b", 5, 30), ("c", 5, 600)], "asset string, criticality int, sla_minutes int")
+    policies = spark.createDataFrame([("a", "ann", 2, 60), ("b", "bob", 5, 30), ("c", None, 5, 600)], "asset string, owner string, criticality int, sla_minutes int")
     signals = spark.createDataFrame([("r1", "freshness", {"lag_minutes": "45"})], "run_id string, type string, evidence map<string,string>")
     got = {r["run_id"]: (r["priority"], r["criticality_points"], r["sla_points"]) for r in L.business_impact(runs, reach, policies, signals).collect()}
     assert got == {"r1": (100, 20, 5), "r2": (10, 0, 0)}
+    named = L.affected_policies(runs, reach.union(reach), policies, signals).collect()
+    assert {(r["run_id"], r["asset"], r["owner"], r["lag_minutes"], r["sla_broken"]) for r in named} == {
+        ("r1", "a", "ann", 45.0, False), ("r1", "b", "bob", 45.0, True), ("r1", "c", None, 45.0, False)
+    } and len(named) == 3
 
 
 def brute_groups(rows, related, window):

@@ -1,6 +1,6 @@
 import pytest
 
-from dqspark.runtime import ensure_checkpoint_dir, materialize
+from dqspark.runtime import broadcast_if_small, ensure_checkpoint_dir, materialize
 
 
 class FakeContext:
@@ -40,3 +40,10 @@ def test_private_folder_only_for_local_masters():
 def test_materialize_cuts_the_plan(spark):
     df = materialize(spark.range(10).selectExpr("id * 2 as x"))
     assert "Range" not in df._jdf.queryExecution().logical().toString() and df.count() == 10
+
+
+def test_broadcast_needs_few_rows_and_few_bytes(spark):
+    hinted = lambda df, **bounds: "ResolvedHint" in broadcast_if_small(df, **bounds)._jdf.queryExecution().analyzed().toString()
+    texts = spark.range(20).selectExpr("id", "repeat('x', 1000) as key")
+    assert hinted(texts, max_rows=20, max_bytes=30_000) and hinted(texts.limit(0))
+    assert not hinted(texts, max_rows=19) and not hinted(texts, max_bytes=20_000)
