@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +32,9 @@ class Template:
     def __post_init__(self):
         if not all(x.startswith("<|") and len(x) > 2 for x in (self.open, self.role_end, self.close)):
             raise ValueError("control strings begin with <| and are longer")
-        if len({self.open, self.role_end, self.close}) < 3:
-            raise ValueError("control strings differ")
+        signs = (self.open, self.role_end, self.close)
+        if any(a in b for i, a in enumerate(signs) for j, b in enumerate(signs) if i != j):
+            raise ValueError("control strings differ and none holds another")
 
 
 def escape(text: Column) -> Column:
@@ -88,11 +90,11 @@ def parse_chat(formatted: DataFrame, template: Template | None = None) -> DataFr
     """Read formatted conversations back: formatted text, turns array<struct<role, text>>, loss_text."""
     t = template or Template()
     whole = F.array_join(F.transform("segments", lambda s: s["text"]), "")
-    closed = F.split(F.col("formatted"), "\\Q" + t.close + "\\E", -1)
+    closed = F.split(F.col("formatted"), re.escape(t.close), -1)
     pieces = F.slice(closed, 1, F.size(closed) - 1)
 
     def turn(piece: Column) -> Column:
-        halves = F.split(F.substring(piece, len(t.open) + 1, 2**31 - 1), "\\Q" + t.role_end + "\\E", 2)
+        halves = F.split(F.substring(piece, len(t.open) + 1, 2**31 - 1), re.escape(t.role_end), 2)
         return F.struct(unescape(halves[0]).alias("role"), unescape(halves[1]).alias("text"))
 
     trained = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))

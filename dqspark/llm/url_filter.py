@@ -22,6 +22,10 @@ class Rule:
     path: str
     verdict: str
 
+    def __post_init__(self):
+        # Hosts of URLs are compared in lower case.
+        object.__setattr__(self, "host", self.host.lower())
+
     @property
     def name(self) -> str:
         return self.host + self.path

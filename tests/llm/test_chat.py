@@ -68,3 +68,16 @@ def test_empty_table(spark):
 def test_digest_matches_hashlib(spark):
     row = parse_chat(format_chat(spark.createDataFrame(ROWS, SCHEMA))).filter("conv_id = 2").select(F.sha2("loss_text", 256).alias("h")).first()
     assert row["h"] == hashlib.sha256("<\\|<\\\\||<|<||".encode()).hexdigest()
+
+
+def test_control_strings_must_not_hold_one_another():
+    with pytest.raises(ValueError):
+        Template(role_end="<|e|>x", close="<|e|>")
+
+
+def test_control_strings_with_pattern_signs(spark):
+    template = Template(open="<|a\\E.*", role_end="<|(b]\\Q", close="<|c$^{2}")
+    rows = [(1, 0, "user", "a\\E.* <|(b]\\Q x"), (1, 1, "assistant", "<|c$^{2} \\Q y")]
+    chats = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = parse_chat(format_chat(chats, template), template).first()
+    assert [(t["role"], t["text"]) for t in got["turns"]] == [r[2:] for r in rows] and got["loss_text"] == rows[1][3]

@@ -92,3 +92,7 @@ def test_rules_lie_under_their_rarest_token():
 def test_no_rules_and_empty_table(spark):
     assert all(v[2:] == (None, "block") for v in run(spark, URLS, [], default="block").values())
     assert run(spark, [], QUERY_RULES) == {}
+
+
+def test_rule_hosts_in_upper_case_fit():
+    assert Rule("Example.COM", "/A", "block") == Rule("example.com", "/A", "block")
