@@ -179,3 +179,10 @@ def test_crowded_brackets_of_any_shape_narrow(spark, monkeypatch, shape):
         a, b = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
         expected = a if a == b else a + (b - a) * (at - np.floor(at))
         assert row[f"q{i}"] == pytest.approx(expected, rel=1e-12)
+
+
+def test_sketched_distinct_counts_stay_close(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    sketch, exact = by_column(profile_table(rows, exact=False)), by_column(profile_table(rows, parts=("distinct",)))
+    for column, row in exact.items():
+        assert sketch[column]["distinct_ratio"] == pytest.approx(row["distinct_ratio"], rel=0.2)
