@@ -10,6 +10,9 @@ from dqspark.llm.common import ascii_lower, documents, small_side, store, text_o
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
 ANCHORS = 3
+#: Words that a near phrase may stand from their places, and words of it that may be missing.
+SLOP = 3
+MISSING = 1
 
 
 def words_of(text: Column) -> Column:
@@ -42,8 +45,11 @@ def _terms_in(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return each.join(terms, "term")
 
 
-def anchor_terms(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """term, uses array<struct<window_id, offset, bit, all_bits>>: the rarest terms of each window by corpus count."""
+def anchor_terms(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS, whole: bool = True) -> DataFrame:
+    """term, uses array<struct<window_id, offset, bit, all_bits>>: the rarest terms of each window by corpus count.
+
+    With `whole`, a window with a term that the corpus does not hold cannot occur and has no anchors.
+    """
     vocabulary = store(windows.select(F.explode("words").alias("term")).distinct(), "terms")
     counts = _terms_in(docs, small_side(vocabulary)).groupBy("term").count()
     placed = windows.select("window_id", F.posexplode("words").alias("offset", "term")).groupBy("window_id", "term").agg(
@@ -54,9 +60,9 @@ def anchor_terms(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) ->
         .groupBy("window_id")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "term", "offset"))).alias("terms"))
         .select("window_id", F.slice("terms", 1, anchors).alias("terms"))
-        # A window with a term that the corpus does not hold cannot occur.
-        .filter(F.col("terms")[0]["n"] > 0)
     )
+    if whole:
+        ranked = ranked.filter(F.col("terms")[0]["n"] > 0)
     use = ranked.select("window_id", F.size("terms").alias("n"), F.posexplode("terms").alias("nth", "t")).select(
         F.col("t.term").alias("term"),
         F.struct(
@@ -147,40 +153,100 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW,
     )
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = 3, anchors: int = ANCHORS) -> DataFrame:
-    """doc_id, text_hash, window_id, start, spread: places where the rarest terms of a window stand within `slop` words
-    of their places in it. `start` is that of the rarest term; spread 0 is an exact alignment of these terms.
+def near_places(docs: DataFrame, windows: DataFrame, slop: int = SLOP, missing: int = MISSING) -> DataFrame:
+    """(doc_id, text_hash, window_id, starts): every start at which two anchors of a window stand within `slop` words of
+    their places.
 
-    The offset-adjusted lists meet by slots of slop + 1 positions, each place also offered to the neighbouring slots, so
-    the join stays on equal keys. Windows of one distinct term are exact matches only and left out.
+    Of the `missing` + 2 rarest distinct terms of a window at least two are left in any near phrase, so each near phrase
+    is proposed. The offset-adjusted lists meet by slots of 2 * slop + 1 starts and their neighbours: equal keys of
+    (document, window, slot), where a slot holds no more postings than starts.
     """
-    windows = store(windows_of(benchmark, length), "windows")
-    uses = store(anchor_terms(docs, windows, anchors), "anchors")
-    at = (
+    uses = store(anchor_terms(docs, windows, missing + 2, whole=False), "near-anchors")
+    at = store(
         _terms_in(docs, small_side(uses))
         .select("doc_id", "text_hash", "pos", F.explode("uses").alias("use"))
-        .select("doc_id", "text_hash", "use.window_id", (F.col("pos") - F.col("use.offset")).alias("start"), "use.bit", "use.all_bits")
+        .select("doc_id", "text_hash", "use.window_id", (F.col("pos") - F.col("use.offset")).alias("start"), "use.bit")
+        # Rows that repeat an id and a text have one list.
+        .distinct(),
+        "near-postings",
     )
-    width = slop + 1
-    slot = F.floor(F.col("start") / width)
-    first = at.filter("bit = 1 and all_bits > 1").withColumn("slot", slot)
-    others = at.filter("bit > 1").withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1))).withColumnRenamed("start", "there")
+    slot = F.floor(F.col("start") / (2 * slop + 1))
     keys = ["doc_id", "text_hash", "window_id", "slot"]
-    o = others.select(*[F.col(k).alias(f"o_{k}") for k in keys], "there", F.col("bit").alias("o_bit"))
+    first = at.withColumn("slot", slot)
+    others = at.select(
+        *[F.col(k).alias(f"o_{k}") for k in keys[:-1]],
+        F.explode(F.array(slot - 1, slot, slot + 1)).alias("o_slot"),
+        F.col("start").alias("there"),
+        F.col("bit").alias("o_bit"),
+    )
     meets = first.join(
-        o, [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in keys] + [F.abs(F.col("there") - F.col("start")) <= slop]
+        others,
+        [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in keys]
+        + [F.col("bit") < F.col("o_bit"), F.abs(F.col("there") - F.col("start")) <= 2 * slop],
+    )
+    starts = F.sequence(F.greatest("start", "there") - slop, F.least("start", "there") + slop)
+    return (
+        meets.select("doc_id", "text_hash", "window_id", F.explode(starts).alias("start"))
+        .groupBy("doc_id", "text_hash", "window_id")
+        .agg(F.collect_set("start").alias("starts"))
     )
-    best = meets.groupBy("doc_id", "text_hash", "window_id", "start", "all_bits", "o_bit").agg(
-        F.min(F.abs(F.col("there") - F.col("start"))).alias("gap")
+
+
+def proximity_matches(
+    docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = SLOP, missing: int = MISSING
+) -> DataFrame:
+    """Every column of docs plus _dc_near array<struct<start, missing, words, items>>: one entry per window of the
+    benchmark that stands in the text nearly.
+
+    A window of `length` words stands nearly at a start when all its words but `missing` stand within `slop` words of
+    their places counted from there; all its words are compared. So up to `missing` words replaced or dropped and up to
+    2 * slop words inserted in it are found, and small changes of order. `start` is that with the fewest words missing,
+    then the smallest; it may lie up to `slop` words before the text. Items shorter than `length` and windows of fewer than
+    `missing` + 2 distinct words are found exactly only (`phrase_matches`), as too little of them would be left.
+
+    Null and empty texts and empty tables have no entries. Items may repeat; a null item_id gives an entry that names
+    nobody. Rows with the same doc_id and text get the same entries; a null doc_id is an id like any other.
+    """
+    found = windows_of(benchmark, length)
+    enough = (F.size("words") == length) & (F.size(F.array_distinct("words")) >= missing + 2)
+    windows = store(found.filter(enough), "near-windows")
+    places = store(
+        near_places(docs, windows, slop, missing)
+        .join(small_side(windows), "window_id")
+        .groupBy("doc_id", "text_hash")
+        .agg(F.collect_list(F.struct("words", "items", "starts")).alias("places")),
+        "near-places",
     )
+    marks = small_side(places.select(F.struct("doc_id", "text_hash").alias("_dc_key"), F.col("places").alias("_dc_places")))
+    key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"))
+    keyed = docs.withColumn("_dc_key", key)
+    joined = keyed.join(marks, keyed["_dc_key"].eqNullSafe(marks["_dc_key"]), "left").drop("_dc_key")
+
+    def absent(words: Column, start: Column) -> Column:
+        """Words of the window that do not stand within the slop of their places."""
+
+        def gone(word: Column, offset: Column) -> Column:
+            low = F.greatest(start + offset - slop, F.lit(0))
+            span = F.greatest(start + offset + slop - low + 1, F.lit(0))
+            return ~F.array_contains(F.slice("_dc_words", low + 1, span), word)
+
+        return F.size(F.filter(words, gone))
+
+    def best(p: Column) -> Column:
+        at = F.array_min(F.transform(p["starts"], lambda s: F.struct(absent(p["words"], s).alias("missing"), s.alias("start"))))
+        return F.struct(at["start"].alias("start"), at["missing"].alias("missing"), p["words"].alias("words"), p["items"].alias("items"))
+
+    near = F.filter(F.transform("_dc_places", best), lambda p: p["missing"] <= missing)
     return (
-        best.groupBy("doc_id", "text_hash", "window_id", "start", "all_bits")
-        .agg(F.bit_or("o_bit").alias("bits"), F.max("gap").alias("spread"))
-        .filter("bits + 1 = all_bits")
-        .select("doc_id", "text_hash", "window_id", "start", "spread")
+        joined.withColumn("_dc_words", F.when(F.col("_dc_places").isNotNull(), words_of(F.col("text").cast("string"))))
+        .withColumn("_dc_near", F.coalesce(near, F.array().cast(_NEAR)))
+        .drop("_dc_words", "_dc_places")
     )
 
 
+_NEAR = "array<struct<start: int, missing: int, words: array<string>, items: array<string>>>"
+
+
 def hit_words(hits: Column) -> Column:
     """Number of word positions inside any occurrence."""
     covered = F.array_distinct(
@@ -207,6 +273,21 @@ def op6_decontaminate(spark, sf_dir):
     )
 
 
+def op6_near_phrases(spark, sf_dir):
+    """Per document the benchmark windows that stand in it nearly, exact ones included, and their items."""
+    found = proximity_matches(
+        documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("_dc_near", lambda n: n["items"]))))
+    return found.withColumn("items", items).select(
+        "doc_id",
+        F.size("_dc_near").cast("bigint").alias("n_windows"),
+        F.size(F.filter("_dc_near", lambda n: n["missing"] > 0)).cast("bigint").alias("n_incomplete"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+    )
+
+
 SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,

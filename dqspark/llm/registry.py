@@ -26,6 +26,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op5_jaccard_links": jaccard_join.op5_jaccard_links,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op6_near_phrases": decontaminate.op6_near_phrases,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_warc": warc.op9_warc,

@@ -69,14 +69,77 @@ def test_empty_tables(spark):
     assert phrase_matches(frame(spark, []), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
 
 
-def test_proximity_finds_a_phrase_with_inserted_words(spark):
+def near_brute(docs, items, length=10, slop=3, missing=1):
+    """(doc_id, window, start, missing words) over every start of every window, without an index."""
+    windows = {}
+    for item, text in items:
+        w = split(text)
+        for i in range(len(w) - length + 1):
+            if len(set(w[i : i + length])) >= missing + 2:
+                windows.setdefault(tuple(w[i : i + length]), set()).add(item)
+    out = []
+    for doc_id, text in docs:
+        w = split(text)
+        for phrase, named in windows.items():
+            # A start this far outside leaves no two words of the window in the text.
+            scored = [
+                (sum(t not in w[max(s + j - slop, 0) : max(s + j + slop + 1, 0)] for j, t in enumerate(phrase)), s)
+                for s in range(-length - slop, len(w) + slop)
+            ]
+            gone, start = min(scored)
+            if gone <= missing:
+                out.append((doc_id, phrase, start, gone, tuple(sorted(str(n) for n in named if n is not None))))
+    return out
+
+
+def near_rows(df):
+    return sorted(
+        (
+            (r["doc_id"], tuple(n["words"]), n["start"], n["missing"], tuple(n["items"]))
+            for r in df.select("doc_id", "_dc_near").collect()
+            for n in r["_dc_near"]
+        ),
+        key=repr,
+    )
+
+
+def test_proximity_finds_each_kind_of_edit(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [
         (1, item),
         (2, "alpha beta gamma x delta epsilon zeta y eta theta iota kappa"),
         (3, "kappa iota alpha then much later on and far away from all of it gamma beta delta"),
         (4, "alpha beta gamma delta epsilon zeta eta theta iota"),
+        (5, "so alpha beta gamma delta other zeta eta theta iota kappa"),
+        (6, "alpha gamma delta epsilon zeta eta theta iota kappa"),
+        (7, "alpha beta one two delta epsilon zeta eta theta iota"),
+        (8, "alpha other another delta epsilon zeta eta theta iota kappa"),
     ]
-    found = proximity_matches(frame(spark, docs), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
-    spread = {r["doc_id"]: r["spread"] for r in found}
-    assert spread[1] == 0 and 2 in spread and 3 not in spread
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    found = {r[0]: r[3] for r in near_rows(proximity_matches(frame(spark, docs), benchmark))}
+    assert found == {1: 0, 2: 0, 4: 1, 5: 1, 6: 1}
+
+
+def test_proximity_against_brute_force(spark):
+    docs, items = tables()
+    rng = random.Random(5)
+    for i in range(30):
+        item = split(items[i % 8][1])
+        at = rng.randrange(0, 18)
+        edited = item[at : at + rng.choice([9, 10, 12])]
+        for _ in range(rng.randrange(0, 4)):
+            place = rng.randrange(len(edited))
+            edited[place : place + rng.choice([0, 1, 1])] = rng.choice([[], ["unseen"], words(rng, 2, 60)])
+        docs.append((200 + i, " ".join(words(rng, rng.randrange(0, 12), 60) + edited + words(rng, rng.randrange(0, 12), 60))))
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    expected = sorted(near_brute(docs, items), key=repr)
+    assert len({r[0] for r in expected if r[3]}) > 10
+    assert near_rows(proximity_matches(with_clashes(frame(spark, docs)), with_clashes(benchmark))) == expected
+
+
+def test_proximity_on_empty_tables(spark):
+    docs, items = tables()
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    bare = proximity_matches(frame(spark, docs), none)
+    assert bare.count() == len(docs) and near_rows(bare) == []
+    assert proximity_matches(frame(spark, []), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
