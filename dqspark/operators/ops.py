@@ -245,28 +245,54 @@ def timeline(events: DataFrame, scope: DataFrame, limit: int | None = None) -> D
     return newest_per(touched.unionByName(own).distinct(), ["run_id"], limit, order).drop("_rank")
 
 
-def detection_metrics(cases: DataFrame, signals: DataFrame, found: DataFrame) -> DataFrame:
-    """One row: recall, top-1 accuracy, mean confidence when right, evidence precision.
+def detection_cases(cases: DataFrame, signals: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per case: what was expected, what was seen, and each reason why the case is not passed.
 
-    `cases(run_id, expected_types, expected_rule)`, `found` = ranked strong hypotheses.
+    `cases(run_id, expected_types, expected_rule[, min_confidence])`, `found` = ranked strong hypotheses. A case
+    without an expected rule accepts any; one without hypotheses has confidence 0 and no bad evidence.
     """
-    observed = signals.groupBy("run_id").agg(F.collect_set("type").alias("types"), F.collect_set("signal_id").alias("ids"))
+    observed = signals.groupBy("run_id").agg(
+        F.array_sort(F.collect_set("type")).alias("types"), F.collect_set("signal_id").alias("ids")
+    )
     top = found.groupBy("run_id").agg(
-        F.min_by(F.struct("rule_id", "confidence"), "rank").alias("t"), F.flatten(F.collect_list("evidence_ids")).alias("used"),
+        F.min_by(F.struct("rule_id", "confidence"), "rank").alias("t"),
+        F.flatten(F.collect_list("evidence_ids")).alias("used"),
         F.min(F.size("evidence_ids")).alias("least"),
     )
-    judged = cases.join(observed, "run_id", "left").join(top, "run_id", "left")
     none = F.array().cast("array<string>")
-    complete = F.size(F.array_except("expected_types", F.coalesce("types", none))) == 0
-    right = F.col("expected_rule").isNull() | F.coalesce(F.col("t.rule_id") == F.col("expected_rule"), F.lit(False))
-    valid = (F.size(F.array_except(F.coalesce("used", none), F.coalesce("ids", none))) == 0) & (F.coalesce("least", F.lit(1)) > 0)
-    named = right & F.col("expected_rule").isNotNull()
-    return judged.agg(
+    least = F.col("min_confidence") if "min_confidence" in cases.columns else F.lit(0.0)
+    complete = F.size("missing_types") == 0
+    reasons = {"missing_types": complete, "rule": F.col("rule_match"), "confidence": F.col("confidence_ok"), "evidence": F.col("evidence_valid")}
+    unknown = F.array_except(F.coalesce("used", none), F.coalesce("ids", none))
+    return (
+        cases.join(observed, "run_id", "left")
+        .join(top, "run_id", "left")
+        .select(
+            "run_id",
+            "expected_types",
+            F.coalesce("types", none).alias("observed_types"),
+            F.array_sort(F.array_except("expected_types", F.coalesce("types", none))).alias("missing_types"),
+            "expected_rule",
+            F.col("t.rule_id").alias("top_rule"),
+            F.coalesce("t.confidence", F.lit(0.0)).alias("top_confidence"),
+            (F.col("expected_rule").isNull() | F.coalesce(F.col("t.rule_id") == F.col("expected_rule"), F.lit(False))).alias("rule_match"),
+            (F.coalesce("t.confidence", F.lit(0.0)) >= F.coalesce(least, F.lit(0.0))).alias("confidence_ok"),
+            ((F.size(unknown) == 0) & (F.coalesce("least", F.lit(1)) > 0)).alias("evidence_valid"),
+        )
+        .withColumn("failures", F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in reasons.items()])))
+        .withColumn("passed", F.size("failures") == 0)
+    )
+
+
+def detection_metrics(cases: DataFrame, signals: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: recall, top-1 accuracy, mean confidence when right, evidence precision over `detection_cases`."""
+    named = F.col("rule_match") & F.col("expected_rule").isNotNull()
+    return detection_cases(cases, signals, found).agg(
         F.count(F.lit(1)).alias("cases"),
-        F.round(F.avg(complete.cast("double")), 6).alias("detection_recall"),
-        F.round(F.avg(right.cast("double")), 6).alias("top1_accuracy"),
-        F.round(F.coalesce(F.avg(F.when(named, F.col("t.confidence"))), F.lit(0.0)), 6).alias("mean_confidence"),
-        F.round(F.avg(valid.cast("double")), 6).alias("evidence_precision"),
+        F.round(F.avg((F.size("missing_types") == 0).cast("double")), 6).alias("detection_recall"),
+        F.round(F.avg(F.col("rule_match").cast("double")), 6).alias("top1_accuracy"),
+        F.round(F.coalesce(F.avg(F.when(named, F.col("top_confidence"))), F.lit(0.0)), 6).alias("mean_confidence"),
+        F.round(F.avg(F.col("evidence_valid").cast("double")), 6).alias("evidence_precision"),
     )
 
 

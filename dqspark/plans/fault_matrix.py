@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dqspark.operators.drift import detect
 from dqspark.operators.faults import apply_fault
+from dqspark.operators.ops import detection_cases
 from dqspark.operators.profile import profile_table
 from dqspark.operators.rca import hypotheses, rank_hypotheses
 from dqspark.runtime import materialize
@@ -57,22 +58,15 @@ def fault_signals(
     return merged
 
 
-def fault_matrix(df: DataFrame, contract: Mapping, columns: Mapping[str, str], as_of) -> DataFrame:
-    """(fault_id, observed types, missing types, top rule and confidence, verdict) per fault."""
+def fault_cases(df: DataFrame, contract: Mapping, columns: Mapping[str, str], as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(expected cases, signals, strong hypotheses) of the whole catalogue, the signals stored once."""
     signals = materialize(fault_signals(df, contract, columns, as_of))
     strong, _ = rank_hypotheses(hypotheses(signals))
-    top = strong.filter("rank = 1").select("run_id", F.col("rule_id").alias("top_rule"), F.col("confidence").alias("top_confidence"))
-    seen = signals.groupBy("run_id").agg(F.array_sort(F.collect_set("type")).alias("observed_types"))
-    joined = expected_cases(df.sparkSession).join(seen, "run_id", "left").join(top, "run_id", "left")
-    none = F.array().cast("array<string>")
-    missing = F.array_except("expected_types", F.coalesce("observed_types", none))
-    right = F.coalesce(F.col("top_rule") == F.col("expected_rule"), F.lit(False))
-    sure = F.coalesce(F.col("top_confidence"), F.lit(0.0)) >= F.col("min_confidence")
-    return joined.select(
-        F.col("run_id").alias("fault_id"),
-        "observed_types",
-        missing.alias("missing_types"),
-        "top_rule",
-        "top_confidence",
-        ((F.size(missing) == 0) & right & sure).alias("passed"),
-    )
+    return expected_cases(df.sparkSession), signals, strong
+
+
+def fault_matrix(df: DataFrame, contract: Mapping, columns: Mapping[str, str], as_of) -> DataFrame:
+    """(fault_id, observed types, missing types, top rule and confidence, verdict) per fault."""
+    judged = detection_cases(*fault_cases(df, contract, columns, as_of))
+    shown = ("observed_types", "missing_types", "top_rule", "top_confidence", "passed")
+    return judged.select(F.col("run_id").alias("fault_id"), *shown)

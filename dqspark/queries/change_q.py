@@ -9,11 +9,10 @@ from dqspark.operators import diff as X
 from dqspark.operators import faults as Y
 from dqspark.operators import repair as R
 from dqspark.operators.contract import builtin_contracts, check_contract
-from dqspark.operators.rca import hypotheses, rank_hypotheses
+from dqspark.operators.ops import detection_cases, detection_metrics
 from dqspark.operators.suggest import suggest_contract
-from dqspark.plans.fault_matrix import EXPECTED, expected_cases, fault_matrix, fault_signals
+from dqspark.plans.fault_matrix import fault_cases, fault_matrix
 from dqspark.queries.base import ORACLES, query, table
-from dqspark.runtime import materialize
 
 # ------------------------------------------------------------------ drafts
 
@@ -298,29 +297,116 @@ def _fault_inputs(spark, sf):
     return orders, builtin_contracts()["orders"], as_of
 
 
-_CASES = ", ".join(f"('{f}', '{rule}')" for f, (_, rule, _) in EXPECTED.items())
+# The catalogue again, in SQL: faulted copies of orders, their cells, the signals of contract and drift, the root causes.
+# Written out here are only the contract, the score rules and what each fault must raise.
+_FAULTS = """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS cust, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS ts, o_orderpriority AS prio FROM orders),
+ranked AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(k || ':42'), 1, 13))::BIGINT) AS rn, count(*) OVER () AS n,
+                  dense_rank() OVER (ORDER BY status) - 1 AS code FROM o),
+copies AS (
+  SELECT 'clean' AS f, k, cust, status, price, ts, prio FROM o
+  UNION ALL SELECT 'F01', k, cust, status, price, ts, prio FROM o
+  UNION ALL SELECT 'F02', k, cust, code::VARCHAR, price, ts, prio FROM ranked
+  UNION ALL SELECT 'F03', k, cust, status, CASE WHEN rn > floor(n * 0.40) THEN price END, ts, prio FROM ranked
+  UNION ALL SELECT 'F04', k, cust, status, price, ts, prio FROM o, range(2)
+  UNION ALL SELECT 'F05', k, cust, status, price * 100, ts, prio FROM o
+  UNION ALL SELECT 'F06', k, cust, status, price, ts - INTERVAL 3 HOUR, prio FROM o
+),
+cells AS (
+  SELECT f, 'o_orderkey' AS c, k::VARCHAR AS v, k::DOUBLE AS x FROM copies
+  UNION ALL SELECT f, 'o_custkey', cust::VARCHAR, cust::DOUBLE FROM copies WHERE f <> 'F01'
+  UNION ALL SELECT f, 'o_orderstatus', status, NULL FROM copies
+  UNION ALL SELECT f, 'o_totalprice', price::VARCHAR, price::DOUBLE FROM copies
+  UNION ALL SELECT f, 'o_orderdate', ts::VARCHAR, NULL FROM copies
+  UNION ALL SELECT f, 'o_orderpriority', prio, NULL FROM copies
+),
+st AS (SELECT f, c, count(*) AS n, count(v) AS filled, count(DISTINCT v) AS d, 1 - count(v) / count(*) AS nulls, avg(x) AS m, coalesce(stddev_pop(x), 0) AS sd,
+              bool_and(regexp_full_match(v, '[0-9]+')) AS digits FROM cells GROUP BY 1, 2),
+facts AS (SELECT f, avg((price < 0 OR price > 1000000)::INT) AS outside, avg((status NOT IN ('F', 'O', 'P'))::INT) AS unlisted,
+                 date_diff('second', max(ts), (SELECT max(ts) + INTERVAL 1 HOUR FROM o)) / 60.0 AS lag FROM copies GROUP BY 1),
+pairs AS (SELECT s.f, s.c, s.n, s.filled, s.d / s.n AS dr, s.d, s.nulls, s.m, b.n AS bn, b.filled AS bfilled, b.d / b.n AS bdr, b.d AS bd, b.nulls AS bnulls, b.m AS bm, b.sd AS bsd,
+                 (s.m - b.m) / nullif(b.sd, 0) AS z, (s.m - b.m) / nullif(sqrt(b.sd * b.sd / b.filled + s.sd * s.sd / s.filled), 0) AS zse,
+                 abs(s.m - b.m) / greatest(abs(b.m), b.sd, 1e-9) AS shift FROM st s JOIN st b ON b.f = 'clean' AND b.c = s.c),
+signals AS (
+  SELECT f, c, 'schema_missing_column' AS t, 0.95 AS s, 0 AS nth
+  FROM (SELECT DISTINCT a.f, b.c FROM st a, st b WHERE b.f = 'clean') ANTI JOIN st USING (f, c)
+  UNION ALL SELECT f, c, 'schema_type_mismatch', 0.9, 0 FROM st WHERE c IN ('o_orderstatus', 'o_orderpriority') AND digits
+  UNION ALL SELECT f, c, 'completeness', least(1, 0.5 + 2 * (nulls - limit_)), 0 FROM st JOIN (VALUES ('o_orderkey', 0), ('o_totalprice', 0.01)) r(c, limit_) USING (c) WHERE nulls > limit_
+  UNION ALL SELECT f, 'o_totalprice', 'range', least(1, 0.4 + 3 * outside), 0 FROM facts WHERE outside > 0
+  UNION ALL SELECT f, c, 'uniqueness', 0.9, 0 FROM st WHERE c = 'o_orderkey' AND d < filled
+  UNION ALL SELECT f, 'o_orderdate', 'freshness', least(1, 0.4 + 0.3 * (lag / 90 - 1)), 0 FROM facts WHERE lag > 90
+  UNION ALL SELECT f, 'o_orderstatus', 'semantic_drift', 0.5, 0 FROM facts WHERE unlisted > 0
+  UNION ALL SELECT f, c, 'completeness', least(1, 0.5 + nulls - bnulls), 1 FROM pairs WHERE nulls - bnulls > 0.05
+  UNION ALL SELECT f, c, 'distribution', least(1, 0.5 + (abs(z) - 3) / 3), 1 FROM pairs WHERE abs(z) >= 3
+  UNION ALL SELECT f, c, 'distribution', least(1, 0.45 + 0.5 * shift), 1 FROM pairs WHERE abs(z) < 3 AND bfilled >= 30 AND filled >= 30 AND abs(zse) >= 6 AND shift >= 0.1
+  UNION ALL SELECT f, c, 'cardinality_drift', least(1, 0.4 + 0.4 * abs(dr / bdr - 1)), 1 FROM pairs WHERE bd > 3 AND d > 3 AND abs(dr / bdr - 1) >= 0.5
+  UNION ALL SELECT f, NULL, 'volume', least(1, abs(n / bn - 1)), 1 FROM pairs WHERE c = 'o_orderkey' AND abs(n / bn - 1) >= 0.3
+),
+first_ AS (SELECT f, c, t, round(arg_min(s, nth), 4) AS s FROM signals GROUP BY 1, 2, 3),
+by_column AS (SELECT f, c, map(list(t), list(s)) AS s, list(t) AS ts FROM first_ WHERE c IS NOT NULL GROUP BY 1, 2),
+whole AS (SELECT v.f, v.s AS volume, u.s AS uniqueness FROM first_ v LEFT JOIN first_ u ON u.f = v.f AND u.t = 'uniqueness' WHERE v.t = 'volume'),
+causes AS (
+  SELECT f, 'schema_drop' AS rule, s['schema_missing_column'] AS conf, ['schema_missing_column'] AS cites, 1 AS place FROM by_column
+  UNION ALL SELECT f, 'schema_type_change', s['schema_type_mismatch'], ['schema_type_mismatch'], 1 FROM by_column
+  UNION ALL SELECT f, 'scale_error', least(0.99, greatest(s['range'], s['distribution']) + 0.05), ['range', 'distribution'], 1 FROM by_column WHERE list_has_all(ts, ['range', 'distribution'])
+  UNION ALL SELECT f, 'scale_error', s['range'], ['range'], 1 FROM by_column WHERE NOT list_contains(ts, 'distribution')
+  UNION ALL SELECT f, 'unexplained_distribution_shift', 0.8 * s['distribution'], ['distribution'], 1 FROM by_column WHERE NOT list_contains(ts, 'range')
+  UNION ALL SELECT f, 'completeness_gap', s['completeness'], ['completeness'], 1 FROM by_column
+  UNION ALL SELECT f, 'freshness_sla_breach', s['freshness'], ['freshness'], 1 FROM by_column
+  UNION ALL SELECT f, 'semantic_drift', 0.75 * s['semantic_drift'], ['semantic_drift'], 1 FROM by_column WHERE NOT list_contains(ts, 'schema_type_mismatch')
+  UNION ALL SELECT f, 'cardinality_drift', 0.5 * s['cardinality_drift'], ['cardinality_drift'], 1 FROM by_column
+  UNION ALL SELECT f, 'duplicate_load', least(0.99, (volume + uniqueness) / 2 + 0.1), ['volume', 'uniqueness'], 0 FROM whole
+  UNION ALL SELECT f, 'volume_shift', 0.7 * volume, ['volume'], 0 FROM whole WHERE uniqueness IS NULL
+),
+strong AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY conf DESC, place) AS rk FROM causes WHERE conf >= 0.4 QUALIFY rk <= 3),
+seen AS (SELECT f, list_sort(list(DISTINCT t)) AS observed FROM signals GROUP BY 1),
+cited AS (SELECT f, bool_and(len(cites) > 0 AND list_has_all(observed, cites)) AS valid FROM strong JOIN seen USING (f) GROUP BY 1),
+wanted AS (SELECT * FROM (VALUES ('F01', ['schema_missing_column'], 'schema_drop', 0.85), ('F02', ['schema_type_mismatch'], 'schema_type_change', 0.85),
+           ('F03', ['completeness'], 'completeness_gap', 0.85), ('F04', ['volume', 'uniqueness'], 'duplicate_load', 0.85),
+           ('F05', ['range', 'distribution'], 'scale_error', 0.90), ('F06', ['freshness'], 'freshness_sla_breach', 0.60)) w(f, expected, rule_, least_)),
+judged AS (
+  SELECT w.f, expected, coalesce(observed, []) AS observed, [x FOR x IN list_sort(expected) IF NOT list_contains(coalesce(observed, []), x)] AS missing,
+         rule_, s.rule AS top_rule, coalesce(round(s.conf, 6), 0)::DOUBLE AS top_confidence, coalesce(s.rule = rule_, false) AS rule_match,
+         coalesce(s.conf, 0) >= least_ AS confidence_ok, coalesce(valid, true) AS evidence_valid
+  FROM wanted w LEFT JOIN seen USING (f) LEFT JOIN strong s ON s.f = w.f AND s.rk = 1 LEFT JOIN cited ON cited.f = w.f)
+"""
 
 
 @query(
     "fault_matrix",
-    f"""SELECT fault_id, top_rule, '' AS missing, count(*) > 0 AS passed FROM (VALUES {_CASES}) t(fault_id, top_rule), orders GROUP BY 1, 2""",
+    f"""{_FAULTS} SELECT f AS fault_id, array_to_string(observed, ',') AS observed, array_to_string(missing, ',') AS missing, top_rule, top_confidence,
+        len(missing) = 0 AND rule_match AND confidence_ok AND evidence_valid AS passed FROM judged""",
 )
 def matrix(spark, sf):
     orders, contract, as_of = _fault_inputs(spark, sf)
     found = fault_matrix(orders, contract, FAULT_COLUMNS, as_of)
-    return found.select("fault_id", "top_rule", F.array_join("missing_types", ",").alias("missing"), "passed")
+    lists = [F.array_join(c + "_types", ",").alias(c) for c in ("observed", "missing")]
+    return found.select("fault_id", *lists, "top_rule", "top_confidence", "passed")
+
+
+@query(
+    "detection_cases",
+    f"""{_FAULTS} SELECT f AS run_id, array_to_string(list_sort(expected), ',') AS expected, array_to_string(observed, ',') AS observed, rule_ AS expected_rule, top_rule, top_confidence,
+        rule_match, confidence_ok, evidence_valid,
+        concat_ws(',', CASE WHEN len(missing) > 0 THEN 'missing_types' END, CASE WHEN NOT rule_match THEN 'rule' END, CASE WHEN NOT confidence_ok THEN 'confidence' END,
+                  CASE WHEN NOT evidence_valid THEN 'evidence' END) AS failures FROM judged""",
+)
+def cases(spark, sf):
+    orders, contract, as_of = _fault_inputs(spark, sf)
+    return detection_cases(*fault_cases(orders, contract, FAULT_COLUMNS, as_of)).select(
+        "run_id",
+        F.array_join(F.array_sort("expected_types"), ",").alias("expected"),
+        F.array_join("observed_types", ",").alias("observed"),
+        *("expected_rule", "top_rule", "top_confidence", "rule_match", "confidence_ok", "evidence_valid"),
+        F.array_join("failures", ",").alias("failures"),
+    )
 
 
 @query(
     "detection_metrics",
-    """SELECT 6::BIGINT AS cases, 1.0::DOUBLE AS detection_recall, 1.0::DOUBLE AS top1_accuracy, 1.0::DOUBLE AS evidence_precision
-       FROM orders HAVING count(*) > 0""",
+    f"""{_FAULTS} SELECT count(*) AS cases, round(avg((len(missing) = 0)::INT), 6) AS detection_recall, round(avg(rule_match::INT), 6) AS top1_accuracy,
+        round(coalesce(avg(top_confidence) FILTER (rule_match), 0), 6) AS mean_confidence, round(avg(evidence_valid::INT), 6) AS evidence_precision FROM judged""",
 )
 def metrics(spark, sf):
-    from dqspark.operators.ops import detection_metrics
-
     orders, contract, as_of = _fault_inputs(spark, sf)
-    signals = materialize(fault_signals(orders, contract, FAULT_COLUMNS, as_of))
-    strong, _ = rank_hypotheses(hypotheses(signals))
-    return detection_metrics(expected_cases(spark), signals, strong).drop("mean_confidence")
-
+    return detection_metrics(*fault_cases(orders, contract, FAULT_COLUMNS, as_of))

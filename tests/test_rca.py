@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dqspark.operators import rca as A
-from dqspark.operators.ops import detection_metrics, sync_actions
+from dqspark.operators.ops import detection_cases, detection_metrics, sync_actions
 
 SCHEMA = "run_id string, seq int, type string, column string, score double"
 
@@ -93,6 +93,11 @@ def test_metrics_and_actions(spark):
     cases = spark.createDataFrame([("r", ["range"], "scale_error"), ("q", ["volume"], "volume_shift")], "run_id string, expected_types array<string>, expected_rule string")
     row = detection_metrics(cases, df, strong).first()
     assert (row["cases"], row["detection_recall"], row["top1_accuracy"], row["mean_confidence"], row["evidence_precision"]) == (2, 0.5, 0.5, 0.9, 1.0)
+    bad = strong.withColumn("evidence_ids", F.array(F.lit("r:99")))
+    strict = cases.withColumn("min_confidence", F.lit(0.95))
+    why = {r["run_id"]: (r["top_confidence"], r["failures"], r["passed"]) for r in detection_cases(strict, df, bad).collect()}
+    assert why == {"r": (0.9, ["confidence", "evidence"], False), "q": (0.0, ["missing_types", "rule", "confidence"], False)}
+    assert detection_cases(cases.filter("false"), df, strong).count() == 0
     keys = "incident_id string, type string, description string"
     drafts = spark.createDataFrame([("i", "alert", "x", True), ("i", "test", "y", False)], keys + ", requires_approval boolean")
     existing = spark.createDataFrame([("i", "alert", "x", False), ("i", "old", "z", False)], keys + ", requires_approval boolean")
