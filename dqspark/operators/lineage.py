@@ -384,8 +384,8 @@ def group_incidents(runs: DataFrame, relations: DataFrame, window_seconds: int =
 
 
 def similar_incidents(runs: DataFrame, signals: DataFrame, feedback: DataFrame, k: int = SIMILAR) -> DataFrame:
-    """(run_id, similar_run, similarity): Jaccard of (type, column) sets against resolved incidents of the
-    same source and contract, best k.
+    """(run_id, rank, similar_run, similarity, resolution): Jaccard of (type, column) sets against resolved incidents of
+    the same source and contract, best k. `resolution` is the note of the verdict; null where feedback has no `note`.
 
     Runs are folded into distinct signatures per source and contract first, and only distinct signatures that
     share an element meet. Copies of one signature, however many, are therefore one row in the join; the k
@@ -398,8 +398,10 @@ def similar_incidents(runs: DataFrame, signals: DataFrame, feedback: DataFrame,
         .agg(F.array_sort(F.collect_set("e")).alias("signature"))
         .join(runs.select("run_id", "source_id", "contract_hash", "run_ts"), "run_id")
     )
-    latest = feedback.groupBy("run_id").agg(F.max_by("verdict", F.struct("ts", "verdict")).alias("verdict"))
-    resolved = signatures.join(latest.filter("verdict = 'resolved'"), "run_id")
+    note = (F.col("note") if "note" in feedback.columns else F.lit(None)).cast("string").alias("resolution")
+    latest = feedback.groupBy("run_id").agg(F.max_by(F.struct("verdict", note), F.struct("ts", "verdict", note)).alias("l"))
+    closed = latest.filter("l.verdict = 'resolved'").select("run_id", "l.resolution")
+    resolved = signatures.join(closed, "run_id")
     group = ["source_id", "contract_hash", "signature"]
     newest = Window.partitionBy(*group).orderBy(F.col("run_ts").desc(), "run_id")
     # k + 1, because a run never counts as similar to itself.
@@ -407,7 +409,7 @@ def similar_incidents(runs: DataFrame, signals: DataFrame, feedback: DataFrame,
         resolved.withColumn("_rank", F.row_number().over(newest))
         .filter(F.col("_rank") <= k + 1)
         .groupBy(*group)
-        .agg(F.collect_list(F.struct("run_ts", "run_id")).alias("stored"))
+        .agg(F.collect_list(F.struct("run_ts", "run_id", "resolution")).alias("stored"))
     )
     kinds = signatures.select(*group).distinct()
     left = kinds.withColumn("e", F.explode("signature"))
@@ -423,14 +425,14 @@ def similar_incidents(runs: DataFrame, signals: DataFrame, feedback: DataFrame,
     pairs = shared.select(*group, "other", (F.col("common") / union).alias("similarity"))
     # Per signature only the best stored runs matter, so the list that is joined to the runs is short.
     stored_runs = pairs.join(stored.withColumnRenamed("signature", "other"), ["source_id", "contract_hash", "other"]).select(
-        *group, "similarity", F.inline("stored").alias("old_ts", "similar_run")
+        *group, "similarity", F.inline("stored").alias("old_ts", "similar_run", "resolution")
     )
     best = Window.partitionBy(*group).orderBy(F.col("similarity").desc(), F.col("old_ts").desc(), "similar_run")
     short = (
         stored_runs.withColumn("_rank", F.row_number().over(best))
         .filter(F.col("_rank") <= k + 1)
         .groupBy(*group)
-        .agg(F.collect_list(F.struct("_rank", "similar_run", "similarity")).alias("best"))
+        .agg(F.collect_list(F.struct("_rank", "similar_run", "similarity", "resolution")).alias("best"))
     )
     others = F.slice(
         F.filter(F.sort_array("best"), lambda b: b["similar_run"] != F.col("run_id")), 1, k
@@ -443,6 +445,7 @@ def similar_incidents(runs: DataFrame, signals: DataFrame, feedback: DataFrame,
             (F.col("_pos") + 1).alias("rank"),
             F.col("b.similar_run").alias("similar_run"),
             F.round("b.similarity", 6).alias("similarity"),
+            F.col("b.resolution").alias("resolution"),
         )
     )
 

@@ -396,10 +396,11 @@ def incidents(spark, sf):
            CASE WHEN month(o_orderdate) = 12 THEN 'volume|' END, CASE WHEN o_orderstatus = 'P' AND month(o_orderdate) >= 11 THEN 'semantic_drift|o_orderstatus' END]
            IF x IS NOT NULL] AS sig FROM orders),
        i AS (SELECT * FROM s WHERE len(sig) > 0), r AS (SELECT * FROM i WHERE st <> 'O'),
-       q AS (SELECT i.k, r.k AS other, len(list_intersect(i.sig, r.sig)) / len(list_distinct(list_concat(i.sig, r.sig))) AS sim, r.ts
+       q AS (SELECT i.k, r.k AS other, len(list_intersect(i.sig, r.sig)) / len(list_distinct(list_concat(i.sig, r.sig))) AS sim, r.ts, r.st
              FROM i JOIN r ON r.src = i.src AND r.k <> i.k),
        z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sim DESC, ts DESC, lpad(other::VARCHAR, 12, '0')) AS rk FROM q WHERE sim > 0)
-       SELECT lpad(k::VARCHAR, 12, '0') AS run_id, rk::INTEGER AS "rank", lpad(other::VARCHAR, 12, '0') AS similar_run, round(sim, 6) AS similarity FROM z WHERE rk <= 5""",
+       SELECT lpad(k::VARCHAR, 12, '0') AS run_id, rk::INTEGER AS "rank", lpad(other::VARCHAR, 12, '0') AS similar_run, round(sim, 6) AS similarity,
+              'closed as ' || st AS resolution FROM z WHERE rk <= 5""",
 )
 def similar(spark, sf):
     orders = table(spark, sf, "orders")
@@ -420,7 +421,8 @@ def similar(spark, sf):
     signals = orders.select(run, F.inline(found))
     runs = orders.select(run, F.col("o_orderpriority").alias("source_id"), F.lit("c1").alias("contract_hash"), F.col("o_orderdate").alias("run_ts"))
     verdict = F.when(F.col("o_orderstatus") == "O", "false_positive").otherwise("resolved")
-    feedback = orders.select(run, F.col("o_orderdate").alias("ts"), verdict.alias("verdict"))
+    note = F.concat(F.lit("closed as "), "o_orderstatus").alias("note")
+    feedback = orders.select(run, F.col("o_orderdate").alias("ts"), verdict.alias("verdict"), note)
     return L.similar_incidents(runs, signals, feedback)
 
 

@@ -139,15 +139,16 @@ def test_similar_incidents_match_brute_force(spark):
         sets[run] = (chosen, rng.choice("st"), rng.choice("xy"), T + timedelta(minutes=i), rng.random() < 0.6)
         runs.append((run, sets[run][1], sets[run][2], sets[run][3]))
         signals += [(run, k, None if k == "volume" else "c") for k in chosen]
-        feedback.append((run, T, "false_positive"))
-        feedback.append((run, T + timedelta(days=1), "resolved" if sets[run][4] else "correct_cause"))
+        feedback.append((run, T, "false_positive", "first look"))
+        feedback.append((run, T + timedelta(days=1), "resolved" if sets[run][4] else "correct_cause", f"note of {run}" if i % 2 else None))
     found = L.similar_incidents(
         spark.createDataFrame(runs, "run_id string, source_id string, contract_hash string, run_ts timestamp_ntz"),
         spark.createDataFrame(signals, "run_id string, type string, column string"),
-        spark.createDataFrame(feedback, "run_id string, ts timestamp_ntz, verdict string"),
+        spark.createDataFrame(feedback, "run_id string, ts timestamp_ntz, verdict string, note string"),
     )
     got = {}
     for r in found.orderBy("run_id", "rank").collect():
+        assert r["resolution"] == (f"note of {r['similar_run']}" if int(r["similar_run"][1:]) % 2 else None)
         got.setdefault(r["run_id"], []).append((r["similar_run"], r["similarity"]))
     for run, (chosen, source, contract, _, _) in sets.items():
         others = [
