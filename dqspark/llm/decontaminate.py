@@ -13,6 +13,8 @@ ANCHORS = 3
 #: Words that a near phrase may stand from their places, and words of it that may be missing.
 SLOP = 3
 MISSING = 1
+#: Words of a text that are looked through at a time.
+CHUNK = 1000
 
 
 def words_of(text: Column) -> Column:
@@ -153,42 +155,64 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW,
     )
 
 
-def near_places(docs: DataFrame, windows: DataFrame, slop: int = SLOP, missing: int = MISSING) -> DataFrame:
-    """(doc_id, text_hash, window_id, starts): every start at which two anchors of a window stand within `slop` words of
-    their places.
+def near_places(
+    docs: DataFrame, windows: DataFrame, length: int = WINDOW, slop: int = SLOP, missing: int = MISSING
+) -> DataFrame:
+    """(doc_id, text_hash, window_id, starts): the starts around each place where two anchors of a window stand as near
+    to each other as they can in a near phrase.
 
     Of the `missing` + 2 rarest distinct terms of a window at least two are left in any near phrase, so each near phrase
-    is proposed. The offset-adjusted lists meet by slots of 2 * slop + 1 starts and their neighbours: equal keys of
-    (document, window, slot), where a slot holds no more postings than starts.
+    is proposed. Both terms are in one text, so the words around each term are looked through in place and only pairs
+    that meet are shuffled. Texts go in chunks of CHUNK words with the words around them.
     """
     uses = store(anchor_terms(docs, windows, missing + 2, whole=False), "near-anchors")
-    at = store(
-        _terms_in(docs, small_side(uses))
-        .select("doc_id", "text_hash", "pos", F.explode("uses").alias("use"))
-        .select("doc_id", "text_hash", "use.window_id", (F.col("pos") - F.col("use.offset")).alias("start"), "use.bit")
-        # Rows that repeat an id and a text have one list.
-        .distinct(),
-        "near-postings",
+    use = uses.select("term", F.explode("uses").alias("u")).select("term", "u.window_id", "u.offset")
+    other = use.select(F.col("window_id").alias("w"), F.col("term").alias("other"), F.col("offset").alias("o"))
+    pairs = store(
+        use.join(other, (F.col("window_id") == F.col("w")) & (F.col("offset") < F.col("o")))
+        .groupBy("term", "other")
+        .agg(F.collect_list(F.struct("window_id", "offset")).alias("uses"))
+        .groupBy("term")
+        .agg(F.collect_list(F.struct("other", "uses")).alias("partners")),
+        "near-pairs",
+    )
+    before, after = 2 * slop - 1, length - 1 + 2 * slop
+    rows = _rows(docs).select("doc_id", "text_hash", words_of(F.col("text")).alias("words")).filter(F.size("words") > 1)
+    chunk = F.explode(
+        F.transform(
+            F.sequence(F.lit(0), F.size("words") - 1, F.lit(CHUNK)),
+            lambda c: F.struct(
+                c.alias("from"),
+                F.least(F.size("words") - c, F.lit(CHUNK)).alias("own"),
+                F.least(c, F.lit(before)).alias("lead"),
+                F.slice("words", F.greatest(c - before, F.lit(0)) + 1, F.lit(CHUNK + before + after)).alias("words"),
+            ),
+        )
     )
-    slot = F.floor(F.col("start") / (2 * slop + 1))
-    keys = ["doc_id", "text_hash", "window_id", "slot"]
-    first = at.withColumn("slot", slot)
-    others = at.select(
-        *[F.col(k).alias(f"o_{k}") for k in keys[:-1]],
-        F.explode(F.array(slot - 1, slot, slot + 1)).alias("o_slot"),
-        F.col("start").alias("there"),
-        F.col("bit").alias("o_bit"),
+    place = F.explode(
+        F.transform(
+            F.sequence(F.col("c.lead"), F.col("c.lead") + F.col("c.own") - 1),
+            lambda i: F.struct(
+                (F.col("c.from") - F.col("c.lead") + i).alias("pos"),
+                F.get("c.words", i).alias("term"),
+                F.slice("c.words", F.greatest(i - before, F.lit(0)) + 1, F.lit(before + after + 1)).alias("around"),
+            ),
+        )
     )
-    meets = first.join(
-        others,
-        [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in keys]
-        + [F.col("bit") < F.col("o_bit"), F.abs(F.col("there") - F.col("start")) <= 2 * slop],
+    meets = (
+        rows.select("doc_id", "text_hash", chunk.alias("c"))
+        .select("doc_id", "text_hash", place.alias("p"))
+        .select("doc_id", "text_hash", "p.*")
+        .join(small_side(pairs), "term")
+        .withColumn("partners", F.filter("partners", lambda t: F.array_contains("around", t["other"])))
+        .filter(F.size("partners") > 0)
+        .select("doc_id", "text_hash", "pos", F.explode(F.flatten(F.transform("partners", lambda t: t["uses"]))).alias("u"))
     )
-    starts = F.sequence(F.greatest("start", "there") - slop, F.least("start", "there") + slop)
+    around = F.flatten(F.transform("at", lambda s: F.sequence(s - slop, s + slop)))
     return (
-        meets.select("doc_id", "text_hash", "window_id", F.explode(starts).alias("start"))
-        .groupBy("doc_id", "text_hash", "window_id")
-        .agg(F.collect_set("start").alias("starts"))
+        meets.groupBy("doc_id", "text_hash", "u.window_id")
+        .agg(F.collect_set(F.col("pos") - F.col("u.offset")).alias("at"))
+        .select("doc_id", "text_hash", "window_id", F.array_distinct(around).alias("starts"))
     )
 
 
@@ -211,7 +235,7 @@ def proximity_matches(
     enough = (F.size("words") == length) & (F.size(F.array_distinct("words")) >= missing + 2)
     windows = store(found.filter(enough), "near-windows")
     places = store(
-        near_places(docs, windows, slop, missing)
+        near_places(docs, windows, length, slop, missing)
         .join(small_side(windows), "window_id")
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_list(F.struct("words", "items", "starts")).alias("places")),

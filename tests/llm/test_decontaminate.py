@@ -120,7 +120,9 @@ def test_proximity_finds_each_kind_of_edit(spark):
     assert found == {1: 0, 2: 0, 4: 1, 5: 1, 6: 1}
 
 
-def test_proximity_against_brute_force(spark):
+def test_proximity_against_brute_force(spark, monkeypatch):
+    # Short chunks, so that phrases lie across their ends.
+    monkeypatch.setattr("dqspark.llm.decontaminate.CHUNK", 7)
     docs, items = tables()
     rng = random.Random(5)
     for i in range(30):
