@@ -178,3 +178,12 @@ def test_links_against_brute_force(spark, monkeypatch, mass):
     expected = brute_links(rows, 4, 85, 100)
     assert sorted(map(tuple, got), key=repr) == expected
     assert sum(r[3] for r in expected) == 1912
+
+
+def test_links_of_few_documents(spark):
+    """Two near copies and an exact one link each other; the stranger and the empty text link nothing."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, base + " end"), (3, base), (4, "other words stand here alone"), (5, None)]
+    got = jaccard_links(frame(spark, rows).repartition(3), k=4, similar=(85, 100)).collect()
+    assert sorted(map(tuple, got)) == brute_links(rows, 4, 85, 100)
+    assert sorted((r[0], r[3]) for r in got) == [(1, 2), (2, 2), (3, 2), (4, 0), (5, 0)]
