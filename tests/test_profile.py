@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from dqspark.operators.profile import exact_quantiles, mask_sensitive, profile_segments, profile_table
+from dqspark.queries import QUERIES
 
 
 def by_column(df):
@@ -186,3 +187,9 @@ def test_sketched_distinct_counts_stay_close(spark):
     sketch, exact = by_column(profile_table(rows, exact=False)), by_column(profile_table(rows, parts=("distinct",)))
     for column, row in exact.items():
         assert sketch[column]["distinct_ratio"] == pytest.approx(row["distinct_ratio"], rel=0.2)
+
+
+def test_approximate_profile_judges_distinct_counts_too(spark, sf):
+    found = QUERIES["profile_approx"](spark, sf).collect()
+    assert len(found) == 8
+    assert all(r["distinct_is_close"] and r["median_is_close"] and r["tail_is_close"] for r in found)
