@@ -1,8 +1,8 @@
 """Lineage traversal for many start nodes at once, and the context reports built on it.
 
-Each hop joins the frontier with the edges, drops nodes already visited and keeps one path per new node. The
-plan is cut by a reliable checkpoint after each hop; the loop ends with an empty frontier. Which side is
-broadcast is left to the runtime sizes (adaptive execution).
+Each hop joins the frontier with the edges that leave it, drops nodes already visited and keeps one path per new
+node. A hop is stored as a table on the shared storage; the loop ends when no edge leaves the frontier. A side is
+broadcast only where its rows and bytes were counted.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.columns import number
-from dqspark.runtime import materialize
+from dqspark.runtime import BROADCAST_ROWS, broadcast_if_small, materialize, stored
 
 MAX_HOPS = 6
 COMPACT_HOPS = 8
+WALK_ROWS = 500_000
 SIMILAR = 5
 SLOT_PARTS = 64
 
@@ -35,54 +36,82 @@ def _directed(edges: DataFrame, reverse: bool) -> DataFrame:
     )
 
 
+def _among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose column is one of the stored keys; all rows where the keys are too many to broadcast."""
+    if keys.count() > BROADCAST_ROWS:
+        return df
+    return df.join(F.broadcast(keys.toDF("_key")), F.col(column) == F.col("_key"), "left_semi")
+
+
 def _walk(
     edges: DataFrame, starts: DataFrame, max_hops: int | None, paths: bool = True, enough: int | None = None
 ) -> DataFrame:
-    """(start, node, node_type, hop, via, path) with edges as (_from, _to, _type, edge_type).
+    """(start, node, hop), with `paths` also (node_type, via, path), for edges as (_from, _to, _type, edge_type).
 
     First visit wins; among visits of the same hop the smallest path wins. A start that has `enough` nodes
     after a whole hop is not walked further: everything beyond would be farther away.
     """
-    edges = materialize(edges.groupBy("_from", "_to", "edge_type").agg(F.min("_type").alias("_type")))
-    start = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
-    visited = start.select(
-        "start",
-        F.col("start").alias("node"),
-        F.lit(None).cast("string").alias("node_type"),
-        F.lit(0).alias("hop"),
-        F.lit(None).cast("string").alias("via"),
-        F.array("start").alias("path"),
-    )
-    visited = frontier = materialize(visited)
-    hop = 0
+    # Of parallel edges the smallest type stands; a missing node type counts only if there is no other.
+    kind = F.struct("edge_type", F.col("_type").isNull().alias("untyped"), "_type")
+    listed = stored(edges if paths else edges.select("_from", "_to"), "listed")
+    # Dealt by counted rows here and below, so that no task sorts or hashes more of them as the graph grows.
+    dealt = listed.repartition(1 + listed.count() // WALK_ROWS, "_from", "_to")
+    edges = dealt.groupBy("_from", "_to").agg(F.min(kind).alias("kind")) if paths else dealt.distinct()
+    first = starts.select(F.col(starts.columns[0]).alias("start")).filter("start is not null").distinct()
+    begun = edges.join(first.hint("shuffle_hash"), F.col("_from") == F.col("start"), "left")
+    edges = stored(begun.select(*edges.columns, F.col("start").isNotNull().alias("begins")), "edges")
+    degrees = stored(edges.groupBy("_from").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    # The steps between start and node are all that two paths of one pair can differ in, so only these are carried.
+    carried = [F.expr("cast(array() as array<string>)").alias("between"), F.col("kind")] if paths else []
+    hop = 1
+    # The first hop is the stored edges that begin at a start.
+    visited = frontier = edges.filter(F.col("begins") & ~F.col("_from").eqNullSafe(F.col("_to"))).select(
+        F.col("_from").alias("start"), F.col("_to").alias("node"), *carried, F.lit(hop).alias("hop")
+    )
     while max_hops is None or hop < max_hops:
-        hop += 1
-        # The pick works on a struct of small fields; the path is the order key and is carried only if asked for.
-        path = F.concat("path", F.array("_to")) if paths else F.array("start")
-        candidates = (
-            frontier.join(edges, frontier["node"] == edges["_from"])
-            .select("start", F.col("_to").alias("node"), F.struct(path.alias("path"), "edge_type", "_type").alias("best"))
-            .groupBy("start", "node")
-            .agg(F.min("best").alias("best"))
-        )
-        fresh = candidates.join(visited.select("start", "node"), ["start", "node"], "left_anti").select(
-            "start",
-            "node",
-            F.col("best._type").alias("node_type"),
-            F.lit(hop).alias("hop"),
-            F.col("best.edge_type").alias("via"),
-            F.col("best.path").alias("path"),
-        )
-        frontier = materialize(fresh)
-        if frontier.isEmpty():
+        if enough is not None:
+            done = visited.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("start")
+            frontier = frontier.join(done, "start", "left_anti")
+        # Nodes of the frontier that edges leave, how often they occur and how many edges leave them.
+        live = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(degrees, F.col("node") == F.col("_from"))
+        live = stored(live.select("node", "n", "degree"), "live")
+        met, leaving, pairs = live.agg(F.sum("n"), F.sum("degree"), F.sum(F.col("n") * F.col("degree"))).first()
+        if not pairs:
             break
+        hop += 1
+        moving, step = _among(frontier, "node", live.select("node")), _among(edges, "_from", live.select("node"))
+        if min(met, leaving) <= BROADCAST_ROWS:
+            if leaving <= met:
+                step = broadcast_if_small(stored(step, "step"))
+            else:
+                moving = broadcast_if_small(stored(moving, "moving"))
+        # Only pairs of a start and a node that both occur in this hop can have been visited before.
+        origins, targets = (stored(df.select(c).distinct(), c) for df, c in ((moving, "start"), (step, "_to")))
+        known = _among(_among(visited.select("start", "node"), "start", origins), "node", targets)
+        known = broadcast_if_small(stored(known, "known"))
+        moving = moving.select("start", F.col("node").alias("_at"), *(["between"] if paths else []))
+        candidates = moving.join(step, F.col("_at") == F.col("_from")).filter(~F.col("start").eqNullSafe(F.col("_to")))
+        best = [F.struct(F.concat("between", F.array("_at")).alias("between"), "kind").alias("best")] if paths else []
+        candidates = candidates.select("start", F.col("_to").alias("node"), *best).repartition(1 + pairs // WALK_ROWS, "start", "node")
+        if paths:
+            candidates = candidates.groupBy("start", "node").agg(F.min("best").alias("best"))
+        else:
+            candidates = candidates.distinct()
+        fresh = candidates.join(known, ["start", "node"], "left_anti")
+        frontier = stored(fresh.select("start", "node", *(["best.between", "best.kind"] if paths else []), F.lit(hop).alias("hop")), "hop")
         visited = visited.unionByName(frontier)
         if hop % COMPACT_HOPS == 0:
-            visited = materialize(visited)  # deep graphs would otherwise grow one union branch per hop
-        if enough is not None:
-            done = visited.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > enough).select("start")
-            frontier = frontier.join(done, "start", "left_anti")
-    return visited.filter("hop > 0")
+            visited = stored(visited, "visited")  # deep graphs would otherwise grow one union branch per hop
+    if not paths:
+        return visited
+    return visited.select(
+        "start",
+        "node",
+        F.col("kind._type").alias("node_type"),
+        "hop",
+        F.col("kind.edge_type").alias("via"),
+        F.concat(F.array("start"), "between", F.array("node")).alias("path"),
+    )
 
 
 def downstream_impact(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:

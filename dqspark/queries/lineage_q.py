@@ -34,10 +34,15 @@ def place_edges(spark, sf):
 
 
 def trade_edges(spark, sf):
-    p = table(spark, sf, "lineitem").select(
-        *_edge(_node("p:", "l_partkey"), "external_asset", _node("s:", "l_suppkey"), "job", "READS_FROM")
-    )
-    return p.distinct().unionByName(place_edges(spark, sf))
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    p = lines.select(*_edge(_node("p:", "l_partkey"), "external_asset", _node("s:", "l_suppkey"), "job", "READS_FROM"))
+    return p.unionByName(place_edges(spark, sf))
+
+
+def trade_ends(spark, sf, prefix: str, column: str, end: str):
+    """The nodes at one end of `trade_edges`, without the pairs of parts and suppliers."""
+    lines = table(spark, sf, "lineitem").select(column).distinct()
+    return lines.select(_node(prefix, column).alias(end)).unionByName(place_edges(spark, sf).select(end))
 
 
 EDGES_SQL = """
@@ -69,8 +74,7 @@ def _shown(found):
     f"WITH RECURSIVE {EDGES_SQL}, {walk_sql('SELECT DISTINCT src FROM edges', False)} SELECT * FROM hit",
 )
 def downstream(spark, sf):
-    edges = trade_edges(spark, sf)
-    return _shown(L.downstream_impact(edges, edges.select("src")))
+    return _shown(L.downstream_impact(trade_edges(spark, sf), trade_ends(spark, sf, "p:", "l_partkey", "src")))
 
 
 @query(
@@ -78,8 +82,7 @@ def downstream(spark, sf):
     f"WITH RECURSIVE {EDGES_SQL}, {walk_sql('SELECT DISTINCT dst FROM edges', True)} SELECT * FROM hit",
 )
 def upstream(spark, sf):
-    edges = trade_edges(spark, sf)
-    return _shown(L.upstream_sources(edges, edges.select("dst")))
+    return _shown(L.upstream_sources(trade_edges(spark, sf), trade_ends(spark, sf, "s:", "l_suppkey", "dst")))
 
 
 @query(

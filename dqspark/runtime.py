@@ -59,6 +59,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once as a table on the shared storage and read back: later steps read only the columns they use, and their
+    joins know its size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this session's intermediate tables and stream states. Call it when results that read them are written."""
     ensure_checkpoint_dir(spark)

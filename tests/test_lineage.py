@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -185,3 +186,39 @@ def test_edges_with_a_hub(spark):
     found = L.upstream_sources(edges, starts(spark, "end"))
     assert found.groupBy("hop").count().orderBy("hop").collect()[1]["count"] == 1000
     assert found.filter(F.size("path") != F.col("hop") + 1).count() == 0
+
+
+def brute_walk(edges, max_hops):
+    """{(start, node): (hop, path, edge type, node type)} over (from, to, type, edge type)."""
+    found = {}
+    for start in {e[0] for e in edges}:
+        layer, seen = {start: ((start,), None, None)}, {start}
+        for hop in range(1, max_hops + 1):
+            candidates = {}
+            for a, b, kind, via in edges:
+                if a in layer and b not in seen:
+                    candidates.setdefault(b, []).append(((*layer[a][0], b), via, kind))
+            layer = {node: min(ways) for node, ways in candidates.items()}
+            seen |= set(layer)
+            found |= {(start, node): (hop, *best) for node, best in layer.items()}
+    return found
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_walk_in_many_small_tasks_against_brute_force(spark, monkeypatch, broadcast):
+    """Cycles, loops, parallel edges and nodes met again at several hops, dealt by 50 rows, with and without broadcasts."""
+    monkeypatch.setattr(L, "WALK_ROWS", 50)
+    monkeypatch.setattr(L, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(40)]
+    edges = [(rng.choice(names), rng.choice(names), rng.choice("jd"), rng.choice("RW")) for _ in range(70)]
+    edges += [("n1", "n1", "j", "R"), ("n1", "n2", "d", "W"), ("n1", "n2", "d", "R"), ("n2", "n1", "j", "R")]
+    rows = [(a, "x", b, kind, via) for a, b, kind, via in edges]
+    frame = spark.createDataFrame(rows, "src string, src_type string, dst string, dst_type string, edge_type string")
+    got = {
+        (r["start"], r["node"]): (r["hop"], tuple(r["path"]), r["via"], r["node_type"])
+        for r in L.downstream_impact(frame, frame.select("src"), max_hops=4).collect()
+    }
+    assert got == brute_walk(edges, 4)
+    closure = L.reachable(frame, frame.select("src").distinct())
+    assert {tuple(r) for r in closure.collect()} == set(brute_walk(edges, 40))
