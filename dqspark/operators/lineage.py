@@ -46,30 +46,22 @@ def _among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 def _walk(
     edges: DataFrame, starts: DataFrame, max_hops: int | None, paths: bool = True, enough: int | None = None
 ) -> DataFrame:
-    """(start, node, hop), with `paths` also (node_type, via, path), for edges as (_from, _to, _type, edge_type).
+    """(start, node, hop), with `paths` also (node_type, via, path), for stored edges as (_from, _to, _type, edge_type).
 
     First visit wins; among visits of the same hop the smallest path wins. A start that has `enough` nodes
     after a whole hop is not walked further: everything beyond would be farther away.
     """
     # Of parallel edges the smallest type stands; a missing node type counts only if there is no other.
     kind = F.struct("edge_type", F.col("_type").isNull().alias("untyped"), "_type")
-    listed = stored(edges if paths else edges.select("_from", "_to"), "listed")
-    # Dealt by counted rows here and below, so that no task sorts or hashes more of them as the graph grows.
-    dealt = listed.repartition(1 + listed.count() // WALK_ROWS, "_from", "_to")
-    edges = dealt.groupBy("_from", "_to").agg(F.min(kind).alias("kind")) if paths else dealt.distinct()
-    first = starts.select(F.col(starts.columns[0]).alias("start")).filter("start is not null").distinct()
-    begun = edges.join(first.hint("shuffle_hash"), F.col("_from") == F.col("start"), "left")
-    edges = stored(begun.select(*edges.columns, F.col("start").isNotNull().alias("begins")), "edges")
+    edges = edges.select("_from", "_to", *([kind.alias("kind")] if paths else []))
     degrees = stored(edges.groupBy("_from").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    start = F.col(starts.columns[0])
+    begin = starts.select(start.alias("start")).distinct().withColumn("node", F.col("start"))
     # The steps between start and node are all that two paths of one pair can differ in, so only these are carried.
-    carried = [F.expr("cast(array() as array<string>)").alias("between"), F.col("kind")] if paths else []
-    hop = 1
-    # The first hop is the stored edges that begin at a start.
-    visited = frontier = edges.filter(F.col("begins") & ~F.col("_from").eqNullSafe(F.col("_to"))).select(
-        F.col("_from").alias("start"), F.col("_to").alias("node"), *carried, F.lit(hop).alias("hop")
-    )
+    nothing = F.expr("cast(array() as array<string>)").alias("between")
+    frontier, visited, hop = stored(begin.select("start", "node", *([nothing] if paths else [])), "begin"), None, 0
     while max_hops is None or hop < max_hops:
-        if enough is not None:
+        if enough is not None and hop:
             done = visited.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("start")
             frontier = frontier.join(done, "start", "left_anti")
         # Nodes of the frontier that edges leave, how often they occur and how many edges leave them.
@@ -85,23 +77,29 @@ def _walk(
                 step = broadcast_if_small(stored(step, "step"))
             else:
                 moving = broadcast_if_small(stored(moving, "moving"))
-        # Only pairs of a start and a node that both occur in this hop can have been visited before.
-        origins, targets = (stored(df.select(c).distinct(), c) for df, c in ((moving, "start"), (step, "_to")))
-        known = _among(_among(visited.select("start", "node"), "start", origins), "node", targets)
-        known = broadcast_if_small(stored(known, "known"))
+        known = None
+        if visited is not None:
+            # Only pairs of a start and a node that both occur in this hop can have been visited before.
+            origins, targets = (stored(df.select(c).distinct(), c) for df, c in ((moving, "start"), (step, "_to")))
+            known = _among(_among(visited.select("start", "node"), "start", origins), "node", targets)
+            known = broadcast_if_small(stored(known, "known"))
         moving = moving.select("start", F.col("node").alias("_at"), *(["between"] if paths else []))
         candidates = moving.join(step, F.col("_at") == F.col("_from")).filter(~F.col("start").eqNullSafe(F.col("_to")))
-        best = [F.struct(F.concat("between", F.array("_at")).alias("between"), "kind").alias("best")] if paths else []
+        between = F.concat("between", F.array("_at")) if hop > 1 else F.col("between")
+        best = [F.struct(between.alias("between"), "kind").alias("best")] if paths else []
+        # Dealt by the counted pairs, so that no task sorts or hashes more of them as the graph grows.
         candidates = candidates.select("start", F.col("_to").alias("node"), *best).repartition(1 + pairs // WALK_ROWS, "start", "node")
         if paths:
             candidates = candidates.groupBy("start", "node").agg(F.min("best").alias("best"))
         else:
             candidates = candidates.distinct()
-        fresh = candidates.join(known, ["start", "node"], "left_anti")
+        fresh = candidates if known is None else candidates.join(known, ["start", "node"], "left_anti")
         frontier = stored(fresh.select("start", "node", *(["best.between", "best.kind"] if paths else []), F.lit(hop).alias("hop")), "hop")
-        visited = visited.unionByName(frontier)
+        visited = frontier if visited is None else visited.unionByName(frontier)
         if hop % COMPACT_HOPS == 0:
             visited = stored(visited, "visited")  # deep graphs would otherwise grow one union branch per hop
+    if visited is None:
+        visited = frontier.withColumns({**({"kind": F.lit(None).cast(edges.schema["kind"].dataType)} if paths else {}), "hop": F.lit(0)}).limit(0)
     if not paths:
         return visited
     return visited.select(
@@ -116,17 +114,17 @@ def _walk(
 
 def downstream_impact(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Everything a broken start node touches, nearest first, with one shortest path each."""
-    return _walk(_directed(edges, reverse=False), starts, max_hops)
+    return _walk(_directed(stored(edges, "edges"), reverse=False), starts, max_hops)
 
 
 def upstream_sources(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Everything that can have broken a start node."""
-    return _walk(_directed(edges, reverse=True), starts, max_hops)
+    return _walk(_directed(stored(edges, "edges"), reverse=True), starts, max_hops)
 
 
 def reachable(edges: DataFrame, starts: DataFrame, reverse: bool = False) -> DataFrame:
     """(start, node): transitive closure without a hop limit."""
-    return _walk(_directed(edges, reverse), starts, None, paths=False).select("start", "node")
+    return _walk(_directed(stored(edges, "edges"), reverse), starts, None, paths=False).select("start", "node")
 
 
 def _column_edges(column_edges: DataFrame, reverse: bool) -> DataFrame:
@@ -143,6 +141,10 @@ def reachable_columns(
     column_edges: DataFrame, starts: DataFrame, reverse: bool = False, limit: int | None = None
 ) -> DataFrame:
     """(start_asset, start_column, hop, asset, column) by breadth-first walk; only the nearest `limit` per start if given."""
+    return _columns_met(stored(column_edges, "column-edges"), starts, reverse, limit)
+
+
+def _columns_met(column_edges: DataFrame, starts: DataFrame, reverse: bool, limit: int | None) -> DataFrame:
     begin = starts.select(F.struct(F.col("asset").alias("asset"), F.lower("column").alias("column")).alias("start"))
     found = _walk(_column_edges(column_edges, reverse), begin, None, paths=False, enough=limit).select(
         F.col("start.asset").alias("start_asset"),
@@ -169,8 +171,9 @@ def column_impact(
     )
     starts = wanted.select("asset", "column").distinct()
     parts = []
+    column_edges = stored(column_edges, "column-edges")  # both directions walk them
     for name, reverse in (("upstream", True), ("downstream", False)):
-        walk = reachable_columns(column_edges, starts, reverse, limit)
+        walk = _columns_met(column_edges, starts, reverse, limit)
         parts.append(
             walk.groupBy(F.col("start_asset").alias("asset"), F.col("start_column").alias("column")).agg(
                 F.transform(
@@ -213,9 +216,10 @@ def affected_assets(signals: DataFrame, edges: DataFrame, names: DataFrame | Non
 
 def lineage_report(edges: DataFrame, names: DataFrame, assets: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Upstream and downstream tables of the given assets with readable names and a direction column."""
+    edges = stored(edges, "edges")  # both directions walk them
     parts = [
-        walk(edges, assets, max_hops).withColumn("direction", F.lit(direction))
-        for walk, direction in ((upstream_sources, "upstream"), (downstream_impact, "downstream"))
+        _walk(_directed(edges, reverse), assets, max_hops).withColumn("direction", F.lit(direction))
+        for reverse, direction in ((True, "upstream"), (False, "downstream"))
     ]
     found = parts[0].unionByName(parts[1])
     return found.join(names.select("node", "name"), "node", "left").select(
