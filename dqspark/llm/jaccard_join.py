@@ -299,14 +299,14 @@ class Tree:
 
 
 def near_hubs(pairs: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """a, b: the rows of pairs(star, place, n, vector, hub_n, hub_vector) that may be similar. A hub is the root that each
-    member meets as a point, pair by pair, without gathering a star."""
+    """a, b: the rows of pairs(star, place, n, vector, other_n, other_vector) that may be similar. A hub is the root that
+    each member meets as a point, pair by pair, without gathering a star."""
 
     def run(batches):
         geometry = Geometry(similar)
         for batch in batches:
-            n, hub_n = batch.column("n").to_pylist(), batch.column("hub_n").to_pylist()
-            vectors, hub_vectors = batch.column("vector").to_pylist(), batch.column("hub_vector").to_pylist()
+            n, hub_n = batch.column("n").to_pylist(), batch.column("other_n").to_pylist()
+            vectors, hub_vectors = batch.column("vector").to_pylist(), batch.column("other_vector").to_pylist()
             may = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 v, h = read_vector(vectors[i], n[i]), read_vector(hub_vectors[i], hub_n[i])
@@ -319,8 +319,8 @@ def near_hubs(pairs: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def tree_search(queries: DataFrame, members: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """a, b: places of queries and members of one star that may be similar; both sides are (star, place, n, vector, part).
+def tree_search(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """a, b: places of queries and members of one star that may be similar; see similar_sets.tiled for the members.
 
     Pairs within one `part` are known to be connected and left out. A star of any size is cut into tiles of about TILE
     members and TILE queries or TILE_BYTES; every pair of tiles is a task of its own.
@@ -342,7 +342,7 @@ def tree_search(queries: DataFrame, members: DataFrame, similar: tuple[int, int]
                 b.append(found)
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
-    return tiled(queries, members, run, ["place", "n", "vector", "part"], TILE, TILE_BYTES)
+    return tiled(members, run, ["place", "n", "vector", "part"], TILE, TILE_BYTES)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -368,6 +368,18 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return chosen.mapInArrow(run, "set_key binary, shingles array<bigint>")
 
 
+def star_sets(docs: DataFrame, meets: DataFrame, distinct: DataFrame, sketches: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(place, shingles) and (place, n, vector) of the sets in stars, one row each."""
+    in_stars = store(meets.select("place").union(meets.select("star")).distinct(), "in-stars")
+    met = store(distinct.join(in_stars, "place").select("place", "set_key", "low"), "met-sets")
+    found = sets_of(docs, store(met.select("low").distinct(), "wanted"), k)
+    # Rows that repeat an id give a set more than once; a set has one key and one place.
+    shingles = found.join(small_side(met.select("set_key", "place")), "set_key").dropDuplicates(["set_key"])
+    rows = sketches.select("place", "n", "vector")
+    points = rows.join(small_side(in_stars), "place", "left_semi")
+    return store(shingles.select("place", "shingles"), "sets"), store(points, "points")
+
+
 # ------------------------------------------------------------------------------------------------------------ the join
 
 
@@ -473,31 +485,14 @@ def _classes(docs: DataFrame, k: int, similar: tuple[int, int]) -> tuple[DataFra
     located = store(sketch(docs, k, similar), "sketches")
     sketches = store(located.drop("addresses", "held", "leads"), "sets-of-documents")
     distinct = store(
-        sketches.filter("n > 0").groupBy("set_key", "n", "vector").agg(F.min("place").alias("place"), F.min("doc_id").alias("low")),
-        "distinct-sets",
+        sketches.filter("n > 0").groupBy("set_key", "n").agg(F.min("place").alias("place"), F.min("doc_id").alias("low")), "distinct-sets"
     )
     names = sketches.filter("n > 0").select(F.col("place").alias("node"), "set_key").join(distinct.select("set_key", "place"), "set_key")
     meets = stars(located, store(names.select("node", "place"), "names"))
     discard(located)
 
-    in_stars = meets.select("place").union(meets.select("star")).distinct()
-    sets = store(
-        sets_of(docs, store(distinct.join(in_stars, "place").select("low").distinct(), "wanted"), k)
-        .join(distinct.select("set_key", "place"), "set_key")
-        .dropDuplicates(["place"])
-        .select("place", "shingles"),
-        "sets",
-    )
-    points = distinct.select("place", "n", "vector")
-
-    def beside_hub(pairs: DataFrame) -> DataFrame:
-        hubs = points.select(F.col("place").alias("star"), F.col("n").alias("hub_n"), F.col("vector").alias("hub_vector"))
-        return near_hubs(pairs.join(points, "place").join(hubs, "star"), similar)
-
-    def among(apart: DataFrame, members: DataFrame) -> DataFrame:
-        return tree_search(apart.join(points, "place"), members.join(points, "place"), similar)
-
-    labels = connected(meets, sets, similar, beside_hub, among)
+    sets, points = star_sets(docs, meets, distinct, sketches, k)
+    labels = connected(meets, points, sets, similar, lambda pairs: near_hubs(pairs, similar), lambda members: tree_search(members, similar))
     classes = distinct.join(labels.withColumnRenamed("id", "place"), "place", "left").withColumn("label", F.coalesce("label", "place"))
     return sketches, classes, sets
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from dqspark.llm.common import discard, documents, pieces, store
 from dqspark.llm.jaccard_join import SQL as JOIN_SQL
-from dqspark.llm.jaccard_join import chunks, mix, set_key, sets_of, shingle_sets
+from dqspark.llm.jaccard_join import chunks, mix, set_key, shingle_sets, star_sets
 from dqspark.llm.similar_sets import connected, led, stars, tiled
 
 SHINGLE = 5
@@ -122,11 +122,11 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _beside_hub(pairs: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """a, b: the rows of pairs(star, place, n, vector, hub_n, hub_vector) that may be similar."""
+    """a, b: the rows of pairs(star, place, n, vector, other_n, other_vector) that may be similar."""
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("n", "vector", "hub_n", "hub_vector")]
+            columns = [batch.column(c).to_pylist() for c in ("n", "vector", "other_n", "other_vector")]
             may = np.zeros(batch.num_rows, bool)
             for i, (n, words, hub_n, hub) in enumerate(zip(*columns)):
                 w, h = np.frombuffer(words, "<u8"), np.frombuffer(hub, "<u8")
@@ -139,7 +139,7 @@ def _beside_hub(pairs: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def _among(apart: DataFrame, members: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def _among(members: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """a, b: members of one star that may be similar; pairs of one part are connected already. Both sides are tiled."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -158,7 +158,7 @@ def _among(apart: DataFrame, members: DataFrame, similar: tuple[int, int]) -> Da
                 b.append(places[at])
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
-    return tiled(apart, members, run, ["place", "n", "vector", "part"], TILE, TILE_BYTES)
+    return tiled(members, run, ["place", "n", "vector", "part"], TILE, TILE_BYTES)
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -174,28 +174,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similar: tuple[int, int]
     located = store(sketch(docs, k), "minhash-sketches")
     sketches = store(located.select("doc_id", "n", "set_key", "vector", "place"), "minhash-sets")
     with_words = sketches.filter("n > 0")
-    distinct = store(
-        with_words.groupBy("set_key", "n", "vector").agg(F.min("place").alias("place"), F.min("doc_id").alias("low")), "minhash-distinct"
-    )
+    distinct = store(with_words.groupBy("set_key", "n").agg(F.min("place").alias("place"), F.min("doc_id").alias("low")), "minhash-distinct")
     names = with_words.select(F.col("place").alias("node"), "set_key").join(distinct.select("set_key", "place"), "set_key")
     meets = stars(located, store(names.select("node", "place"), "minhash-names"))
     discard(located)
 
-    in_stars = meets.select("place").union(meets.select("star")).distinct()
-    wanted = store(distinct.join(in_stars, "place").select("low").distinct(), "minhash-wanted")
-    sets = store(
-        sets_of(docs, wanted, k).join(distinct.select("set_key", "place"), "set_key").dropDuplicates(["place"]).select("place", "shingles"), "minhash-shingles"
-    )
-    points = distinct.select("place", "n", "vector")
-
-    def beside_hub(pairs: DataFrame) -> DataFrame:
-        hubs = points.select(F.col("place").alias("star"), F.col("n").alias("hub_n"), F.col("vector").alias("hub_vector"))
-        return _beside_hub(pairs.join(points, "place").join(hubs, "star"), similar)
-
-    def among(apart: DataFrame, members: DataFrame) -> DataFrame:
-        return _among(apart.join(points, "place"), members.join(points, "place"), similar)
-
-    labels = connected(meets, sets, similar, beside_hub, among)
+    sets, points = star_sets(docs, meets, distinct, sketches, k)
+    labels = connected(meets, points, sets, similar, lambda pairs: _beside_hub(pairs, similar), lambda members: _among(members, similar))
     classes = distinct.join(labels.withColumnRenamed("id", "place"), "place", "left").withColumn("label", F.coalesce("label", "place"))
     smallest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
     by_set = classes.join(smallest, "label").select("set_key", "component_id")
