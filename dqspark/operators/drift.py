@@ -231,18 +231,20 @@ def detect(
     current_profiles: DataFrame | None = None,
     references=None,
     runs: Sequence[str] = (),
+    copies: Sequence[str] = (),
 ) -> DataFrame:
     """Contract signals, then column drift in column order, then volume; one table or many runs.
 
-    `base_profiles` carries the baseline of each run under that run's own key (see `shift_baseline`).
+    `base_profiles` carries the baseline of each run under that run's own key (see `shift_baseline`). `copies` as in
+    `profile_table`.
     """
     from dqspark.operators.profile import profile_table
 
     runs = list(runs)
-    signals = score_violations(check_contract(df, contract, as_of, references, runs))
+    signals = score_violations(check_contract(df, contract, as_of, references, runs, copies))
     if base_profiles is not None:
         if current_profiles is None:
-            current_profiles = profile_table(df, runs, parts=("distinct",))
+            current_profiles = profile_table(df, runs, parts=("distinct",), copies=copies)
         signals = signals.unionByName(drift_columns(base_profiles, current_profiles, runs))
         volume = drift_volume(run_counts(base_profiles, runs), run_counts(current_profiles, runs), runs)
         signals = signals.unionByName(volume)

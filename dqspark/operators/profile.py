@@ -88,26 +88,22 @@ def _wide_stats(
     return grouped.select(*runs, F.inline(F.array(*entries)))
 
 
-def value_counts(df: DataFrame, runs: Sequence[str], columns, only_counts: bool = False) -> DataFrame:
+def value_counts(df: DataFrame, runs: Sequence[str], columns) -> DataFrame:
     """(run, ordinal, value, freq) over the given (ordinal, name, type) columns, nulls left out.
 
     Integers, floats and everything else keep their own typed key, so long keys stay exact and no number
-    is turned into text before the shuffle. With `only_counts` the values themselves are not needed, and long
-    texts travel as their sha256.
+    is turned into text before the shuffle.
     """
     entries = []
     for i, name, data_type in columns:
         kind = contract_type(data_type)
         source = q(name)
-        text = source.cast("string") if kind not in ("integer", "float") else F.lit(None).cast("string")
-        if only_counts and kind == "string":
-            text = F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
         entries.append(
             F.struct(
                 F.lit(i).alias("ordinal"),
                 (source if kind == "integer" else F.lit(None)).cast("bigint").alias("lval"),
                 (source if kind == "float" else F.lit(None)).cast("double").alias("dval"),
-                text.alias("sval"),
+                (source.cast("string") if kind not in ("integer", "float") else F.lit(None).cast("string")).alias("sval"),
             )
         )
     return (
@@ -118,6 +114,32 @@ def value_counts(df: DataFrame, runs: Sequence[str], columns, only_counts: bool
     )
 
 
+def distinct_values(df: DataFrame, runs: Sequence[str], columns, copies: Sequence[str] = ()) -> DataFrame:
+    """(runs…, ordinal, distinct) of (ordinal, name, type) columns of one contract type, nulls left out. The values
+    themselves are not needed, so long texts travel as their sha256. With `copies` a value carries the set of copies
+    that hold it, as bits."""
+    kind = contract_type(columns[0][2])
+    key = {"integer": "bigint", "float": "double", "datetime": "timestamp_ntz"}.get(kind, "string")
+    values = []
+    for i, name, _ in columns:
+        value = q(name).cast(key)
+        if kind == "string":
+            value = F.when(F.length(value) > LONG_TEXT, F.sha2(value, 256)).otherwise(value)
+        values.append(F.struct(F.lit(i).alias("ordinal"), value.alias("_value")))
+    listed = F.inline(F.array(*values)) if len(values) > 1 else values[0].alias("_one")
+    known = df.select(*[q(r) for r in runs], listed)
+    if len(values) == 1:
+        known = known.select(*[q(r) for r in runs], "_one.*")
+    known = known.filter("_value is not null")
+    if not copies:
+        return known.distinct().groupBy(*runs, "ordinal").agg(F.count(F.lit(1)).alias("distinct"))
+    bit = F.coalesce(*[F.when(q(runs[0]) == c, F.lit(1 << i).cast("bigint")) for i, c in enumerate(copies)])
+    held = known.groupBy("ordinal", "_value").agg(F.bit_or(bit).alias("held"))
+    of_copy = [F.count_if(F.getbit("held", F.lit(i)) == 1).alias(f"_{i}") for i in range(len(copies))]
+    each = F.array(*[F.struct(F.lit(c).alias(runs[0]), F.col(f"_{i}").alias("distinct")) for i, c in enumerate(copies)])
+    return held.groupBy("ordinal").agg(*of_copy).select("ordinal", F.inline(each)).select(*runs, "ordinal", "distinct")
+
+
 def _text() -> Column:
     return F.coalesce(F.col("sval"), F.col("lval").cast("string"), F.col("dval").cast("string"))
 
@@ -179,6 +201,11 @@ def exact_quantiles(
     return _attach(stats.select(*runs, "column", "ordinal", "non_null"), found, [*runs, "ordinal"]).drop("ordinal")
 
 
+def folded_copies(runs: Sequence[str], copies: Sequence[str]) -> list[str]:
+    """The copies, if they are few enough for one bit each and the table has no other run column."""
+    return list(copies) if len(runs) == 1 and 1 < len(copies) < 64 else []
+
+
 def raw_profile(
     df: DataFrame,
     runs: Sequence[str] = (),
@@ -186,8 +213,10 @@ def raw_profile(
     exact: bool = True,
     parts: Sequence[str] = PARTS,
     top_k: int = TOP_VALUES,
+    copies: Sequence[str] = (),
 ) -> DataFrame:
     """Unrounded counts and statistics behind `profile_table`."""
+    copies = folded_copies(runs, copies)
     if set(parts) - set(PARTS):
         raise ValueError(f"unknown profile parts: {sorted(set(parts) - set(PARTS))}")
     runs = list(runs)
@@ -207,8 +236,13 @@ def raw_profile(
         needs_values = "hash" in parts or "top" in parts
         # One value count per kind: the kinds read disjoint columns, so nothing is read twice.
         kinds = {"n": numeric, "c": categorical, "t": times}
-        counted = {k: value_counts(df, runs, group, not needs_values) for k, group in kinds.items() if group}
-        if "distinct" in parts and counted:
+        counted = {k: value_counts(df, runs, group) for k, group in kinds.items() if group} if needs_values else {}
+        by_type: dict[str, list] = {}
+        for c in [c for group in kinds.values() for c in group]:
+            by_type.setdefault(contract_type(c[2]), []).append(c)
+        if "distinct" in parts and by_type and not needs_values:
+            pieces.append(_union([distinct_values(df, runs, group, copies) for group in by_type.values()]))
+        elif "distinct" in parts and counted:
             pieces.append(_union([_distinct(c, keys) for c in counted.values()]))
         if "hash" in parts and counted:
             pieces.append(_union([_hash(c, keys, HASH_VALUES) for c in counted.values()]))
@@ -242,13 +276,16 @@ def profile_table(
     columns: Sequence[str] | None = None,
     exact: bool = True,
     parts: Sequence[str] = PARTS,
+    copies: Sequence[str] = (),
 ) -> DataFrame:
     """Long-form profile: one row per (run, column).
 
     `exact=False` replaces distinct counts and quantiles by sketches and leaves out the value parts, which
-    makes the whole profile one scan with no value shuffle. `parts` trims the exact profile.
+    makes the whole profile one scan with no value shuffle. `parts` trims the exact profile. `copies` are the values
+    of the only run column when the runs are copies of one table whose rows stand together: equal values of copies
+    meet before the shuffle, which then carries them once.
     """
-    raw = raw_profile(df, runs, columns, exact, parts)
+    raw = raw_profile(df, runs, columns, exact, parts, copies=copies)
     filled = F.col("non_null") > 0
 
     def ratio(part: Column) -> Column:
