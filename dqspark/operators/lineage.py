@@ -16,6 +16,9 @@ from dqspark.runtime import BROADCAST_ROWS, broadcast_if_small, materialize, sto
 MAX_HOPS = 6
 COMPACT_HOPS = 8
 WALK_ROWS = 500_000
+# Rows of a few short columns, which may be broadcast where a wide row may not; the bytes are counted as ever.
+NARROW_ROWS = 1_000_000
+KINDS = 10_000
 SIMILAR = 5
 SLOT_PARTS = 64
 
@@ -38,9 +41,45 @@ def _directed(edges: DataFrame, reverse: bool) -> DataFrame:
 
 def _among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """The rows whose column is one of the stored keys; all rows where the keys are too many to broadcast."""
-    if keys.count() > BROADCAST_ROWS:
+    keys = keys.toDF("_key")
+    if keys.count() > BROADCAST_ROWS and broadcast_if_small(keys, NARROW_ROWS) is keys:
         return df
-    return df.join(F.broadcast(keys.toDF("_key")), F.col(column) == F.col("_key"), "left_semi")
+    return df.join(F.broadcast(keys), F.col(column) == F.col("_key"), "left_semi")
+
+
+def _numbered_kinds(edges: DataFrame) -> DataFrame | None:
+    """(kind, code): the few kinds of edges, numbered in their order; None where they are many."""
+    kinds = stored(edges.select("kind").distinct(), "kinds")
+    if kinds.count() > KINDS:
+        return None
+    place = F.row_number().over(Window.orderBy("kind")) - 1  # at most KINDS rows
+    return stored(kinds.select("kind", place.cast("bigint").alias("code")), "codes")
+
+
+def _ranked(moving: DataFrame, rows: int) -> DataFrame:
+    """(start, node, between, rank): the counted rows numbered in the order of their paths, sorted in tasks of WALK_ROWS."""
+    placed = moving.select("start", "node", "between").repartitionByRange(1 + rows // WALK_ROWS, "between", "node")
+    placed = stored(placed.withColumn("_part", F.spark_partition_id()), "placed")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("between", "node")) - 1
+    ranked = placed.join(F.broadcast(offsets), "_part").select("start", "node", "between", (F.col("_before") + place).alias("rank"))
+    return stored(ranked, "ranked")
+
+
+def _known(seen: DataFrame, moving: DataFrame, step: DataFrame, few_targets: bool) -> DataFrame:
+    """The pairs of a start and a node among `seen` that can be met again: both occur in this hop. The side with fewer
+    rows is asked first, the other only if too many pairs are left."""
+    sides = [(moving, "start", "start"), (step, "_to", "node")]
+    for df, name, column in reversed(sides) if few_targets else sides:
+        asked = _among(seen, column, stored(df.select(name).distinct(), name))
+        if asked is seen:
+            continue
+        seen = stored(asked, "known")
+        if seen.count() <= BROADCAST_ROWS:
+            break
+    return broadcast_if_small(seen)
 
 
 def _walk(
@@ -49,59 +88,87 @@ def _walk(
     """(start, node, hop), with `paths` also (node_type, via, path), for stored edges as (_from, _to, _type, edge_type).
 
     First visit wins; among visits of the same hop the smallest path wins. A start that has `enough` nodes
-    after a whole hop is not walked further: everything beyond would be farther away.
+    after a whole hop is not walked further: everything beyond would be farther away. Paths are compared as numbers in
+    their order where many pairs come of a frontier small enough to be numbered; so most pairs carry one number, which
+    hashes, and get their path back from the frontier when they are read.
     """
     # Of parallel edges the smallest type stands; a missing node type counts only if there is no other.
     kind = F.struct("edge_type", F.col("_type").isNull().alias("untyped"), "_type")
     edges = edges.select("_from", "_to", *([kind.alias("kind")] if paths else []))
     degrees = stored(edges.groupBy("_from").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    codes = _numbered_kinds(edges) if paths else None
+    if codes is not None:
+        kinds = max(codes.count(), 1)
+        edges = edges.join(F.broadcast(codes), "kind").select("_from", "_to", F.col("code").alias("kind"))
     start = F.col(starts.columns[0])
     begin = starts.select(start.alias("start")).distinct().withColumn("node", F.col("start"))
     # The steps between start and node are all that two paths of one pair can differ in, so only these are carried.
     nothing = F.expr("cast(array() as array<string>)").alias("between")
-    frontier, visited, hop = stored(begin.select("start", "node", *([nothing] if paths else [])), "begin"), None, 0
+    frontier, visited, seen, hop = stored(begin, "begin"), None, None, 0
+    read = lambda rows: rows.withColumn("between", nothing) if paths else rows
     while max_hops is None or hop < max_hops:
         if enough is not None and hop:
-            done = visited.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("start")
+            done = seen.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("start")
             frontier = frontier.join(done, "start", "left_anti")
         # Nodes of the frontier that edges leave, how often they occur and how many edges leave them.
-        live = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(degrees, F.col("node") == F.col("_from"))
-        live = stored(live.select("node", "n", "degree"), "live")
+        live = _among(frontier, "node", degrees.select("_from")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        live = stored(live.join(degrees, F.col("node") == F.col("_from")).select("node", "n", "degree"), "live")
         met, leaving, pairs = live.agg(F.sum("n"), F.sum("degree"), F.sum(F.col("n") * F.col("degree"))).first()
         if not pairs:
             break
         hop += 1
-        moving, step = _among(frontier, "node", live.select("node")), _among(edges, "_from", live.select("node"))
-        if min(met, leaving) <= BROADCAST_ROWS:
-            if leaving <= met:
-                step = broadcast_if_small(stored(step, "step"))
-            else:
-                moving = broadcast_if_small(stored(moving, "moving"))
-        known = None
-        if visited is not None:
-            # Only pairs of a start and a node that both occur in this hop can have been visited before.
-            origins, targets = (stored(df.select(c).distinct(), c) for df, c in ((moving, "start"), (step, "_to")))
-            known = _among(_among(visited.select("start", "node"), "start", origins), "node", targets)
-            known = broadcast_if_small(stored(known, "known"))
-        moving = moving.select("start", F.col("node").alias("_at"), *(["between"] if paths else []))
+        moving = read(_among(frontier, "node", live.select("node")))
+        step = _among(edges, "_from", live.select("node"))
+        ranks = None
+        if codes is not None and 1 < hop and met <= NARROW_ROWS and pairs > WALK_ROWS:
+            moving = ranks = _ranked(moving, met)
+        if not paths:
+            carried = []
+        elif codes is None or (hop > 1 and ranks is None):
+            between = F.concat("between", F.array("node")) if hop > 1 else F.col("between")
+            carried = [between.alias("carried")]
+        else:
+            carried = [(F.col("rank") * kinds if hop > 1 else F.lit(0)).cast("bigint").alias("carried")]
+        numbers = not carried or (codes is not None and (hop == 1 or ranks is not None))
+        moving = moving.select("start", F.col("node").alias("_at"), *carried)
+        if leaving <= met and leaving <= (BROADCAST_ROWS if paths and codes is None else NARROW_ROWS):
+            step = broadcast_if_small(stored(step, "step"), NARROW_ROWS)
+        elif met < leaving and met <= (NARROW_ROWS if numbers else BROADCAST_ROWS):
+            moving = broadcast_if_small(stored(moving, "moving"), NARROW_ROWS)
+        known = None if seen is None else _known(seen, moving, step, few_targets=leaving <= met)
         candidates = moving.join(step, F.col("_at") == F.col("_from")).filter(~F.col("start").eqNullSafe(F.col("_to")))
-        between = F.concat("between", F.array("_at")) if hop > 1 else F.col("between")
-        best = [F.struct(between.alias("between"), "kind").alias("best")] if paths else []
+        best = F.col("carried") + F.col("kind") if numbers else F.struct(F.col("carried").alias("between"), "kind")
         # Dealt by the counted pairs, so that no task sorts or hashes more of them as the graph grows.
-        candidates = candidates.select("start", F.col("_to").alias("node"), *best).repartition(1 + pairs // WALK_ROWS, "start", "node")
+        candidates = candidates.select("start", F.col("_to").alias("node"), *([best.alias("best")] if paths else []))
+        candidates = candidates.repartition(1 + pairs // WALK_ROWS, "start", "node")
         if paths:
             candidates = candidates.groupBy("start", "node").agg(F.min("best").alias("best"))
         else:
             candidates = candidates.distinct()
         fresh = candidates if known is None else candidates.join(known, ["start", "node"], "left_anti")
-        frontier = stored(fresh.select("start", "node", *(["best.between", "best.kind"] if paths else []), F.lit(hop).alias("hop")), "hop")
-        visited = frontier if visited is None else visited.unionByName(frontier)
+        frontier = stored(fresh.withColumn("hop", F.lit(hop)), "hop")
+        if not paths:
+            pass
+        elif ranks is not None:
+            walked = broadcast_if_small(ranks.select("rank", F.concat("between", F.array("node")).alias("between")), NARROW_ROWS)
+            parts = {"rank": F.expr(f"best div {kinds}"), "kind": F.col("best") % kinds}
+            read = lambda rows, walked=walked, parts=parts: rows.withColumns(parts).drop("best").join(walked, "rank").drop("rank")
+        elif numbers:
+            read = lambda rows: rows.withColumns({"between": nothing, "kind": F.col("best")}).drop("best")
+        else:
+            read = lambda rows: rows.withColumns({"between": F.col("best.between"), "kind": F.col("best.kind")}).drop("best")
+        visited = read(frontier) if visited is None else visited.unionByName(read(frontier))
+        seen = frontier.select("start", "node") if seen is None else seen.unionByName(frontier.select("start", "node"))
         if hop % COMPACT_HOPS == 0:
             visited = stored(visited, "visited")  # deep graphs would otherwise grow one union branch per hop
+            seen = visited.select("start", "node")
     if visited is None:
-        visited = frontier.withColumns({**({"kind": F.lit(None).cast(edges.schema["kind"].dataType)} if paths else {}), "hop": F.lit(0)}).limit(0)
+        none = F.lit(None).cast(edges.schema["kind"].dataType) if paths else None
+        visited = read(frontier).withColumns({**({"kind": none} if paths else {}), "hop": F.lit(0)}).limit(0)
     if not paths:
-        return visited
+        return visited.select("start", "node", "hop")
+    if codes is not None:
+        visited = visited.withColumnRenamed("kind", "code").join(F.broadcast(codes), "code", "left")
     return visited.select(
         "start",
         "node",

@@ -222,3 +222,39 @@ def test_walk_in_many_small_tasks_against_brute_force(spark, monkeypatch, broadc
     assert got == brute_walk(edges, 4)
     closure = L.reachable(frame, frame.select("src").distinct())
     assert {tuple(r) for r in closure.collect()} == set(brute_walk(edges, 40))
+
+
+@pytest.mark.parametrize("narrow", [1_000_000, 0])
+def test_numbered_paths_against_brute_force(spark, monkeypatch, narrow):
+    """Layers with hubs, a way back and parallel edges, so that pairs meet along several paths of one length."""
+    monkeypatch.setattr(L, "WALK_ROWS", 40)
+    monkeypatch.setattr(L, "NARROW_ROWS", narrow)
+    monkeypatch.setattr(L, "BROADCAST_ROWS", narrow)
+    ranked = []
+    monkeypatch.setattr(L, "_ranked", lambda moving, rows, real=L._ranked: ranked.append(rows) or real(moving, rows))
+    names = [[f"{layer}{i}" for i in range(6)] for layer in "dbca"]
+    edges = [(a, "job", b, "dataset", "READS_FROM") for x, y in zip(names, names[1:]) for i, a in enumerate(x) for j, b in enumerate(y) if (i + j) % 3]
+    edges += [(a, "job", b, None, "WRITES_TO") for a, _, b, _, _ in edges[::4]]
+    edges += [(names[-1][0], "job", names[0][0], "job", "DERIVED_FROM"), (names[0][1], None, names[0][1], None, "READS_FROM")]
+    frame = spark.createDataFrame(edges, "src string, src_type string, dst string, dst_type string, edge_type string")
+    found = L.downstream_impact(frame, frame.select("src").distinct(), 6)
+    got = {(r["start"], r["node"]): (r["hop"], r["node_type"], r["via"], tuple(r["path"])) for r in found.collect()}
+    kinds = {}
+    for a, _, b, kind, via in edges:
+        kinds[a, b] = min(kinds.get((a, b), ("~",)), (via, kind is None, kind or ""))
+    wanted = {}
+    for start in {e[0] for e in edges}:
+        hop, best = 0, {start: (start,)}
+        layer = dict(best)
+        while layer and hop < 6:
+            hop, met = hop + 1, {}
+            for at, path in layer.items():
+                for (a, b), (via, untyped, kind) in kinds.items():
+                    if a == at and b not in best:
+                        met[b] = min(met.get(b, ((("~",),))), (path + (b,), via, None if untyped else kind), key=lambda m: m[0])
+            for b, (path, via, kind) in met.items():
+                best[b] = path
+                wanted[start, b] = (hop, kind, via, path)
+            layer = {b: path for b, (path, _, _) in met.items()}
+    assert got == wanted
+    assert bool(ranked) == (narrow > 0)
