@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.columns import number
-from dqspark.runtime import BROADCAST_ROWS, broadcast_if_small, materialize, stored
+from dqspark.runtime import BROADCAST_ROWS, broadcast_if_small, dealt, materialize, stored
 
 MAX_HOPS = 6
 COMPACT_HOPS = 8
@@ -39,6 +39,12 @@ def _directed(edges: DataFrame, reverse: bool) -> DataFrame:
     )
 
 
+def _kept(edges: DataFrame, name: str = "edges") -> DataFrame:
+    """The edges, stored in files small enough that walks read them in small splits."""
+    with dealt(edges.sparkSession):
+        return stored(edges, name)
+
+
 def _among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """The rows whose column is one of the stored keys; all rows where the keys are too many to broadcast."""
     keys = keys.toDF("_key")
@@ -92,6 +98,11 @@ def _walk(
     their order where many pairs come of a frontier small enough to be numbered; so most pairs carry one number, which
     hashes, and get their path back from the frontier when they are read.
     """
+    with dealt(edges.sparkSession, edges.count()):
+        return _hops(edges, starts, max_hops, paths, enough)
+
+
+def _hops(edges: DataFrame, starts: DataFrame, max_hops: int | None, paths: bool, enough: int | None) -> DataFrame:
     # Of parallel edges the smallest type stands; a missing node type counts only if there is no other.
     kind = F.struct("edge_type", F.col("_type").isNull().alias("untyped"), "_type")
     edges = edges.select("_from", "_to", *([kind.alias("kind")] if paths else []))
@@ -181,17 +192,17 @@ def _walk(
 
 def downstream_impact(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Everything a broken start node touches, nearest first, with one shortest path each."""
-    return _walk(_directed(stored(edges, "edges"), reverse=False), starts, max_hops)
+    return _walk(_directed(_kept(edges), reverse=False), starts, max_hops)
 
 
 def upstream_sources(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Everything that can have broken a start node."""
-    return _walk(_directed(stored(edges, "edges"), reverse=True), starts, max_hops)
+    return _walk(_directed(_kept(edges), reverse=True), starts, max_hops)
 
 
 def reachable(edges: DataFrame, starts: DataFrame, reverse: bool = False) -> DataFrame:
     """(start, node): transitive closure without a hop limit."""
-    return _walk(_directed(stored(edges, "edges"), reverse), starts, None, paths=False).select("start", "node")
+    return _walk(_directed(_kept(edges), reverse), starts, None, paths=False).select("start", "node")
 
 
 def _column_edges(column_edges: DataFrame, reverse: bool) -> DataFrame:
@@ -283,7 +294,7 @@ def affected_assets(signals: DataFrame, edges: DataFrame, names: DataFrame | Non
 
 def lineage_report(edges: DataFrame, names: DataFrame, assets: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Upstream and downstream tables of the given assets with readable names and a direction column."""
-    edges = stored(edges, "edges")  # both directions walk them
+    edges = _kept(edges)  # both directions walk them
     parts = [
         _walk(_directed(edges, reverse), assets, max_hops).withColumn("direction", F.lit(direction))
         for reverse, direction in ((True, "upstream"), (False, "downstream"))

@@ -11,6 +11,7 @@ from dqspark.functions.columns import evidence, severity
 from dqspark.operators import lineage as L
 from dqspark.queries.base import SEVERITY_SQL, query, table
 from dqspark.queries.drift_q import priority_runs
+from dqspark.runtime import dealt, stored
 
 
 def _node(prefix: str, column: str):
@@ -33,9 +34,15 @@ def place_edges(spark, sf):
     return s.unionByName(n)
 
 
+def trade_pairs(spark, sf):
+    """The distinct pairs of a part and its supplier, by tasks dealt by the counted lines."""
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
+    with dealt(spark, lines.count()):
+        return stored(lines.distinct(), "pairs")
+
+
 def trade_edges(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    p = lines.select(*_edge(_node("p:", "l_partkey"), "external_asset", _node("s:", "l_suppkey"), "job", "READS_FROM"))
+    p = trade_pairs(spark, sf).select(*_edge(_node("p:", "l_partkey"), "external_asset", _node("s:", "l_suppkey"), "job", "READS_FROM"))
     return p.unionByName(place_edges(spark, sf))
 
 

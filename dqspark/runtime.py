@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64_000_000
+TASK_ROWS = 500_000
+TASK_BYTES = 16_000_000
 
 
 def session(app: str = "dqspark", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -67,6 +71,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def dealt(spark: SparkSession, rows: int = 0) -> Iterator[None]:
+    """Jobs that run inside shuffle the counted rows into tasks of TASK_ROWS, read files in splits of TASK_BYTES and join
+    small partitions up to that size only, so that what a task holds does not grow with the table. The session's settings
+    are back afterwards; more shuffle partitions than counted stay."""
+    parts = "spark.sql.shuffle.partitions"
+    wanted = {
+        parts: max(int(spark.conf.get(parts)), 1 + rows // TASK_ROWS),
+        "spark.sql.files.maxPartitionBytes": TASK_BYTES,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES,
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, str(value))
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this session's intermediate tables and stream states. Call it when results that read them are written."""
     ensure_checkpoint_dir(spark)

@@ -4,7 +4,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from dqspark import runtime
 from dqspark.operators import lineage as L
+from dqspark.queries import QUERIES
+from dqspark.queries import lineage_q as Q
 
 EDGE = "src string, src_type string, dst string, dst_type string, edge_type string"
 
@@ -258,3 +261,42 @@ def test_numbered_paths_against_brute_force(spark, monkeypatch, narrow):
             layer = {b: path for b, (path, _, _) in met.items()}
     assert got == wanted
     assert bool(ranked) == (narrow > 0)
+
+
+SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+@pytest.mark.parametrize("name", ["reachable"])
+def test_tasks_of_a_walk_are_dealt_by_counted_rows(spark, sf, monkeypatch, name):
+    """Pairs, edges and hops are stored by shuffles whose partitions follow the counted rows, from small splits."""
+    met = {}
+
+    def recorded(df, kind, real=L.stored):
+        met.setdefault(kind, []).append([int(spark.conf.get(s).rstrip("b")) for s in SETTINGS])
+        return real(df, kind)
+
+    monkeypatch.setattr(L, "stored", recorded)
+    monkeypatch.setattr(Q, "stored", recorded, raising=False)
+    monkeypatch.setattr(runtime, "TASK_ROWS", 100, raising=False)
+    before = [spark.conf.get(s, None) for s in SETTINGS]
+    rows = QUERIES[name](spark, sf).count()
+    lines = Q.table(spark, sf, "lineitem").count()
+    assert met["pairs"] == [[1 + lines // 100, 16_000_000, 16_000_000]]
+    for kind, deals in met.items():
+        for parts, read, joined in deals:
+            assert read == joined == 16_000_000
+            assert kind in ("edges", "column-edges") or parts > 8  # the session's; edges are written without a shuffle
+    assert {"begin", "degrees", "live", "hop"} <= met.keys()
+    assert [spark.conf.get(s, None) for s in SETTINGS] == before
+    monkeypatch.setattr(runtime, "TASK_ROWS", 500_000, raising=False)
+    assert rows == QUERIES[name](spark, sf).count()
+
+
+def test_settings_are_back_after_a_failure(spark):
+    before = [spark.conf.get(s, None) for s in SETTINGS]
+    with pytest.raises(KeyError), runtime.dealt(spark, 100_000_000):
+        assert int(spark.conf.get(SETTINGS[0])) == 201
+        raise KeyError
+    assert [spark.conf.get(s, None) for s in SETTINGS] == before
+    with runtime.dealt(spark):
+        assert spark.conf.get(SETTINGS[0]) == before[0]
