@@ -219,7 +219,7 @@ def reachable_columns(
     column_edges: DataFrame, starts: DataFrame, reverse: bool = False, limit: int | None = None
 ) -> DataFrame:
     """(start_asset, start_column, hop, asset, column) by breadth-first walk; only the nearest `limit` per start if given."""
-    return _columns_met(stored(column_edges, "column-edges"), starts, reverse, limit)
+    return _columns_met(_kept(column_edges, "column-edges"), starts, reverse, limit)
 
 
 def _columns_met(column_edges: DataFrame, starts: DataFrame, reverse: bool, limit: int | None) -> DataFrame:
@@ -249,7 +249,7 @@ def column_impact(
     )
     starts = wanted.select("asset", "column").distinct()
     parts = []
-    column_edges = stored(column_edges, "column-edges")  # both directions walk them
+    column_edges = _kept(column_edges, "column-edges")  # both directions walk them
     for name, reverse in (("upstream", True), ("downstream", False)):
         walk = _columns_met(column_edges, starts, reverse, limit)
         parts.append(

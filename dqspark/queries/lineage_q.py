@@ -104,9 +104,8 @@ def column_edges(spark, sf):
     def pair(df, a, a_col, b, b_col):
         return df.select(a.alias("src_asset"), F.lit(a_col).alias("src_col"), b.alias("dst_asset"), F.lit(b_col).alias("dst_col"))
 
-    lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
     return (
-        pair(lines, _node("p:", "l_partkey"), "RetailPrice", _node("s:", "l_suppkey"), "AcctBal")
+        pair(trade_pairs(spark, sf), _node("p:", "l_partkey"), "RetailPrice", _node("s:", "l_suppkey"), "AcctBal")
         .unionByName(pair(table(spark, sf, "supplier"), _node("s:", "s_suppkey"), "acctbal", _node("n:", "s_nationkey"), "Balance"))
         .unionByName(pair(table(spark, sf, "nation"), _node("n:", "n_nationkey"), "BALANCE", _node("r:", "n_regionkey"), "Balance"))
     )

@@ -266,7 +266,7 @@ def test_numbered_paths_against_brute_force(spark, monkeypatch, narrow):
 SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
-@pytest.mark.parametrize("name", ["reachable"])
+@pytest.mark.parametrize("name", ["reachable", "reachable_columns"])
 def test_tasks_of_a_walk_are_dealt_by_counted_rows(spark, sf, monkeypatch, name):
     """Pairs, edges and hops are stored by shuffles whose partitions follow the counted rows, from small splits."""
     met = {}
